@@ -55,8 +55,11 @@ def with_views(names: list[str] | str, body: str, recursive: bool = False) -> st
     for n in names.split() if isinstance(names, str) else names:
         visit(n)
     ctes = ",\n".join(f"{n} AS MATERIALIZED ({VIEWS[n][1]})" for n in order)
+    body = body.strip()
     word = "WITH RECURSIVE" if recursive else "WITH"
-    return f"{word} {ctes}\n{body}" if order else body
+    if body.startswith("WITH "):
+        body = "," + body[len("WITH"):]
+    return f"{word} {ctes}\n{body}"
 
 
 view("lines", [], """
@@ -301,3 +304,87 @@ def evaluation(spark: SparkSession, folder: str) -> DataFrame:
 
     lines = market(spark, folder).select("game_id", "gametime", "spread_line", "total_line")
     return with_errors(predictions(spark, folder).join(lines, "game_id"))
+
+
+# Status reports, appearances and line-ups standing in for roster inputs.
+
+view("team_games", [], """
+SELECT strftime(CAST(ts AS DATE), '%Y%m%d') || '_' || CAST(user_id % 25 AS VARCHAR) AS game_id, user_id % 25 AS team,
+       CAST(ts AS DATE) + INTERVAL 18 HOUR AS kickoff, max(CAST(ts AS DATE)) < DATE '2024-01-25' AS played
+FROM events GROUP BY ALL""")
+view("reports", [], """
+SELECT strftime(CAST(ts AS DATE), '%Y%m%d') || '_' || CAST(user_id % 25 AS VARCHAR) AS game_id, user_id % 25 AS team,
+       user_id AS player, event_id,
+       CASE user_id % 7 WHEN 0 THEN 'QB' WHEN 1 THEN 'WR' WHEN 2 THEN 'CB' WHEN 3 THEN 'T' WHEN 4 THEN 'LS' WHEN 5 THEN 'XX' END AS position,
+       CASE event_id % 4 WHEN 0 THEN 'Out' WHEN 1 THEN 'Questionable' WHEN 2 THEN 'Doubtful' END AS report_status,
+       CASE WHEN event_id % 17 <> 0 THEN ts END AS date_modified
+FROM events WHERE event_type = 'error'""")
+view("appearances", [], """
+SELECT strftime(CAST(ts AS DATE), '%Y%m%d') || '_' || CAST(user_id % 25 AS VARCHAR) AS game_id, user_id % 25 AS team,
+       user_id AS player, CAST(ts AS DATE) + INTERVAL 18 HOUR AS kickoff, least(value / 100, 1.0) AS role_share
+FROM events WHERE event_type = 'view' AND user_id % 25 <> 3""")
+view("lineups", [], """
+SELECT team, season, t, player, qty / sum(qty) OVER (PARTITION BY team, t) AS share
+FROM (SELECT s_nationkey AS team, CAST(year(l_shipdate) AS INT) AS season,
+             CAST(date_diff('day', DATE '1970-01-01', CAST(date_trunc('month', l_shipdate) AS DATE)) AS INT) AS t,
+             p_brand AS player, sum(l_quantity) AS qty
+      FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey GROUP BY ALL)
+QUALIFY qty / sum(qty) OVER (PARTITION BY team, t) >= 0.03""")
+
+
+def team_games(spark: SparkSession, folder: str) -> DataFrame:
+    from priorlake.sources.views import event_log
+
+    return _dated(event_log(spark, folder)).groupBy("game_id", "team", "kickoff").agg(
+        (F.max("day") < F.lit("2024-01-25").cast("date")).alias("played")
+    )
+
+
+def _dated(events: DataFrame) -> DataFrame:
+    day = F.to_date("ts")
+    return events.select(
+        "*", day.alias("day"), (F.col("user_id") % 25).alias("team"),
+        F.concat_ws("_", F.date_format(day, "yyyyMMdd"), (F.col("user_id") % 25).cast("string")).alias("game_id"),
+        (day.cast("timestamp") + F.expr("INTERVAL 18 HOURS")).alias("kickoff"),
+    )
+
+
+def reports(spark: SparkSession, folder: str) -> DataFrame:
+    from priorlake.sources.views import event_log
+
+    p, s = F.col("user_id") % 7, F.col("event_id") % 4
+    position = F.when(p == 0, "QB").when(p == 1, "WR").when(p == 2, "CB").when(p == 3, "T").when(p == 4, "LS").when(p == 5, "XX")
+    status = F.when(s == 0, "Out").when(s == 1, "Questionable").when(s == 2, "Doubtful")
+    return _dated(event_log(spark, folder).filter("event_type = 'error'")).select(
+        "game_id", "team", F.col("user_id").alias("player"), "event_id", position.alias("position"),
+        status.alias("report_status"), F.when(F.col("event_id") % 17 != 0, F.col("ts").cast("timestamp")).alias("date_modified"),
+    )
+
+
+def appearances(spark: SparkSession, folder: str) -> DataFrame:
+    from priorlake.sources.views import event_log
+
+    return _dated(event_log(spark, folder).filter("event_type = 'view' AND user_id % 25 <> 3")).select(
+        "game_id", "team", F.col("user_id").alias("player"), "kickoff",
+        F.least(F.col("value") / 100, F.lit(1.0)).alias("role_share"),
+    )
+
+
+def lineups(spark: SparkSession, folder: str, threshold: float = 0.03) -> DataFrame:
+    """Share of a supplier nation's monthly quantity per part brand, contributors only."""
+    from pyspark.sql import Window
+
+    from priorlake.operators.roster import contributors
+    from priorlake.operators.temporal import epoch_day
+    from priorlake.sources.tables import read_table
+
+    line = read_table(spark, folder, "lineitem", ["l_suppkey", "l_partkey", "l_quantity", "l_shipdate"])
+    month = F.trunc(F.to_date("l_shipdate"), "month")
+    totals = (
+        line.join(read_table(spark, folder, "supplier", ["s_suppkey", "s_nationkey"]), F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(read_table(spark, folder, "part", ["p_partkey", "p_brand"]), F.col("l_partkey") == F.col("p_partkey"))
+        .groupBy(F.col("s_nationkey").alias("team"), F.year(month).alias("season"), epoch_day(month).alias("t"), F.col("p_brand").alias("player"))
+        .agg(F.sum("l_quantity").alias("qty"))
+    )
+    share = F.col("qty") / F.sum("qty").over(Window.partitionBy("team", "t"))
+    return contributors(totals.withColumn("share", share).drop("qty"), threshold)
