@@ -29,6 +29,17 @@ def pooled(h: Column, a: Column, fn=lambda e: e * e) -> Column:
     return F.avg((fn(h) + fn(a)) / 2)
 
 
+def pooled_slope() -> Column:
+    """Slope of results on forecasts over both sides, from sums of one pass."""
+    p = lambda f: F.sum(f("home") + f("away"))
+    n = 2 * F.count("*")
+    pred, actual = (lambda s: F.col(f"{s}_pred")), (lambda s: F.col(f"{s}_score"))
+    sp, sa = p(pred), p(actual)
+    cov = p(lambda s: pred(s) * actual(s)) - sp * sa / n
+    var = p(lambda s: pred(s) * pred(s)) - sp * sp / n
+    return safe_div(cov, var)
+
+
 def score(predictions: DataFrame, by: list[str]) -> DataFrame:
     """RMSE and MAE per side."""
     h, a = F.col("home_err"), F.col("away_err")

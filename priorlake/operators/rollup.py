@@ -129,7 +129,7 @@ def arm_rates(events: DataFrame, keys: list[str], arms: dict[str, Column], measu
     return events.groupBy(*keys).agg(*out)
 
 
-def segments(plays: DataFrame, order: list[str], outcomes: dict[str, tuple[float, float]], *, start: str, result: str, keys: list[str]) -> DataFrame:
+def segments(plays: DataFrame, order: list[str], outcomes: dict[str, tuple[float, float]], *, start: str, result: str, keys: list[str], extra: dict[str, Column] | None = None) -> DataFrame:
     """Events folded to segments: first start, first known result and both sides' points."""
     scored = F.create_map(*[F.lit(x) for k, v in outcomes.items() for x in (k, v[0])])
     conceded = F.create_map(*[F.lit(x) for k, v in outcomes.items() for x in (k, v[1])])
@@ -138,7 +138,7 @@ def segments(plays: DataFrame, order: list[str], outcomes: dict[str, tuple[float
         .agg(
             first_by(start, order, F.col(start).isNotNull()).alias("start"),
             first_by(result, order, F.col(result).isNotNull()).alias("result"),
-            F.min(F.struct(*order)).alias("_first"),
+            *[c.alias(n) for n, c in (extra or {}).items()],
         )
         .withColumn("points", F.coalesce(F.try_element_at(scored, F.col("result")), F.lit(0.0)))
         .withColumn("def_points", F.coalesce(F.try_element_at(conceded, F.col("result")), F.lit(0.0)))
@@ -192,3 +192,80 @@ def shrinkage_constant(events: DataFrame, group: list[str], value: str, min_rows
         .withColumn("var_true", F.greatest(F.col("var_observed") - F.col("var_noise"), F.lit(1e-9)))
         .withColumn("k", F.col("sigma2") / F.col("var_true"))
     )
+
+
+# Families of side facts. Each is one conditional aggregate per (contest, side).
+
+
+def pace(plays: DataFrame) -> DataFrame:
+    """Volume of the side with the ball: events, segments and their ratio."""
+    real = F.col("kind").isNotNull() & F.col("posteam").isNotNull()
+    out = plays.filter(real).groupBy("game_id", F.col("posteam").alias("team")).agg(
+        F.count("*").alias("off_plays"),
+        F.count_distinct("drive").alias("off_drives"),
+        F.avg(F.col("no_huddle")).alias("off_no_huddle_rate"),
+        F.avg(F.col("dropback")).alias("off_dropback_rate"),
+        F.avg("pass_oe").alias("off_pass_oe"),
+    )
+    return out.withColumn("off_plays_per_drive", safe_div(F.col("off_plays"), F.col("off_drives")))
+
+
+def competitive(plays: DataFrame, low: float = 0.20, high: float = 0.80) -> DataFrame:
+    """Rates over events whose outcome is in doubt (both bounds included), outer-joined by side."""
+    doubt = plays.filter(F.col("wp").between(low, high))
+    off = doubt.filter(F.col("posteam").isNotNull()).groupBy("game_id", F.col("posteam").alias("team")).agg(
+        F.avg("epa").alias("off_epa_competitive"), F.avg("success").alias("off_success_competitive"),
+        F.count("*").alias("off_competitive_plays"),
+    )
+    faced = doubt.filter(F.col("defteam").isNotNull()).groupBy("game_id", F.col("defteam").alias("team")).agg(
+        F.avg("epa").alias("def_epa_competitive"), F.avg("success").alias("def_success_competitive")
+    )
+    return off.join(faced, ["game_id", "team"], "full_outer")
+
+
+def turnover_luck(plays: DataFrame) -> DataFrame:
+    """Own and forced losses; the retained share is null without an attempt."""
+    add = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    off = plays.filter(F.col("posteam").isNotNull()).groupBy("game_id", F.col("posteam").alias("team")).agg(
+        add("fumble").alias("off_fumbles"), add("fumble_lost").alias("off_fumbles_lost"), add("interception").alias("off_interceptions")
+    )
+    off = off.withColumn(
+        "off_fumble_retain_rate", F.when(F.col("off_fumbles") > 0, 1 - safe_div(F.col("off_fumbles_lost"), F.col("off_fumbles")))
+    )
+    faced = plays.filter(F.col("defteam").isNotNull()).groupBy("game_id", F.col("defteam").alias("team")).agg(
+        add("fumble").alias("def_fumbles_forced"), add("fumble_lost").alias("def_fumbles_recovered"),
+        add("interception").alias("def_interceptions"),
+    )
+    return off.join(faced, ["game_id", "team"], "full_outer")
+
+
+def attempts(plays: DataFrame, result: str, made: str, distance: str) -> DataFrame:
+    """Attempts, successes, success share and mean distance per (contest, side)."""
+    tried = plays.filter(F.col(result).isNotNull() & F.col("posteam").isNotNull())
+    out = tried.groupBy("game_id", F.col("posteam").alias("team")).agg(
+        F.count("*").alias("fg_attempts"), F.count_if(F.col(result) == made).alias("fg_made"),
+        F.avg(distance).alias("fg_avg_distance"),
+    )
+    return out.withColumn("fg_pct", safe_div(F.col("fg_made"), F.col("fg_attempts")))
+
+
+def within_group_slope(df: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
+    """OLS slope after removing group means: sums of within-group moments, no second pass over rows."""
+    n = F.count(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), F.lit(1)))
+    ok = F.col(x).isNotNull() & F.col(y).isNotNull()
+    moments = df.filter(ok).groupBy(*group).agg(
+        (F.covar_pop(x, y) * n).alias("sxy"), (F.var_pop(x) * n).alias("sxx"), n.alias("n")
+    )
+    return moments.agg(
+        safe_div(F.sum("sxy"), F.sum("sxx")).alias("slope"), F.sum("n").alias("n"), F.count("*").alias("groups")
+    )
+
+
+def correlation_matrix(df: DataFrame, key: str, member: str, value: str, members: list[str]) -> DataFrame:
+    """(a, b, corr) over keys; one pivot and one aggregate."""
+    wide = df.groupBy(key).pivot(member, members).agg(F.max(value))
+    pairs = [(a, b) for a in members for b in members]
+    corr = lambda a, b: F.try_divide(F.covar_pop(a, b), F.sqrt(F.var_pop(F.when(F.col(b).isNotNull(), F.col(a))) * F.var_pop(F.when(F.col(a).isNotNull(), F.col(b)))))
+    row = wide.agg(*[corr(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
+    cells = [x for i, (a, b) in enumerate(pairs) for x in (F.lit(a), F.lit(b), F.col(f"`{i}`"))]
+    return row.select(F.stack(F.lit(len(pairs)), *cells).alias("a", "b", "corr"))

@@ -1,12 +1,13 @@
 """Closed-form forecasts: every fold's parameters come from prefix sums over days."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from priorlake.functions.scalars import safe_div
 from priorlake.operators.folds import training_sums
-from priorlake.operators.prefix import position, prior_sums
+from priorlake.operators.places import sums_before_places
+from priorlake.operators.prefix import prior_sums
 
 OVERTIME_WEIGHT = 0.5
 DRIFT_ROWS = 285
@@ -72,38 +73,19 @@ def rule_predictions(table: DataFrame, parameters: DataFrame) -> DataFrame:
 
 
 def recent_bias(predictions: DataFrame, folds: DataFrame, rows: int = DRIFT_ROWS) -> DataFrame:
-    """Per (fold, model): mean error over its last `rows` earlier predictions, ties by id.
-
-    Row numbers give each prediction a place on the timeline; a fold then needs
-    the prefix sums at two places only.
-    """
-    placed = position(predictions, ["model"], "t", ["game_id"], "place")
-    per_row = placed.select(
-        "model", "t", "place",
-        (F.col("home_pred") - F.col("home_score")).alias("eh"), (F.col("away_pred") - F.col("away_score")).alias("ea"),
-    )
-    before = prior_sums(per_row, ["model"], "t", {"n": F.lit(1), "sum_h": F.col("eh"), "sum_a": F.col("ea")})
-    at_cut = folds.select("season", "week", "cutoff").join(before.withColumnRenamed("t", "cutoff"), "cutoff").filter("n > 0")
-    low = at_cut.withColumn("place", F.greatest(F.col("n") - rows, F.lit(0)) - 1)
-    # rows of the cut day at the lower end are summed up to that place
-    edge = per_row.join(
-        low.select("model", "place", "season", "week"), ["model", "place"]
-    ).select("model", "season", "week", F.col("t").alias("edge_t"), F.col("place").alias("edge_place"))
-    head = edge.join(before.select("model", F.col("t").alias("edge_t"), F.col("sum_h").alias("hh"), F.col("sum_a").alias("ha")), ["model", "edge_t"])
-    within = (
-        edge.join(per_row.withColumnRenamed("t", "edge_t"), ["model", "edge_t"])
-        .filter(F.col("place") <= F.col("edge_place"))
-        .groupBy("model", "season", "week")
-        .agg(F.sum("eh").alias("wh"), F.sum("ea").alias("wa"))
+    """Per (fold, model): mean error over its last `rows` earlier predictions, ties by id."""
+    c = F.col
+    errors = predictions.select(
+        "model", "t", "game_id", (c("home_pred") - c("home_score")).alias("eh"), (c("away_pred") - c("away_score")).alias("ea")
     )
-    zero = F.lit(0.0)
-    return (
-        at_cut.join(head.select("model", "season", "week", "hh", "ha"), ["model", "season", "week"], "left")
-        .join(within, ["model", "season", "week"], "left")
-        .select(
-            "model", "season", "week",
-            F.least(F.col("n"), F.lit(rows)).cast("long").alias("rows"),
-            ((F.col("sum_h") - F.coalesce("hh", zero) - F.coalesce("wh", zero)) / F.least(F.col("n"), F.lit(rows))).alias("off_home"),
-            ((F.col("sum_a") - F.coalesce("ha", zero) - F.coalesce("wa", zero)) / F.least(F.col("n"), F.lit(rows))).alias("off_away"),
-        )
+    counts = prior_sums(errors, ["model"], "t", {"n": F.lit(1)})
+    ends = folds.select("season", "week", F.col("cutoff").alias("t")).join(counts, "t").filter("n > 0")
+    edges = F.explode(F.array(
+        F.struct(F.lit(1).alias("sign"), c("n").alias("place")), F.struct(F.lit(-1).alias("sign"), F.greatest(c("n") - rows, F.lit(0)).alias("place"))
+    ))
+    marks = ends.select("season", "week", "model", "n", edges.alias("m")).select("season", "week", "model", "n", "m.sign", "m.place")
+    at = sums_before_places(errors, ["model"], "t", ["game_id"], marks, {"h": c("eh"), "a": c("ea")})
+    used = F.least(F.max("n"), F.lit(rows))
+    return at.groupBy("season", "week", "model").agg(
+        used.cast("long").alias("rows"), (F.sum(c("sign") * c("h")) / used).alias("off_home"), (F.sum(c("sign") * c("a")) / used).alias("off_away")
     )

@@ -199,8 +199,8 @@ FROM preds p JOIN market m USING (game_id)""")
 
 # ---------------------------------------------------------------- shared frames
 #
-# Three stages are built once per session and kept, as a pipeline keeps them on
-# disk between steps: contests, the model table and its forecasts. Each holds at
+# Contests, the model table, forecasts and their errors are built once per session and kept, as a pipeline keeps them on
+# disk between steps. Each holds at
 # most a few rows per month and pair of nations, whatever the size of the event
 # tables, and is rebuilt from its lineage when an executor is lost.
 
@@ -302,8 +302,11 @@ def market(spark: SparkSession, folder: str) -> DataFrame:
 def evaluation(spark: SparkSession, folder: str) -> DataFrame:
     from priorlake.operators.evaluate import with_errors
 
-    lines = market(spark, folder).select("game_id", "gametime", "spread_line", "total_line")
-    return with_errors(predictions(spark, folder).join(lines, "game_id"))
+    def build() -> DataFrame:
+        lines = market(spark, folder).select("game_id", "gametime", "spread_line", "total_line")
+        return with_errors(predictions(spark, folder).join(lines, "game_id"))
+
+    return keep(spark, folder, "evaluation", build)
 
 
 # Status reports, appearances and line-ups standing in for roster inputs.
@@ -388,3 +391,87 @@ def lineups(spark: SparkSession, folder: str, threshold: float = 0.03) -> DataFr
     )
     share = F.col("qty") / F.sum("qty").over(Window.partitionBy("team", "t"))
     return contributors(totals.withColumn("share", share).drop("qty"), threshold)
+
+
+# Play-by-play detail and segments: an order inside a contest is a drive.
+
+# Outcomes, points to the side with the ball and to the other side.
+OUTCOMES = {
+    "Touchdown": (6.95, 0.0),
+    "Field goal": (3.0, 0.0),
+    "Punt": (0.0, 0.0),
+    "Turnover": (0.0, 0.0),
+    "Turnover on downs": (0.0, 0.0),
+    "Missed field goal": (0.0, 0.0),
+    "End of half": (0.0, 0.0),
+    "Opp touchdown": (0.0, 6.95),
+    "Safety": (0.0, 2.0),
+}
+OUTCOME_NAMES = list(OUTCOMES)
+START_EDGES = [20, 35, 50, 65, 80]
+
+view("details", ["plays"], """
+SELECT *, l_orderkey AS drive, CAST(l_linenumber % 3 = 0 AS INT) AS no_huddle, CAST(kind = 'A' AS INT) AS dropback, tax AS pass_oe,
+       qty / 50 AS wp, CAST(l_partkey % 5 = 0 AS INT) AS fumble, CAST(l_partkey % 5 = 0 AND l_suppkey % 2 = 0 AS INT) AS fumble_lost,
+       CAST(l_partkey % 7 = 0 AS INT) AS interception,
+       CASE WHEN kind = 'N' THEN CASE WHEN disc <= 0.05 THEN 'made' ELSE 'missed' END END AS fg_result,
+       qty * 2 AS start,
+       ['Touchdown', 'Field goal', 'Punt', 'Turnover', 'Turnover on downs', 'Missed field goal', 'End of half', 'Opp touchdown', 'Safety']
+         [CAST((CASE kind WHEN 'A' THEN 0 WHEN 'N' THEN 3 ELSE 6 END) + CAST(round(disc * 100) AS INT) % 3 + 1 AS INT)] AS result
+FROM plays""")
+view("drives", ["details"], """
+SELECT *, CASE result WHEN 'Touchdown' THEN 6.95 WHEN 'Field goal' THEN 3.0 ELSE 0.0 END::DOUBLE AS points,
+       CASE result WHEN 'Opp touchdown' THEN 6.95 WHEN 'Safety' THEN 2.0 ELSE 0.0 END::DOUBLE AS def_points,
+       CAST(start >= 20 AS INT) + CAST(start >= 35 AS INT) + CAST(start >= 50 AS INT) + CAST(start >= 65 AS INT) + CAST(start >= 80 AS INT) AS bin
+FROM (SELECT game_id, month AS gameday, CAST(date_diff('day', DATE '1970-01-01', month) AS INT) AS t, posteam, defteam, drive,
+        arg_min(start, ROW(l_linenumber, l_partkey, l_suppkey, day, qty, price, disc, tax)) AS start,
+        arg_min(result, ROW(l_linenumber, l_partkey, l_suppkey, day, qty, price, disc, tax)) AS result,
+        min(day) AS first_day
+      FROM details GROUP BY ALL)""")
+view("chain", ["drives"], """
+SELECT *, lead(bin) OVER w AS next_bin, CAST(lead(posteam) OVER w <> posteam AS INT) AS changed
+FROM drives WINDOW w AS (PARTITION BY game_id ORDER BY first_day, drive, posteam)""")
+
+PLAY_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "day", "qty", "price", "disc", "tax"]
+
+
+def details(spark: SparkSession, folder: str) -> DataFrame:
+    from priorlake.sources.views import plays
+
+    c = F.col
+    kind = F.when(c("kind") == "A", 0).when(c("kind") == "N", 3).otherwise(6)
+    names = F.array(*[F.lit(o) for o in OUTCOME_NAMES])
+    return plays(spark, folder).select(
+        "*", c("l_orderkey").alias("drive"), (c("l_linenumber") % 3 == 0).cast("int").alias("no_huddle"),
+        (c("kind") == "A").cast("int").alias("dropback"), c("tax").alias("pass_oe"), (c("qty") / 50).alias("wp"),
+        (c("l_partkey") % 5 == 0).cast("int").alias("fumble"),
+        ((c("l_partkey") % 5 == 0) & (c("l_suppkey") % 2 == 0)).cast("int").alias("fumble_lost"),
+        (c("l_partkey") % 7 == 0).cast("int").alias("interception"),
+        F.when(c("kind") == "N", F.when(c("disc") <= 0.05, "made").otherwise("missed")).alias("fg_result"),
+        (c("qty") * 2).alias("start"),
+        F.element_at(names, (kind + F.round(c("disc") * 100).cast("int") % 3 + 1).cast("int")).alias("result"),
+    )
+
+
+def drives(spark: SparkSession, folder: str) -> DataFrame:
+    from priorlake.functions.scalars import left_closed_bin
+    from priorlake.operators.rollup import segments
+    from priorlake.operators.temporal import epoch_day
+
+    rows = details(spark, folder).withColumn("gameday", F.col("month")).withColumn("t", epoch_day(F.col("month")))
+    dated = segments(
+        rows, PLAY_ORDER, OUTCOMES, start="start", result="result",
+        keys=["game_id", "gameday", "t", "posteam", "defteam", "drive"], extra={"first_day": F.min("day")},
+    )
+    return dated.withColumn("bin", left_closed_bin(F.col("start"), START_EDGES))
+
+
+def chain(spark: SparkSession, folder: str) -> DataFrame:
+    """Segments with the start bin and owner of the next segment of their contest."""
+    from priorlake.operators.prefix import neighbour
+
+    out = neighbour(
+        drives(spark, folder), ["game_id"], ["first_day", "drive", "posteam"], {"next_bin": "bin", "next_team": "posteam"},
+        step=1, block=F.datediff("first_day", F.lit("1970-01-01").cast("date")),
+    )
+    return out.withColumn("changed", (F.col("next_team") != F.col("posteam")).cast("int"))

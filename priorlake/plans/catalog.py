@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from priorlake.plans import base
 
-MODULES = ["flagship", "temporal"]
+MODULES = ["flagship", "facts", "temporal", "scalars", "evaluation"]
 
 
 def _load() -> None:
