@@ -113,8 +113,13 @@ def array_sum(a: Column) -> Column:
 
 
 def normalised(a: Column) -> Column:
-    total = array_sum(a)
-    return F.transform(a, lambda x: x / F.when(total > 0, total).otherwise(F.lit(1.0)))
+    """Scaled to sum to 1. Boxing the array in a one-element array evaluates it once."""
+
+    def scale(v: Column) -> Column:
+        total = array_sum(v)
+        return F.transform(v, lambda x: x / F.when(total > 0, total).otherwise(F.lit(1.0)))
+
+    return F.transform(F.array(a), scale)[0]
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -94,3 +94,23 @@ def against(ev: DataFrame, reference: str, models: list[str] | None = None) -> D
         cand = cand.filter(F.col("model").isin(*models))
     ref = ev.filter(F.col("model") == reference).select("game_id", sq.alias("sq_ref"))
     return cand.withColumn("sq_cand", sq).join(ref, "game_id")
+
+
+def compare_arms(ev: DataFrame, control: str, block: str = "block", replicates: int = REPLICATES, seed: int = SEED) -> DataFrame:
+    """Pooled RMSE per arm beside its paired difference from the control arm, in one pass.
+
+    The control pairs with itself, so it appears with a difference of zero.
+    """
+    sq = F.col("home_err") * F.col("home_err") + F.col("away_err") * F.col("away_err")
+    ref = ev.filter(F.col("model") == control).select("game_id", sq.alias("sq_ref"))
+    paired = ev.withColumn("sq_cand", sq).join(ref, "game_id")
+    sums = {"c": F.col("sq_cand"), "r": F.col("sq_ref"), "n": F.lit(2)}
+    reps = resample(block_sums(paired, ["model"], block, sums), ["model"], block, list(sums), replicates, seed)
+    level = F.sqrt(F.try_divide(F.col("c"), F.col("n")))
+    delta = level - F.sqrt(F.try_divide(F.col("r"), F.col("n")))
+    point = F.col("rep") == POINT
+    q = F.percentile(F.when(~point, delta), F.array(F.lit(0.025), F.lit(0.975)))
+    return reps.groupBy(F.col("model").alias("arm")).agg(
+        (F.max(F.when(point, F.col("n"))) / 2).cast("long").alias("n_games"), F.max(F.when(point, level)).alias("rmse"),
+        F.max(F.when(point, delta)).alias("delta"), q[0].alias("lo"), q[1].alias("hi"),
+    )

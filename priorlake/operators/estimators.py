@@ -1,0 +1,140 @@
+"""MLlib estimators behind the fit/predict contract of `folds.walk_forward`."""
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, RandomForestRegressor
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from priorlake.operators.rules import DRIFT_ROWS, sample_weight
+
+KEEP = ["game_id", "season", "week", "gameday", "t", "home_team", "away_team", "home_score", "away_score"]
+
+
+def training_moments(train: DataFrame, features: list[str]) -> dict[str, tuple[float, float]]:
+    """Training mean and population deviation per feature: one aggregate, two numbers each."""
+    aggs = [f(c).alias(f"{n}_{c}") for c in features for n, f in (("m", F.avg), ("n", F.count))]
+    row = train.agg(*aggs, F.count("*").alias("_rows")).first()
+    mean = {c: row[f"m_{c}"] or 0.0 for c in features}
+    spread = train.agg(*[F.stddev_pop(F.coalesce(F.col(c).cast("double"), F.lit(mean[c]))).alias(c) for c in features]).first()
+    return {c: (mean[c], spread[c] or 1.0) for c in features}
+
+
+def vectors(df: DataFrame, moments: dict[str, tuple[float, float]]) -> DataFrame:
+    """Imputed and standardised features in one vector column."""
+    scaled = df.select("*", *[((F.coalesce(F.col(c).cast("double"), F.lit(m)) - m) / s).alias(f"_z_{c}") for c, (m, s) in moments.items()])
+    return VectorAssembler(inputCols=[f"_z_{c}" for c in moments], outputCol="_x").transform(scaled).drop(*[f"_z_{c}" for c in moments])
+
+
+def weighted(df: DataFrame) -> DataFrame:
+    return df.withColumn("_weight", sample_weight(F.col("went_to_ot")))
+
+
+def drift(train: DataFrame, predict: Callable[[DataFrame], DataFrame], rows: int = DRIFT_ROWS) -> dict[str, float]:
+    """Mean error over the latest training rows; the top-k keeps `rows` rows per task at most."""
+    if not rows:
+        return {"home": 0.0, "away": 0.0}
+    latest = train.orderBy(F.desc("t"), F.desc("game_id")).limit(rows)
+    bias = [F.avg(F.col(f"{s}_pred") - F.col(f"{s}_score")).alias(s) for s in ("home", "away")]
+    return predict(latest).agg(*bias).first().asDict()
+
+
+def _corrected(df: DataFrame, offset: dict[str, float]) -> DataFrame:
+    return df.withColumns({f"{s}_pred": F.col(f"{s}_pred") - F.lit(offset[s]) for s in ("home", "away")})
+
+
+def two_sided(make: Callable[[str, float], object], features: list[str], drift_rows: int = DRIFT_ROWS):
+    """fit/predict for an estimator trained once per side; `make(label, weighted label mean)` builds it."""
+
+    def raw(fitted, test: DataFrame) -> DataFrame:
+        moments, models = fitted
+        out = vectors(test, moments)
+        for side in ("home", "away"):
+            out = models[side].setPredictionCol(f"{side}_pred").transform(out)
+        return out.select(*KEEP, "home_pred", "away_pred")
+
+    def fit(train: DataFrame):
+        moments = training_moments(train, features)
+        ready = weighted(vectors(train, moments)).persist()
+        models = {}
+        for side in ("home", "away"):
+            label = f"{side}_score"
+            mean = ready.agg(F.sum(F.col(label) * F.col("_weight")) / F.sum("_weight")).first()[0]
+            models[side] = make(label, mean).fit(ready)
+        ready.unpersist()
+        return (moments, models), drift(train, lambda rows: raw((moments, models), rows), drift_rows)
+
+    def predict(fitted, test: DataFrame) -> DataFrame:
+        model, offset = fitted
+        return _corrected(raw(model, test), offset)
+
+    return fit, predict
+
+
+def poisson(features: list[str], alpha: float = 1.0):
+    """Poisson regression, log link. MLlib's penalty is alpha over the weighted mean of the label."""
+
+    def make(label: str, mean: float):
+        return GeneralizedLinearRegression(
+            family="poisson", link="log", featuresCol="_x", labelCol=label, weightCol="_weight", regParam=alpha / mean, maxIter=100
+        )
+
+    return two_sided(make, features)
+
+
+def random_forest(features: list[str], trees: int = 300, depth: int = 4, leaf: int = 15, seed: int = 42):
+    def make(label: str, mean: float):
+        return RandomForestRegressor(
+            featuresCol="_x", labelCol=label, weightCol="_weight", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, seed=seed
+        )
+
+    return two_sided(make, features)
+
+
+def boosted_trees(features: list[str], rounds: int = 100, depth: int = 3, rate: float = 0.03, seed: int = 42):
+    def make(label: str, mean: float):
+        return GBTRegressor(
+            featuresCol="_x", labelCol=label, weightCol="_weight", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed
+        )
+
+    return two_sided(make, features)
+
+
+def win_classifier(features: list[str]):
+    """Home-win probability mapped to a score pair by the training margins and total.
+
+    The penalty is the usual unit ridge on a summed loss, hence 1 over the total weight here.
+    """
+    from pyspark.ml.functions import vector_to_array
+
+    margin, w = F.col("home_score") - F.col("away_score"), F.col("_weight")
+
+    def raw(fitted, test: DataFrame) -> DataFrame:
+        moments, model, row = fitted
+        p = vector_to_array("probability")[1]
+        scored = model.transform(vectors(test, moments)).withColumn("_m", p * row["win"] + (1 - p) * row["loss"])
+        return scored.select(*KEEP, ((row["total"] + F.col("_m")) / 2).alias("home_pred"), ((row["total"] - F.col("_m")) / 2).alias("away_pred"))
+
+    def fit(train: DataFrame):
+        moments = training_moments(train, features)
+        ready = weighted(vectors(train, moments)).withColumn("_won", (margin > 0).cast("double")).persist()
+        mean = lambda x, keep: F.sum(F.when(keep, x * w)) / F.sum(F.when(keep, w))
+        row = ready.agg(
+            mean(margin, margin > 0).alias("win"), mean(margin, margin <= 0).alias("loss"),
+            mean(F.col("home_score") + F.col("away_score"), F.lit(True)).alias("total"), F.sum(w).alias("w"),
+        ).first().asDict()
+        model = LogisticRegression(
+            featuresCol="_x", labelCol="_won", weightCol="_weight", regParam=1.0 / row["w"], standardization=False
+        ).fit(ready)
+        ready.unpersist()
+        fitted = (moments, model, row)
+        return fitted, drift(train, lambda rows: raw(fitted, rows))
+
+    def predict(fitted, test: DataFrame) -> DataFrame:
+        model, offset = fitted
+        return _corrected(raw(model, test), offset)
+
+    return fit, predict

@@ -19,6 +19,21 @@ def cutoffs(contests: DataFrame, by: list[str] = ["season", "week"]) -> DataFram
     return contests.groupBy(*by).agg(F.min("t").alias("cutoff"))
 
 
+MAX_PINNED_ROWS = 20_000
+
+
+def pin(df: DataFrame) -> DataFrame:
+    """A frame with one row per fold, computed now and kept as literal rows.
+
+    Fold parameters feed several later steps; pinning them avoids computing the
+    pass behind them again. Larger frames are refused, never cut.
+    """
+    rows = df.take(MAX_PINNED_ROWS + 1)
+    if len(rows) > MAX_PINNED_ROWS:
+        raise ValueError(f"more than {MAX_PINNED_ROWS} rows: not a table of folds")
+    return df.sparkSession.createDataFrame(rows, df.schema)
+
+
 def fold_table(contests: DataFrame, burn_in: int = 2, min_rows: int = MIN_TRAIN_ROWS) -> DataFrame:
     """Folds after `burn_in` seasons with at least `min_rows` strictly earlier contests.
 

@@ -12,16 +12,17 @@ def counted(kinds: tuple[str, ...] = ("A", "R"), side: str = "posteam") -> Colum
     return F.col("kind").isin(*kinds) & F.col(side).isNotNull()
 
 
-PAIR_SUMS = {
-    "plays": F.count(F.when(counted(), F.col("epa"))),
-    "epa": F.sum(F.when(counted(), F.col("epa"))),
-    "succ": F.sum(F.when(counted(), F.col("success"))),
-    "pass_n": F.count(F.when(F.col("kind") == "A", F.col("epa"))),
-    "pass_epa": F.sum(F.when(F.col("kind") == "A", F.col("epa"))),
-    "pass_cpoe": F.sum(F.when(F.col("kind") == "A", F.col("cpoe"))),
-    "rush_n": F.count(F.when(F.col("kind") == "R", F.col("epa"))),
-    "rush_epa": F.sum(F.when(F.col("kind") == "R", F.col("epa"))),
-}
+PAIR_SUMS = ["plays", "epa", "succ", "pass_n", "pass_epa", "pass_cpoe", "rush_n", "rush_epa"]
+
+
+def pair_sums() -> dict[str, Column]:
+    c = F.col
+    kind = lambda k, value: F.when(c("kind") == k, c(value))
+    columns = [
+        F.count(F.when(counted(), c("epa"))), F.sum(F.when(counted(), c("epa"))), F.sum(F.when(counted(), c("success"))),
+        F.count(kind("A", "epa")), F.sum(kind("A", "epa")), F.sum(kind("A", "cpoe")), F.count(kind("R", "epa")), F.sum(kind("R", "epa")),
+    ]
+    return dict(zip(PAIR_SUMS, columns))
 
 
 def pair_rollup(plays: DataFrame) -> DataFrame:
@@ -34,7 +35,7 @@ def pair_rollup(plays: DataFrame) -> DataFrame:
         F.sum("qty").alias("qty"),
         F.count("*").alias("n"),
         F.max("day").alias("last_day"),
-        *[c.alias(n) for n, c in PAIR_SUMS.items()],
+        *[c.alias(n) for n, c in pair_sums().items()],
     )
 
 
@@ -42,7 +43,7 @@ def wide_contests(pairs: DataFrame) -> DataFrame:
     """Schedule columns plus both directions' sums (`h_*`: home has the ball)."""
     from priorlake.sources.views import contests_from
 
-    return contests_from(pairs, list(PAIR_SUMS))
+    return contests_from(pairs, PAIR_SUMS)
 
 
 def _side_stats(own: str, other: str) -> list[Column]:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from priorlake.plans import base
 
-MODULES = ["flagship", "facts", "temporal", "scalars", "evaluation", "ledger"]
+MODULES = ["flagship", "facts", "temporal", "scalars", "evaluation", "ledger", "models"]
 
 
 def _load() -> None:

@@ -211,7 +211,11 @@ def in_doubt_range(spark, folder):
     return base.details(spark, folder).filter(real & F.col("wp").between(0.20, 0.80)).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-ARMS = {"all_events": F.lit(True), "counted": rollup.counted(), "first_kind": F.col("kind") == "A"}
+ARMS = ["all_events", "counted", "first_kind"]
+
+
+def filter_predicates():
+    return dict(zip(ARMS, [F.lit(True), rollup.counted(), F.col("kind") == "A"]))
 
 
 @query("b5_filter_arms", with_views("plays", """
@@ -221,7 +225,7 @@ SELECT game_id, posteam AS team, count(*) AS all_events_n, round(avg(success), 9
 FROM plays GROUP BY game_id, posteam"""))
 def filter_arms(spark, folder):
     df = plays(spark, folder).withColumn("team", F.col("posteam"))
-    out = rollup.arm_rates(df, ["game_id", "team"], ARMS, {"success": "success"})
+    out = rollup.arm_rates(df, ["game_id", "team"], filter_predicates(), {"success": "success"})
     return out.select("game_id", "team", *[f"{a}_n" for a in ARMS], *rs(*[f"{a}_success" for a in ARMS], digits=9))
 
 
