@@ -99,11 +99,14 @@ def against(ev: DataFrame, reference: str, models: list[str] | None = None) -> D
 def compare_arms(ev: DataFrame, control: str, block: str = "block", replicates: int = REPLICATES, seed: int = SEED) -> DataFrame:
     """Pooled RMSE per arm beside its paired difference from the control arm, in one pass.
 
-    The control pairs with itself, so it appears with a difference of zero.
+    The control pairs with itself, so it appears with a difference of zero. Arms
+    meet on their contest in a window of one row per arm, so the forecasts are
+    computed once.
     """
     sq = F.col("home_err") * F.col("home_err") + F.col("away_err") * F.col("away_err")
-    ref = ev.filter(F.col("model") == control).select("game_id", sq.alias("sq_ref"))
-    paired = ev.withColumn("sq_cand", sq).join(ref, "game_id")
+    own = F.when(F.col("model") == control, sq)
+    paired = ev.select("model", "game_id", block, sq.alias("sq_cand"), own.alias("_own"))
+    paired = paired.withColumn("sq_ref", F.max("_own").over(Window.partitionBy("game_id"))).filter(F.col("sq_ref").isNotNull())
     sums = {"c": F.col("sq_cand"), "r": F.col("sq_ref"), "n": F.lit(2)}
     reps = resample(block_sums(paired, ["model"], block, sums), ["model"], block, list(sums), replicates, seed)
     level = F.sqrt(F.try_divide(F.col("c"), F.col("n")))

@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from priorlake.functions.scalars import dot
 from priorlake.operators.places import SEGMENT, cut_places, segment_of, with_segments
 from priorlake.operators.rules import DRIFT_ROWS
 
@@ -48,6 +49,10 @@ class Arm:
         return self.features[side] if isinstance(self.features, dict) else self.features
 
 
+def used_features(arms: dict[str, Arm]) -> list[str]:
+    return sorted({c for a in arms.values() for s in SIDES for c in a.columns(s)})
+
+
 @dataclass(frozen=True)
 class _Layout:
     names: list[str] = field(default_factory=list)
@@ -91,14 +96,15 @@ def fold_marks(folds: DataFrame, drifts: list[int]) -> DataFrame:
 def ridge_parameters(
     table: DataFrame, folds: DataFrame, arms: dict[str, Arm], weights: dict[str, Column] | None = None
 ) -> DataFrame:
-    """(season, week, arm, side, alpha, intercept, coef, means) for every fold and arm.
+    """One row per fold and arm: per side alpha, intercept and coefficients, and the training means.
 
-    Coefficients are on the raw feature scale; the drift offset is already
-    taken off the intercept. The solve of one fold sees a few small matrices,
+    Coefficients are on the raw feature scale and laid out over the union of
+    all arms' features (zero where an arm does not use one); the drift offset
+    is already taken off the intercept. The solve of one fold sees a few small matrices,
     whatever the number of rows behind them.
     """
     weights = weights or {}
-    names = sorted({c for a in arms.values() for s in SIDES for c in a.columns(s)})
+    names = used_features(arms)
     drifts = sorted({a.drift for a in arms.values() if a.drift})
     layout = _Layout(names, [f"_w_{k}" for k in weights])
     played = table.filter(F.col("home_score").isNotNull() & F.col("away_score").isNotNull())
@@ -119,7 +125,8 @@ def ridge_parameters(
     packed = running.groupBy("seg").agg(F.array_sort(F.collect_list(F.struct("i", "j", *values))).alias("_g"))
     packed = packed.select("seg", *[F.col("_g")[v].alias(v) for v in values])
     asked = segment_of(marks, [], cuts).withColumn("seg", F.col("_upto") - 1).join(packed, "seg", "left")
-    schema = "season int, week int, arm string, side string, alpha double, intercept double, coef array<double>, means array<double>"
+    sides = ", ".join(f"{s}_alpha double, {s}_intercept double, {s}_coef array<double>" for s in SIDES)
+    schema = f"season int, week int, arm string, {sides}, means array<double>"
     return asked.select("season", "week", "cutoff", "role", *values).groupBy("season", "week").applyInPandas(
         _solver(arms, layout, list(weights), drifts), schema
     )
@@ -160,14 +167,25 @@ def _solver(arms: dict[str, Arm], layout: _Layout, weight_keys: list[str], drift
                 weighted = {role: scale * _square(getattr(row, column), q) for role, row in by_role.items()}
             else:
                 weighted = plain
+            row = [*key, name]
             for y, side in enumerate(SIDES):
                 idx = [at[c] for c in arm.columns(side)]
-                out.append((*key, name, side, *_fit_side(arm, plain, weighted, idx, p_all, y, drifts)))
-        return pd.DataFrame(out, columns=["season", "week", "arm", "side", "alpha", "intercept", "coef", "means"])
+                alpha, intercept, coef = _fit_side(arm, plain, weighted, idx, p_all, y, drifts)
+                spread = np.zeros(p_all)
+                spread[idx] = coef
+                row += [alpha, intercept, spread.tolist()]
+            out.append((*row, _training_means(plain[INNER_SPLITS], list(range(p_all)), p_all).tolist()))
+        names = ["season", "week", "arm", *[f"{s}_{c}" for s in SIDES for c in ("alpha", "intercept", "coef")], "means"]
+        return pd.DataFrame(out, columns=names)
 
     return solve_fold
 
 
+def _training_means(full: np.ndarray, idx: list[int], p_all: int) -> np.ndarray:
+    known = full[0, 0] - full[0, [1 + p_all + i for i in idx]]
+    return np.where(known > 0, full[0, [1 + i for i in idx]] / np.where(known > 0, known, 1), 0.0)
+
+
 def _fit_side(arm: Arm, plain, weighted, idx, p_all: int, y: int, drifts):
     p, last = len(idx), INNER_SPLITS
     full = plain[last]
@@ -175,8 +193,7 @@ def _fit_side(arm: Arm, plain, weighted, idx, p_all: int, y: int, drifts):
     x_cols = [1 + i for i in idx]
     gap_cols = [1 + p_all + i for i in idx]
     target = 1 + 2 * p_all + y
-    known = rows - full[0, gap_cols]
-    means = np.where(known > 0, full[0, x_cols] / np.where(known > 0, known, 1), 0.0)
+    means = _training_means(full, idx, p_all)
     impute = np.zeros((p + 2, full.shape[0]))
     impute[0, 0] = 1.0
     impute[p + 1, target] = 1.0
@@ -202,7 +219,7 @@ def _fit_side(arm: Arm, plain, weighted, idx, p_all: int, y: int, drifts):
         n = recent[0, 0]
         intercept -= (intercept * n + recent[0, 1 : p + 1] @ beta - recent[0, p + 1]) / n
     coef = beta / sd
-    return float(alpha), float(intercept - coef @ means), coef.tolist(), means.tolist()
+    return float(alpha), float(intercept - coef @ means), coef
 
 
 def _inner_r2(u, w, alpha: float, p: int) -> float:
@@ -219,24 +236,14 @@ def _inner_r2(u, w, alpha: float, p: int) -> float:
     return float(np.mean(scores))
 
 
-def ridge_predictions(table: DataFrame, parameters: DataFrame, arms: dict[str, Arm], keep: list[str]) -> DataFrame:
+def ridge_predictions(table: DataFrame, parameters: DataFrame, features: list[str], keep: list[str]) -> DataFrame:
     """Long predictions (model = arm) of every fold's rows, `keep` columns carried along."""
-    per_fold = parameters.groupBy("season", "week").agg(
-        F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "arm", "side"), F.struct("intercept", "coef", "means")))).alias("_p")
-    )
-    joined = table.join(per_fold, ["season", "week"])
-    items = []
-    for name, arm in arms.items():
-        preds = []
-        for side in SIDES:
-            fit = F.try_element_at("_p", F.lit(f"{name}|{side}"))
-            total = fit["intercept"]
-            for k, c in enumerate(arm.columns(side)):
-                total = total + fit["coef"][k] * F.coalesce(F.col(c).cast("double"), fit["means"][k])
-            preds.append(total.alias(f"{side}_pred"))
-        items.append(F.struct(F.lit(name).alias("model"), *preds))
-    return joined.select(*keep, F.explode(F.array(*items)).alias("_x")).select("_x.model", *keep, "_x.home_pred", "_x.away_pred")
+    values = F.array(*[F.col(c).cast("double") for c in features])
+    joined = table.select(*keep, values.alias("_v")).join(parameters, ["season", "week"])
+    joined = joined.withColumn("_v", F.zip_with("_v", "means", lambda x, m: F.coalesce(x, m)))
+    pred = lambda s: (F.col(f"{s}_intercept") + dot(F.col("_v"), F.col(f"{s}_coef"))).alias(f"{s}_pred")
+    return joined.select(F.col("arm").alias("model"), *keep, *[pred(s) for s in SIDES])
 
 
 def walk_forward_ridge(table: DataFrame, folds: DataFrame, arms: dict[str, Arm], keep: list[str], weights: dict[str, Column] | None = None) -> DataFrame:
-    return ridge_predictions(table, ridge_parameters(table, folds, arms, weights), arms, keep)
+    return ridge_predictions(table, ridge_parameters(table, folds, arms, weights), used_features(arms), keep)

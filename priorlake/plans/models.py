@@ -299,6 +299,11 @@ def sided(names):
 
 
 def compare(spark, folder, table, arms, control="control", weights=None):
+    """One training pass and one scoring pass over the arms' shared table, which is kept between them."""
+    if table is not None:
+        columns = [*KEEP, "went_to_ot", *gram.used_features(arms)]
+        wide = table.select(*columns)
+        table = base.keep(spark, folder, "arms:" + ",".join(columns), lambda: wide)
     return arm_table(ridge(spark, folder, arms, table, weights), control)
 
 
