@@ -15,12 +15,16 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     window never sees more than one range of one key.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
-    counts = counts.withColumn("_all", F.lit(0))
-    k = [*keys, "_all"]
+    k = keys
     limits = counts.groupBy(*k).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total"))
+    if keys:
+        limited = counts.join(limits, k)
+    else:
+        one = limits.select(F.struct("_lo", "_hi", "_total")).scalar()
+        limited = counts.withColumn("_lim", one).select("_v", "_n", "_lim.*")
     span = F.col("_hi") - F.col("_lo")
     bucket = F.when(span > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / span * buckets), F.lit(buckets - 1))).otherwise(F.lit(0))
-    placed = counts.join(limits, k).withColumn("_b", bucket.cast("int"))
+    placed = limited.withColumn("_b", bucket.cast("int"))
     tops = (
         placed.groupBy(*k, "_b", "_total")
         .agg(F.sum("_n").alias("_m"))
@@ -53,7 +57,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     pos = (F.first("_total") - 1) * F.first("_h.p")
     return found.groupBy(*k, F.col("_h.i").alias("_i")).agg(
         F.first("_h.p").alias("prob"), (low + (high - low) * (pos - F.floor(pos))).alias("q")
-    ).drop("_i", "_all")
+    ).drop("_i")
 
 
 def quantile_edges(df: DataFrame, keys: list[str], value: str, bins: int) -> DataFrame:

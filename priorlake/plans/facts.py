@@ -296,14 +296,14 @@ def training_frame(spark, folder):
 
 
 @query("b15_interactions", with_views("model_table", """
-SELECT game_id, round(home_pregame_off_epa_per_play * away_pregame_def_epa_per_play, 10) AS home_matchup,
-       round(away_pregame_off_epa_per_play * home_pregame_def_epa_per_play, 10) AS away_matchup FROM model_table"""))
+SELECT game_id, round(home_pregame_off_epa_per_play * away_pregame_def_epa_per_play, 12) AS home_matchup,
+       round(away_pregame_off_epa_per_play * home_pregame_def_epa_per_play, 12) AS away_matchup FROM model_table"""))
 def interactions(spark, folder):
     terms = [
         ("home_matchup", "home_pregame_off_epa_per_play", "away_pregame_def_epa_per_play"),
         ("away_matchup", "away_pregame_off_epa_per_play", "home_pregame_def_epa_per_play"),
     ]
-    return assemble.interactions(base.model_table(spark, folder), terms).select("game_id", *rs("home_matchup", "away_matchup", digits=10))
+    return assemble.interactions(base.model_table(spark, folder), terms).select("game_id", *rs("home_matchup", "away_matchup", digits=12))
 
 
 # ------------------------------------------------------------------ C. joins
