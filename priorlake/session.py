@@ -1,9 +1,6 @@
 """Session settings the operators rely on."""
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -29,16 +26,3 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: the cluster's own, else a local one for tests."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        master = spark.sparkContext.master
-        if not master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a shared folder on a cluster")
-        configured = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", configured)
-    spark.sparkContext.setCheckpointDir(configured)
-    return configured
