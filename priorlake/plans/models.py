@@ -260,7 +260,7 @@ o AS (SELECT f.season AS fs, f.week AS fw, w.*, row_number() OVER (PARTITION BY
 e AS (SELECT fs, fw, g.g AS g, count(*) AS rows, round(sum(((1 - g.g) * a_h + g.g * b_h - hs) ** 2 + ((1 - g.g) * a_a + g.g * b_a - sa) ** 2), 6) AS err
       FROM o, (SELECT unnest(range(0, 21)) * 0.05 AS g) g WHERE place >= floor(n * 0.75) GROUP BY ALL),
 c AS (SELECT fs AS season, fw AS week, CASE WHEN any_value(rows) < 40 THEN 0.25 ELSE arg_min(g, err) END AS wt FROM e GROUP BY ALL)
-SELECT game_id, round(wt, 2) AS w, round((1 - wt) * a_h + wt * b_h, 6) AS home_pred, round((1 - wt) * a_a + wt * b_a, 6) AS away_pred FROM w JOIN c USING (season, week)"""))
+SELECT game_id, CAST(round(wt, 2) AS DOUBLE) AS w, round((1 - wt) * a_h + wt * b_h, 6) AS home_pred, round((1 - wt) * a_a + wt * b_a, 6) AS away_pred FROM w JOIN c USING (season, week)"""))
 def tail_blend(spark, folder):
     out = blends.tail_blend(members(spark, folder), base.folds(spark, folder), *MEMBERS)
     return out.select("game_id", r("w", 2).alias("w"), *rs("home_pred", "away_pred"))
