@@ -105,14 +105,15 @@ def normal_equations(train: DataFrame, fourier: FourierMap) -> tuple[np.ndarray,
             z = fourier(_matrix(rows))
             total += z.T @ np.column_stack([z, rows["quality"].to_numpy(dtype=float)])
         if total.any():
-            yield pd.DataFrame({"i": np.arange(size), "sums": list(total)})
+            yield pd.DataFrame({"i": np.arange(size), "sums": total.tolist()})
 
     def added(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, np.ndarray] = {}
         for rows in it:
             for i, v in zip(rows["i"], rows["sums"], strict=True):
                 sums[i] = sums[i] + v if i in sums else np.array(v)
-        yield pd.DataFrame({"i": list(sums), "sums": list(sums.values())})
+        if sums:
+            yield pd.DataFrame({"i": list(sums), "sums": [v.tolist() for v in sums.values()]})
 
     parts = train.mapInPandas(partial, "i int, sums array<double>")
     rows = parts.repartition("i").mapInPandas(added, "i int, sums array<double>").toPandas()
