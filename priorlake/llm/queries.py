@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from priorlake.llm.stats import COUNTS
 
@@ -23,5 +24,22 @@ def op8_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality_classifier(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op5_quality_rules, op8_quality_classifier)}
+def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    from priorlake.llm.token_counts import token_counts
+
+    return token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    from priorlake.llm.byte_bpe import encode
+
+    out = encode(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op5_quality_rules, op6_byte_bpe, op8_quality_classifier)}
 SQL: dict[str, str] = {}
