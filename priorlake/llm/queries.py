@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from priorlake.llm import mixing
 from priorlake.llm.stats import COUNTS
 
 
@@ -11,6 +12,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    from priorlake.llm.secrets import KINDS, joined, secret_spans
+
+    found = secret_spans(table(spark, folder, "documents")).withColumn("base", F.filter("spans", lambda s: s["layer"] == 0))
+    n = [F.size(F.filter(F.transform("base", lambda s: s["kind"]), _is(kind))).cast("long").alias(f"n_{kind}") for kind in KINDS]
+    return found.select("doc_id", *n, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), "n_unopened")
+
+
 def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     from priorlake.llm.quality_rules import quality_rules
 
@@ -24,6 +33,10 @@ def op8_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality_classifier(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def _is(value: str):
+    return lambda x: x == value
+
+
 def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -41,5 +54,12 @@ def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op5_quality_rules, op6_byte_bpe, op8_quality_classifier)}
-SQL: dict[str, str] = {}
+def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    from priorlake.llm.mixing import mixing
+
+    out = mixing(table(spark, folder, "documents"))
+    return out.select("doc_id", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_secret_scan, op5_quality_rules, op6_byte_bpe, op8_quality_classifier, op10_mixing)}
+SQL: dict[str, str] = {"op10_mixing": mixing.SQL}

@@ -1,0 +1,285 @@
+"""Secret scans with a worklist of decoded layers: URL and Unicode escapes, base64 and compressed data, to a fixpoint.
+
+Every layer found is scanned anew and its matches are mapped to the code points of the original text they stem from. A
+digest of every layer seen stops cycles. The scan of a text needs that text only, so nothing is shuffled.
+
+Defined cases: a null text counts as empty and has no spans; ids may be null or repeated, each row is answered; an
+empty table gives no rows; equal spans from several layers count once, the outermost layer is kept. A layer that would unpack to
+more than max_layer_bytes (a guard against bombs) is not opened but counted in n_unopened.
+"""
+from __future__ import annotations
+
+import base64
+import binascii
+import bz2
+import hashlib
+import lzma
+import re
+import zlib
+from collections import deque
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import zstandard
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from priorlake.llm.shared import small_batches
+
+# The kinds in their order, their patterns and least lengths.
+KINDS = ("assign", "access", "hex")
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
+LEAST_VALUE = 8
+ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
+HEX = re.compile(r"[0-9a-f]{32,}")
+
+MAX_LAYER_BYTES = 64 << 20
+PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-f]{2})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|&#[xX][0-9A-Fa-f]{1,6};|&#[0-9]{1,7};")
+CODED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+
+Span = tuple[str, int, int]
+
+
+def scan(text: str) -> list[Span]:
+    """Kind, start and end (code points) of all matches, leftmost and disjoint per kind."""
+    found: list[Span] = []
+    if ":" in text or "=" in text:
+        found += [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= LEAST_VALUE]
+    if "AKIA" in text:
+        found += [("access", *m.span()) for m in ACCESS.finditer(text)]
+    found += [("hex", *m.span()) for m in HEX.finditer(text)]
+    return found
+
+
+def _percent(run: str) -> list[tuple[str, int, int]] | None:
+    """Characters of a run of escapes with the offsets they come from; None if the bytes are no UTF-8."""
+    raw = bytes.fromhex(run.replace("%", ""))
+    try:
+        text = raw.decode()
+    except UnicodeDecodeError:
+        return None
+    out, at = [], 0
+    for c in text:
+        n = 3 * len(c.encode())
+        out.append((c, at, at + n))
+        at += n
+    return out
+
+
+def _unicode(run: str) -> list[tuple[str, int, int]] | None:
+    if run.startswith("&#"):
+        codes, step = [int(run[3:-1], 16) if run[2] in "xX" else int(run[2:-1])], len(run)
+    elif run.startswith("\\u{"):
+        codes, step = [int(run[3:-1], 16)], len(run)
+    else:
+        step = {"u": 6, "x": 4, "U": 10}[run[1]]
+        codes = [int(run[i + 2 : i + step], 16) for i in range(0, len(run), step)]
+    out: list[tuple[str, int, int]] = []
+    k = 0
+    while k < len(codes):
+        code, upto = codes[k], k + 1
+        if 0xD800 <= code < 0xDC00 and upto < len(codes) and 0xDC00 <= codes[upto] < 0xE000:
+            code, upto = 0x10000 + ((code - 0xD800) << 10) + codes[upto] - 0xDC00, upto + 1
+        if code > 0x10FFFF or 0xD800 <= code < 0xE000:
+            return None
+        out.append((chr(code), k * step, upto * step))
+        k = upto
+    return out
+
+
+class Layer:
+    """A decoded text with, for every code point, where in the original it begins and ends, and whether it was decoded."""
+
+    def __init__(self, text: str, begins: np.ndarray | None, ends: np.ndarray | None, decoded: np.ndarray | None, depth: int) -> None:
+        self.text, self.begins, self.ends, self.decoded, self.depth = text, begins, ends, decoded, depth
+
+    def place(self, start: int, end: int) -> tuple[int, int]:
+        return (start, end) if self.begins is None else (int(self.begins[start:end].min()), int(self.ends[start:end].max()))
+
+    def touched(self, start: int, end: int) -> bool:
+        return self.decoded is not None and bool(self.decoded[start:end].any())
+
+    def unescaped(self, pattern: re.Pattern, decode) -> Layer | None:
+        """The whole layer with the pattern's runs decoded; other characters keep their place."""
+        parts, begins, ends, flags, at = [], [], [], [], 0
+
+        def copy(a: int, b: int) -> None:
+            parts.append(self.text[a:b])
+            begins.append(np.arange(a, b) if self.begins is None else self.begins[a:b])
+            ends.append(np.arange(a + 1, b + 1) if self.ends is None else self.ends[a:b])
+            flags.append(np.zeros(b - a, bool) if self.decoded is None else self.decoded[a:b])
+
+        for m in pattern.finditer(self.text):
+            chars = decode(m[0])
+            if chars is None:
+                continue
+            copy(at, m.start())
+            at = m.end()
+            where = [self.place(m.start() + a, m.start() + b) for _, a, b in chars]
+            parts.append("".join(c for c, _, _ in chars))
+            begins.append(np.array([a for a, _ in where], dtype=int))
+            ends.append(np.array([b for _, b in where], dtype=int))
+            flags.append(np.ones(len(chars), bool))
+        if not parts:
+            return None
+        copy(at, len(self.text))
+        return Layer("".join(parts), np.concatenate(begins), np.concatenate(ends), np.concatenate(flags), self.depth + 1)
+
+    def opened(self, limit: int) -> Iterator[Layer | None]:
+        """A layer for each coded run that yields text, maybe through compression; None where it would pass the limit."""
+        for m in CODED.finditer(self.text):
+            raw = _from_base64(m[0])
+            if raw is None:
+                continue
+            raw, whole = _unpacked(raw, limit)
+            if not whole:
+                yield None
+                continue
+            text = _as_text(raw)
+            if text:
+                a, b = self.place(*m.span())
+                yield Layer(text, np.full(len(text), a), np.full(len(text), b), np.ones(len(text), bool), self.depth + 1)
+
+
+def _from_base64(run: str) -> bytes | None:
+    body = run.rstrip("=").replace("-", "+").replace("_", "/")
+    if len(body) % 4 == 1:
+        return None
+    try:
+        return base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
+    except binascii.Error:
+        return None
+
+
+def _unpacked(raw: bytes, limit: int) -> tuple[bytes, bool]:
+    """raw with its compressed layers taken off, and whether that stayed within the limit."""
+    seen: set[bytes] = set()
+    while True:
+        key = hashlib.sha1(raw).digest()
+        if key in seen:
+            return raw, True
+        seen.add(key)
+        try:
+            if raw[:2] == b"\x1f\x8b":
+                worker = zlib.decompressobj(31)
+            elif raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] * 256 + raw[1]) % 31 == 0:
+                worker = zlib.decompressobj()
+            elif raw[:3] == b"BZh":
+                worker = bz2.BZ2Decompressor()
+            elif raw[:6] == b"\xfd7zXZ\x00":
+                worker = lzma.LZMADecompressor(memlimit=256 << 20)
+            elif raw[:4] == b"\x28\xb5\x2f\xfd":
+                with zstandard.ZstdDecompressor(max_window_size=1 << 27).stream_reader(raw) as reader:
+                    more = reader.read(limit + 1)
+                if len(more) > limit:
+                    return raw, False
+                raw = more
+                continue
+            else:
+                return raw, True
+            more = worker.decompress(raw, limit + 1)
+        except (zlib.error, zstandard.ZstdError, OSError, EOFError, ValueError, lzma.LZMAError):
+            return raw, True
+        if len(more) > limit:
+            return raw, False
+        if not more:
+            return raw, True
+        raw = more
+
+
+def _as_text(raw: bytes) -> str | None:
+    """raw as UTF-8 text, if nearly all of it is printable."""
+    try:
+        text = raw.decode()
+    except UnicodeDecodeError:
+        return None
+    shown = sum(c.isprintable() or c in "\n\r\t" for c in text)
+    return text if text and shown >= 0.95 * len(text) else None
+
+
+def find_secrets(text: str, max_layer_bytes: int = MAX_LAYER_BYTES) -> tuple[list[tuple[str, int, int, int]], int]:
+    """(kind, start, end, layer depth) of all spans in the original text, base ones at depth 0, and the layers left unopened."""
+    base = scan(text)
+    spans = {span: 0 for span in base}
+    unopened = 0
+    escaped = "%" in text or "\\" in text or "&#" in text
+    coded = CODED.search(text) is not None
+    if escaped or coded:
+        work = deque([Layer(text, None, None, None, 0)])
+        seen = {hashlib.sha1(text.encode("utf-8", "surrogatepass")).digest()}
+        while work:
+            layer = work.popleft()
+            more = [layer.unescaped(PERCENT, _percent) if "%" in layer.text else None]
+            more.append(layer.unescaped(UNICODE, _unicode) if "\\" in layer.text or "&#" in layer.text else None)
+            for found in layer.opened(max_layer_bytes):
+                unopened += found is None
+                more.append(found)
+            for found in more:
+                if found is None:
+                    continue
+                key = hashlib.sha1(found.text.encode("utf-8", "surrogatepass") + found.begins.tobytes()).digest()
+                if key in seen:
+                    continue
+                seen.add(key)
+                work.append(found)
+                for kind, a, b in scan(found.text):
+                    if found.touched(a, b):
+                        spans.setdefault((kind, *found.place(a, b)), found.depth)
+    order = sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
+    return [(*s, spans[s]) for s in order], unopened
+
+
+SPANS = "array<struct<kind:string,start:int,end:int,layer:int>>"
+
+
+def secret_spans(docs: DataFrame, max_layer_bytes: int = MAX_LAYER_BYTES, carry: list[str] | None = None) -> DataFrame:
+    """One row per document: doc_id, carried columns, spans ordered by start, kind and end, n_unopened."""
+    small_batches(docs.sparkSession, 2000)
+    carry = carry or []
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("layer", pa.int32())]))
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            found = [find_secrets(t, max_layer_bytes) for t in batch.column(0).to_pylist()]
+            spans = pa.array([[dict(zip(("kind", "start", "end", "layer"), s, strict=True)) for s in spans] for spans, _ in found], kind)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], spans, pa.array([n for _, n in found], pa.int32())], [*batch.schema.names[1:], "spans", "n_unopened"])
+
+    slim = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"), F.col("doc_id").cast("long").alias("doc_id"), *carry)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema[1:]) + f", spans {SPANS}, n_unopened int"
+    return slim.mapInArrow(batches, schema)
+
+
+def joined(spans: Column) -> Column:
+    """kind:start:end of every span, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def redacted(docs: DataFrame, mark: str = "[{kind}]") -> DataFrame:
+    """docs with every found span replaced by its kind's mark; overlapping spans merge into one, named by the first."""
+    columns = docs.columns
+    small_batches(docs.sparkSession, 2000)
+    at = columns.index("text")
+
+    def clean(text: str | None) -> str | None:
+        if text is None:
+            return None
+        parts, done = [], 0
+        runs: list[list] = []
+        for kind, a, b, _ in find_secrets(text)[0]:
+            if runs and a < runs[-1][2]:
+                runs[-1][2] = max(runs[-1][2], b)
+            else:
+                runs.append([kind, a, b])
+        for kind, a, b in runs:
+            parts += [text[done:a], mark.format(kind=kind)]
+            done = b
+        return "".join([*parts, text[done:]])
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            texts = pa.array([clean(t) for t in batch.column(at).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([texts if k == at else c for k, c in enumerate(batch.columns)], batch.schema.names)
+
+    return docs.mapInArrow(batches, docs.schema)
