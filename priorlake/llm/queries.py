@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from priorlake.llm import mixing
+from priorlake.llm import embedding_dedup, mixing
 from priorlake.llm.stats import COUNTS
 
 
@@ -12,8 +12,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.embedding_dedup(table(spark, folder, "embeddings"))
+
+
 def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
-    from priorlake.llm.secrets import KINDS, joined, secret_spans
+    from priorlake.llm.secret_scan import KINDS, joined, secret_spans
 
     found = secret_spans(table(spark, folder, "documents")).withColumn("base", F.filter("spans", lambda s: s["layer"] == 0))
     n = [F.size(F.filter(F.transform("base", lambda s: s["kind"]), _is(kind))).cast("long").alias(f"n_{kind}") for kind in KINDS]
@@ -27,6 +31,12 @@ def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", *COUNTS, "base_failed", "kept", "quality_score")
 
 
+def op7_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    from priorlake.llm.ngram_join import ngram_join
+
+    return ngram_join(table(spark, folder, "documents"))
+
+
 def op8_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     from priorlake.llm.quality_classifier import quality_classifier
 
@@ -61,5 +71,5 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_secret_scan, op5_quality_rules, op6_byte_bpe, op8_quality_classifier, op10_mixing)}
-SQL: dict[str, str] = {"op10_mixing": mixing.SQL}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_embedding_dedup, op3_secret_scan, op5_quality_rules, op6_byte_bpe, op7_ngram_join, op8_quality_classifier, op10_mixing)}
+SQL: dict[str, str] = {"op2_embedding_dedup": embedding_dedup.SQL, "op10_mixing": mixing.SQL}
