@@ -64,6 +64,13 @@ def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from priorlake.llm.suffix_dedup import suffix_dedup
+
+    out = suffix_dedup(table(spark, folder, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     from priorlake.llm.mixing import mixing
 
@@ -71,5 +78,5 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_embedding_dedup, op3_secret_scan, op5_quality_rules, op6_byte_bpe, op7_ngram_join, op8_quality_classifier, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_embedding_dedup, op3_secret_scan, op5_quality_rules, op6_byte_bpe, op7_ngram_join, op8_quality_classifier, op9_suffix_dedup, op10_mixing)}
 SQL: dict[str, str] = {"op2_embedding_dedup": embedding_dedup.SQL, "op10_mixing": mixing.SQL}
