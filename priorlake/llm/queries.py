@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from priorlake.llm import embedding_dedup, mixing
+from priorlake.llm import chat_quotes, embedding_dedup, mixing
 from priorlake.llm.stats import COUNTS
 
 
@@ -24,6 +24,10 @@ def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *n, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), "n_unopened")
 
 
+def op4_chat_quotes(spark: SparkSession, folder: str) -> DataFrame:
+    return chat_quotes.reply_ordered(table(spark, folder, "conversations"))
+
+
 def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     from priorlake.llm.quality_rules import quality_rules
 
@@ -78,5 +82,5 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_embedding_dedup, op3_secret_scan, op5_quality_rules, op6_byte_bpe, op7_ngram_join, op8_quality_classifier, op9_suffix_dedup, op10_mixing)}
-SQL: dict[str, str] = {"op2_embedding_dedup": embedding_dedup.SQL, "op10_mixing": mixing.SQL}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_embedding_dedup, op3_secret_scan, op4_chat_quotes, op5_quality_rules, op6_byte_bpe, op7_ngram_join, op8_quality_classifier, op9_suffix_dedup, op10_mixing)}
+SQL: dict[str, str] = {"op2_embedding_dedup": embedding_dedup.SQL, "op4_chat_quotes": chat_quotes.SQL, "op10_mixing": mixing.SQL}
