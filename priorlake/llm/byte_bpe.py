@@ -196,19 +196,21 @@ def opened(ranks_path: str, pattern: str) -> ByteBPE:
     return _OPEN[key]
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """One row per document: doc_id, ids (binary, little-endian 32-bit), n_tokens, decoded (binary, from the ids)."""
+def encode(docs: DataFrame, ranks_path: str, pattern: str, carry: list[str] | None = None) -> DataFrame:
+    """One row per document: doc_id, carried columns, ids (binary, little-endian 32-bit), n_tokens, decoded (binary, from the ids)."""
+    carry = carry or []
     small_batches(docs.sparkSession, 3000)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = opened(ranks_path, pattern)
         for batch in it:
-            ids, decoded = model.round_trip(batch.column(1).to_pylist())
+            ids, decoded = model.round_trip(batch.column(0).to_pylist())
             n = pa.array([len(x) // 4 for x in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), n, pa.array(decoded, pa.binary())], ["doc_id", "ids", "n_tokens", "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(ids, pa.binary()), n, pa.array(decoded, pa.binary())], [*batch.schema.names[1:], "ids", "n_tokens", "decoded"])
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return slim.mapInArrow(batches, "doc_id long, ids binary, n_tokens long, decoded binary")
+    slim = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"), F.col("doc_id").cast("long").alias("doc_id"), *carry)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema[1:])
+    return slim.mapInArrow(batches, f"{schema}, ids binary, n_tokens long, decoded binary")
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:

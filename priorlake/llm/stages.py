@@ -1,13 +1,58 @@
-"""The pipeline's stages: (spark, docs, sf_dir) to the documents that stay, or to what the last stage returns."""
+"""The pipeline's stages: (spark, docs, sf_dir) to the documents that stay; the last one returns encoded documents.
+
+Each stage works on all its predecessor kept and carries documents of any columns through.
+"""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from priorlake.llm.byte_bpe import encode
+from priorlake.llm.mixing import cell_probabilities, drawn, labelled
+from priorlake.llm.ngram_join import ngram_join
 from priorlake.llm.quality_rules import quality_rules
 from priorlake.llm.queries import table
+from priorlake.llm.secret_scan import redacted
+from priorlake.llm.shared import stored
+
+ID = "_id"
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """docs whose doc_id is not among the dropped ids; null ids can't be matched and stay."""
+    return docs.join(dropped.where("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents the rules keep. Repeated ids are judged by their worst row, null ids go."""
-    verdicts = quality_rules(docs, table(spark, sf_dir, "labels")).groupBy("doc_id").agg({"kept": "min"}).where("`min(kept)`").select("doc_id")
-    return docs.join(verdicts, "doc_id", "left_semi")
+    """Documents that the rules keep; of rows that share an id all go if one is rejected, rejected rows of a null id go too."""
+    verdicts = stored(quality_rules(docs, table(spark, sf_dir, "labels")).select("doc_id", "kept"), "verdicts")
+    rejected = verdicts.where("not kept").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(ID)).distinct()
+    named = docs.withColumn(ID, F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    return named.join(rejected, ID, "left_anti").select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every group of near duplicates: the one with the group's smallest id."""
+    return without(docs, stored(ngram_join(docs).where("not kept").select("doc_id"), "dropped"))
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets in their texts replaced by marks; n_chars follows the text."""
+    clean = redacted(docs)
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else clean
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn with the calibrated probability of their source, language and topic."""
+    rates = cell_probabilities(stored(labelled(docs), "labelled"))
+    named = docs.select("doc_id", "text", "source", "lang", F.struct(*docs.columns).alias("_row"))
+    cells = labelled(named, "_row").join(rates.select("source", "lang", "topic", "probability"), ["source", "lang", "topic"])
+    return cells.where(drawn(F.col("doc_id"), F.col("probability"))).select("_c__row.*")
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, lang, n_tokens, ids (32-bit little-endian) and the SHA-256 of the bytes the ids decode to."""
+    import public_tokenizers
+
+    out = encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ["source", "lang"])
+    return out.select("doc_id", "source", "lang", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
