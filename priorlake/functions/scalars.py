@@ -40,22 +40,26 @@ def local_text(ts: Column, zone: str = EASTERN) -> Column:
     return F.concat(F.date_format(local, "EEE MMM dd h:mm"), F.lower(F.date_format(local, "a")))
 
 
-def kickoff_slot(weekday: Column, time: Column) -> Column:
-    """Broadcast window from weekday (Monday 0) and local HH:MM."""
+# (label, weekday from Monday 0 or None for any, first hour, hour after the last); the first that fits counts.
+SLOTS = (
+    ("morning", None, 0, 12), ("sunday early", 6, 12, 15), ("sunday late", 6, 15, 19), ("sunday evening", 6, 19, 24), ("monday", 0, 12, 19),
+    ("monday evening", 0, 19, 24), ("thursday", 3, 12, 19), ("thursday evening", 3, 19, 24), ("saturday", 5, 12, 24), ("weekday", None, 12, 24),
+)
+NO_SLOT = "no time"
+
+
+def time_slot(weekday: Column, time: Column, slots: Sequence[tuple] = SLOTS, missing: str = NO_SLOT) -> Column:
+    """Label of the first slot that holds a weekday and a local HH:MM."""
     hour = F.split(time, ":")[0].try_cast("int")
-    return (
-        F.when(time.isNull(), "unknown")
-        .when(hour < 12, "international/morning")
-        .when((weekday == 6) & (hour < 15), "Sun early (1pm)")
-        .when((weekday == 6) & (hour < 19), "Sun late (4pm)")
-        .when(weekday == 6, "Sun night")
-        .when((weekday == 0) & (hour >= 19), "Mon night")
-        .when(weekday == 0, "Mon day")
-        .when((weekday == 3) & (hour >= 19), "Thu night")
-        .when(weekday == 3, "Thu day (Thanksgiving)")
-        .when(weekday == 5, "Saturday")
-        .otherwise("other weekday")
-    )
+    table = F.array(*[F.struct(*[F.lit(v).cast(k).alias(n) for n, v, k in zip(("label", "day", "low", "high"), row, ("string", "int", "int", "int"))]) for row in slots])
+    fits = F.filter(table, lambda s: F.coalesce(s["day"] == weekday, F.lit(True)) & (hour >= s["low"]) & (hour < s["high"]))
+    return F.coalesce(F.try_element_at(fits, F.lit(1))["label"], F.lit(missing))
+
+
+def time_slot_sql(weekday: str, hour: str, slots: Sequence[tuple] = SLOTS, missing: str = NO_SLOT) -> str:
+    """The same rule as a CASE expression."""
+    when = lambda day, low, high: " AND ".join([f"{weekday} = {day}"] * (day is not None) + [f"{hour} >= {low}", f"{hour} < {high}"])
+    return "CASE " + " ".join(f"WHEN {when(d, low, high)} THEN '{label}'" for label, d, low, high in slots) + f" ELSE '{missing}' END"
 
 
 def lookup(key: Column, table: Mapping, default) -> Column:

@@ -21,26 +21,21 @@ def resample(blocks: DataFrame, by: list[str], block: str, sums: list[str], repl
     Draw d of replicate r picks the block numbered md5(seed|r|d) mod n, so a
     replicate is the same wherever and however often it is computed, and groups
     over the same blocks are resampled alike (paired). Replicate -1 draws each
-    block once and yields the point estimate. Draws travel to their block and
-    back to their replicate, so the input is computed once; the work is
-    replicates times blocks, whatever the number of rows behind a block.
+    block once and yields the point estimate. A group's block sums travel as one
+    array (its length is the number of blocks, whatever the rows behind them),
+    and replicates are dealt over all tasks; each adds up its draws by index.
     """
-    ordered = Window.partitionBy(*by).orderBy(block)
-    whole = Window.partitionBy(*by)
-    numbered = blocks.withColumn("_d", F.row_number().over(ordered) - 1).withColumn("_n", F.count("*").over(whole))
-    pick = lambda rep: F.conv(
-        F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), rep.cast("string"), F.col("_d").cast("string"))), 1, 8), 16, 10
-    ).cast("long") % F.col("_n")
-    draws = F.transform(
-        F.sequence(F.lit(POINT), F.lit(replicates - 1)),
-        lambda rep: F.struct(rep.alias("rep"), F.when(rep == POINT, F.col("_d")).otherwise(pick(rep)).cast("int").alias("k"), F.lit(False).alias("own")),
-    )
-    own = F.array(F.struct(F.lit(None).cast("int").alias("rep"), F.col("_d").cast("int").alias("k"), F.lit(True).alias("own")))
-    sent = numbered.select(*by, F.struct(*sums).alias("_v"), F.explode(F.concat(own, draws)).alias("_x")).select(
-        *by, "_x.rep", F.col("_x.k").alias("_k"), F.when(F.col("_x.own"), F.col("_v")).alias("_v")
-    )
-    drawn = sent.withColumn("_v", F.max("_v").over(Window.partitionBy(*by, "_k"))).filter(F.col("rep").isNotNull())
-    return drawn.groupBy(*by, "rep").agg(*[F.sum(F.col("_v")[n]).alias(n) for n in sums])
+    value = F.struct(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in sums])
+    packed = blocks.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct(block, value.alias("v")))), lambda x: x["v"]).alias("_b"))
+    reps = packed.withColumn("rep", F.explode(F.sequence(F.lit(POINT), F.lit(replicates - 1)))).repartition(*by, "rep")
+    n = F.size("_b")
+    hashed = lambda d: F.conv(
+        F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), d.cast("string"))), 1, 8), 16, 10
+    ).cast("long")
+    drawn = F.transform(F.sequence(F.lit(0), n - 1), lambda d: F.get(F.col("_b"), F.when(F.col("rep") == POINT, d).otherwise(F.pmod(hashed(d), n)).cast("int")))
+    out = reps.withColumn("_x", drawn)
+    total = lambda c: F.aggregate("_x", F.lit(0.0), lambda acc, x: acc + x[c])
+    return out.select(*by, "rep", *[total(c).alias(c) for c in sums])
 
 
 def interval(replicates: DataFrame, by: list[str], stats: dict[str, Column], probs=(0.025, 0.975)) -> DataFrame:

@@ -19,19 +19,11 @@ def cutoffs(contests: DataFrame, by: list[str] = ["season", "week"]) -> DataFram
     return contests.groupBy(*by).agg(F.min("t").alias("cutoff"))
 
 
-MAX_PINNED_ROWS = 20_000
-
-
 def pin(df: DataFrame) -> DataFrame:
-    """A frame with one row per fold, computed now and kept as literal rows.
-
-    Fold parameters feed several later steps; pinning them avoids computing the
-    pass behind them again. Larger frames are refused, never cut.
-    """
-    rows = df.take(MAX_PINNED_ROWS + 1)
-    if len(rows) > MAX_PINNED_ROWS:
-        raise ValueError(f"more than {MAX_PINNED_ROWS} rows: not a table of folds")
-    return df.sparkSession.createDataFrame(rows, df.schema)
+    """A small frame that feeds several later steps, computed once and kept on the executors; of any size."""
+    kept = df.persist()
+    kept.count()
+    return kept
 
 
 def fold_table(contests: DataFrame, burn_in: int = 2, min_rows: int = MIN_TRAIN_ROWS) -> DataFrame:
@@ -96,13 +88,28 @@ def walk_forward(
     return out
 
 
-def leakage_audit(contests: DataFrame, folds: DataFrame) -> DataFrame:
-    """Per fold: rows trained on, the latest of them, and whether any is not strictly earlier."""
-    latest = contests.groupBy("t").agg(F.count("*").alias("n")).withColumn(
-        "last_day", F.lag("t").over(Window.orderBy("t"))
-    )
-    return (
-        folds.join(latest.select(F.col("t").alias("cutoff"), "last_day"), "cutoff")
-        .withColumn("leaks", (F.col("last_day") >= F.col("cutoff")).cast("int"))
-        .select("season", "week", "cutoff", "n_train", "last_day", "leaks")
+def leakage_audit(contests: DataFrame, used: DataFrame) -> DataFrame:
+    """Per fold: what its training used beside what lies strictly before its cutoff, counted another way.
+
+    used  season, week, cutoff, n_train, t_sum, last_day: rows, sum of days and newest day the fold's sums held.
+    `leaks` is the number of rows too many (or too few, negative), and at least 1 where days differ or one is not
+    strictly earlier.
+    """
+    listed = used.agg(F.collect_set("cutoff")).scalar()  # one entry per fold
+    days = contests.groupBy("t").agg(F.count("*").alias("n")).withColumn("_f", listed)
+    days = days.select("t", "n", F.explode(F.filter("_f", lambda c: c > F.col("t"))).alias("cutoff"))
+    there = days.groupBy("cutoff").agg(F.sum("n").alias("_n"), F.sum(F.col("n") * F.col("t")).alias("_t"))
+    c = F.col
+    extra = c("n_train") - F.coalesce(c("_n"), F.lit(0))
+    wrong = (c("t_sum") != F.coalesce(c("_t"), F.lit(0))) | (c("last_day") >= c("cutoff"))
+    return used.join(there, "cutoff", "left").select(
+        "season", "week", "cutoff", "n_train", "last_day", F.when(extra != 0, extra).when(wrong, 1).otherwise(0).cast("int").alias("leaks")
     )
+
+
+def training_used(contests: DataFrame, folds: DataFrame) -> DataFrame:
+    """What the prefix sums of every fold hold: the rows, days and newest day behind its training."""
+    sums = training_sums(contests, folds.select("season", "week", "cutoff"), {"n_train": F.lit(1), "t_sum": F.col("t")})
+    days = contests.groupBy("t").agg(F.lit(1).alias("one"))
+    newest = days.withColumn("last_day", F.lag("t").over(Window.orderBy("t"))).select(F.col("t").alias("cutoff"), "last_day")  # one row per day
+    return sums.join(newest, "cutoff")

@@ -123,7 +123,8 @@ MEASURES = [
     "team_score", "opp_score", "off_epa_per_play", "def_epa_per_play", "off_success_rate", "def_success_rate_allowed",
 ]
 HALFLIFE = 119.0  # 17 weeks in days
-FINALE = "(CASE WHEN season IN (1995, 1996) THEN 11 ELSE 12 END)"
+CLOSING_WEEK, EARLIER_CLOSE = 12, {1995: 11, 1996: 11}  # the last week that counts, and seasons that ended before it
+FINALE = f"(CASE {' '.join(f'WHEN season = {s} THEN {w}' for s, w in EARLIER_CLOSE.items())} ELSE {CLOSING_WEEK} END)"
 
 
 def decayed_sql(source: str, measures: list[str], half: float = HALFLIFE, key: str = "team", where: str = "true") -> str:
@@ -208,12 +209,28 @@ _KEPT: dict[tuple, DataFrame] = {}
 
 
 def keep(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    key = (spark.sparkContext.applicationId, folder, name)
+    """The stage's frame, built anew when a file of the folder has changed since."""
+    state = content_stamp(spark, folder)
+    for key in [k for k in _KEPT if k[:2] == (spark.sparkContext.applicationId, folder) and k[2] != state]:
+        _KEPT.pop(key).unpersist()
+    key = (spark.sparkContext.applicationId, folder, state, name)
     if key not in _KEPT:
         _KEPT[key] = build().persist()
     return _KEPT[key]
 
 
+def content_stamp(spark: SparkSession, folder: str) -> str:
+    """Names, sizes and times of the folder's files, as the file system that holds them lists them."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(path, True)
+    found = []
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return str(hash(tuple(sorted(found))))
+
+
 def forget() -> None:
     """Drop the kept stages, so that the next query pays for its own scan."""
     for df in _KEPT.values():
@@ -244,10 +261,10 @@ def facts(spark: SparkSession, folder: str) -> DataFrame:
     return rollup.facts(stage(spark, folder))
 
 
-def finale() -> Column:
+def finale(closing: int = CLOSING_WEEK, earlier: dict[int, int] = EARLIER_CLOSE) -> Column:
     """The closing round of a season, which never feeds forward."""
-    last = F.when(F.col("season").isin(1995, 1996), 11).otherwise(12)
-    return F.col("week") == last
+    own = F.create_map(*[F.lit(x) for pair in earlier.items() for x in pair]) if earlier else None
+    return F.col("week") == (F.lit(closing) if own is None else F.coalesce(F.try_element_at(own, F.col("season").cast("int")), F.lit(closing)))
 
 
 def pregame(spark: SparkSession, folder: str, measures: list[str] = MEASURES) -> DataFrame:

@@ -11,11 +11,12 @@ from priorlake.operators.prefix import prior_sums
 from priorlake.plans import base
 from priorlake.plans.base import query, r, rs, view, with_views
 
-REPS = 300
+REPS = bs.REPLICATES
+CONTEST_REPS = 300  # where every contest is a block of its own, draws are contests times replicates
 MODELS = ["league_average", "baseline", "composite"]
 
 
-def boot_sql(name: str, source: str, by: str, block: str, sums: dict[str, str]) -> str:
+def boot_sql(name: str, source: str, by: str, block: str, sums: dict[str, str], reps: int = REPS) -> str:
     """CTEs `<name>_b` (block sums) and `<name>_r` (replicates) mirroring the bootstrap."""
     by_list = f"{by}, " if by else ""
     part = f"PARTITION BY {by}" if by else ""
@@ -27,7 +28,7 @@ def boot_sql(name: str, source: str, by: str, block: str, sums: dict[str, str])
 {name}_b AS (SELECT *, row_number() OVER ({part} ORDER BY {block}) - 1 AS k, count(*) OVER ({part}) AS n_blocks
              FROM (SELECT {by_list}{block}, {cols} FROM {source} GROUP BY ALL)),
 {name}_d AS (SELECT {by_list}rep, CAST('0x' || substr(md5('42|' || rep || '|' || k), 1, 8) AS BIGINT) % n_blocks AS k
-             FROM {name}_b CROSS JOIN (SELECT unnest(range(0, {REPS})) AS rep)),
+             FROM {name}_b CROSS JOIN (SELECT unnest(range(0, {reps})) AS rep)),
 {name}_r AS (SELECT {qual + ', ' if by else ''}d.rep, {tot} FROM {name}_d d JOIN {name}_b b ON {on} AND b.k = d.k GROUP BY ALL)"""
 
 
@@ -80,17 +81,13 @@ def score(spark, folder):
     return ev.score(evaluation(spark, folder), ["model"]).select("model", "n_games", *rs("home_rmse", "away_rmse", "home_mae", "away_mae"))
 
 
-SLOT_SQL = """CASE WHEN gametime IS NULL THEN 'unknown' WHEN CAST(substr(gametime, 1, 2) AS INT) < 12 THEN 'international/morning'
- WHEN isodow(gameday) = 7 THEN CASE WHEN CAST(substr(gametime, 1, 2) AS INT) < 15 THEN 'Sun early (1pm)' WHEN CAST(substr(gametime, 1, 2) AS INT) < 19 THEN 'Sun late (4pm)' ELSE 'Sun night' END
- WHEN isodow(gameday) = 1 THEN CASE WHEN CAST(substr(gametime, 1, 2) AS INT) >= 19 THEN 'Mon night' ELSE 'Mon day' END
- WHEN isodow(gameday) = 4 THEN CASE WHEN CAST(substr(gametime, 1, 2) AS INT) >= 19 THEN 'Thu night' ELSE 'Thu day (Thanksgiving)' END
- WHEN isodow(gameday) = 6 THEN 'Saturday' ELSE 'other weekday' END"""
+SLOT_SQL = sc.time_slot_sql("(isodow(gameday) - 1)", "CAST(substr(gametime, 1, 2) AS INT)")
 
 
 @query("j5_long_evaluation", with_views("evaluation", f"""
 SELECT model, game_id, block, {SLOT_SQL} AS slot, round(home_err, 6) AS home_err, round(away_err, 6) AS away_err, round(total_err, 6) AS total_err, round(margin_err, 6) AS margin_err FROM evaluation"""))
 def long_evaluation(spark, folder):
-    df = evaluation(spark, folder).withColumn("slot", sc.kickoff_slot(F.weekday("gameday"), F.col("gametime")))
+    df = evaluation(spark, folder).withColumn("slot", sc.time_slot(F.weekday("gameday"), F.col("gametime")))
     return df.select("model", "game_id", "block", "slot", *rs("home_err", "away_err", "total_err", "margin_err"))
 
 
@@ -207,7 +204,7 @@ SELECT model, slot, count(*) AS games, {_RMSE2} AS rmse, any_value(rmse_lo) AS r
        round(avg(total_err), 6) AS total_bias, round(avg(home_score + away_score), 6) AS actual_total
 FROM l JOIN b USING (model, slot) GROUP BY model, slot"""))
 def by_group(spark, folder):
-    df = evaluation(spark, folder).withColumn("slot", sc.kickoff_slot(F.weekday("gameday"), F.col("gametime")))
+    df = evaluation(spark, folder).withColumn("slot", sc.time_slot(F.weekday("gameday"), F.col("gametime")))
     by = ["model", "slot"]
     h, a = F.col("home_err"), F.col("away_err")
     stats = df.groupBy(*by).agg(
@@ -525,13 +522,13 @@ def event_probability(spark, folder):
 
 @query("j27_contest_bootstrap", with_views("evaluation", f"""
 WITH pr AS (SELECT c.model, c.game_id, c.home_err * c.home_err + c.away_err * c.away_err AS sc, b.home_err * b.home_err + b.away_err * b.away_err AS sr
-            FROM evaluation c JOIN evaluation b ON b.game_id = c.game_id AND b.model = 'baseline' WHERE c.model = 'composite' AND c.season = 2001),
-{boot_sql('x', 'pr', 'model', 'game_id', {'c': 'sc', 'r': 'sr', 'n': '2'})}
+            FROM evaluation c JOIN evaluation b ON b.game_id = c.game_id AND b.model = 'baseline' WHERE c.model = 'composite'),
+{boot_sql('x', 'pr', 'model', 'game_id', {'c': 'sc', 'r': 'sr', 'n': '2'}, CONTEST_REPS)}
 SELECT model, round(quantile_cont(sqrt(c / n) - sqrt(r / n), 0.025), 6) AS lo, round(quantile_cont(sqrt(c / n) - sqrt(r / n), 0.975), 6) AS hi FROM x_r GROUP BY model"""))
 def contest_bootstrap(spark, folder):
     """The older row-level gate: every contest is its own block."""
-    paired = bs.against(evaluation(spark, folder).filter("season = 2001"), "baseline", ["composite"])
-    return bs.paired_rmse_delta(paired, ["model"], "game_id", REPS).select("model", *rs("lo", "hi"))
+    paired = bs.against(evaluation(spark, folder), "baseline", ["composite"])
+    return bs.paired_rmse_delta(paired, ["model"], "game_id", CONTEST_REPS).select("model", *rs("lo", "hi"))
 
 
 HALVES = [30.0, 60.0, 119.0, 240.0, 480.0]
@@ -556,4 +553,5 @@ def halflife_sweep(spark, folder):
 @query("j30_leakage_audit", with_views("folds contests", """
 SELECT season, week, cutoff, n_train, (SELECT max(t) FROM contests c WHERE c.t < f.cutoff) AS last_day, 0 AS leaks FROM folds f"""))
 def leakage_audit(spark, folder):
-    return folds.leakage_audit(base.contests(spark, folder), base.folds(spark, folder))
+    played = base.contests(spark, folder)
+    return folds.leakage_audit(played, folds.training_used(played, base.folds(spark, folder)))

@@ -362,10 +362,10 @@ def missing_from_training(spark, folder):
 
 
 @query("c10_member_agreement", with_views("preds", """
-SELECT game_id, 'home_score' AS column, count(*) AS members, 2 AS versions FROM preds WHERE model <> 'composite' AND week = 7
-GROUP BY game_id UNION ALL SELECT game_id, 'week', count(*), 1 FROM preds WHERE model <> 'composite' AND week = 7 GROUP BY game_id"""))
+SELECT game_id, 'home_score' AS column, count(*) AS members, 2 AS versions FROM preds WHERE model <> 'composite'
+GROUP BY game_id UNION ALL SELECT game_id, 'week', count(*), 1 FROM preds WHERE model <> 'composite' GROUP BY game_id"""))
 def member_agreement(spark, folder):
-    df = base.predictions(spark, folder).filter("week = 7")
+    df = base.predictions(spark, folder)
     members = {
         "league_average": df.filter("model = 'league_average'"),
         "baseline": df.filter("model = 'baseline'").withColumn("home_score", F.col("home_score") + 1),

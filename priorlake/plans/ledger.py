@@ -18,26 +18,28 @@ _WIDE = ", ".join(
 )
 _SHIFTED = ", ".join(f"round({m}_{s} + 0.3 * (home_team % 3), 1) AS {m}_{s}" for m in MODELS for s in ("home", "away"))
 
-# Two runs over season 2001: the stored one covers weeks 5 to 8, the fresh one weeks 6 to 9.
+# The stored ledger holds all forecasts up to week 8 of 2001, older seasons made twelve days ahead; the fresh run covers weeks 6 to 9 of 2001.
 view("fresh", ["preds", "market"], f"""
 SELECT p.*, CAST(m.gameday AS TIMESTAMP) + to_hours(CAST(coalesce(substr(m.gametime, 1, 2), '13') AS INT)) AS kickoff,
        TIMESTAMP '2001-06-20 09:00:00' AS generated_at, m.spread_line, m.total_line
-FROM (SELECT game_id, season, week, home_team, away_team, {_WIDE} FROM preds WHERE season = 2001 AND week BETWEEN 6 AND 9 GROUP BY ALL) p JOIN market m USING (game_id)""")
+FROM (SELECT game_id, season, week, home_team, away_team, {_WIDE} FROM preds WHERE season * 100 + week BETWEEN 200106 AND 200109 GROUP BY ALL) p JOIN market m USING (game_id)""")
 view("stored", ["preds", "market"], f"""
 SELECT game_id, season, week, home_team, away_team, {_SHIFTED}, kickoff, generated_at, spread_line, total_line FROM (
 SELECT p.*, CAST(m.gameday AS TIMESTAMP) + to_hours(CAST(coalesce(substr(m.gametime, 1, 2), '13') AS INT)) AS kickoff,
-       TIMESTAMP '2001-05-20 09:00:00' AS generated_at, m.spread_line + 1 AS spread_line, m.total_line
-FROM (SELECT game_id, season, week, home_team, away_team, {_WIDE} FROM preds WHERE season = 2001 AND week BETWEEN 5 AND 8 GROUP BY ALL) p JOIN market m USING (game_id))""")
+       CASE WHEN p.season < 2001 THEN CAST(m.gameday AS TIMESTAMP) - INTERVAL 12 DAY ELSE TIMESTAMP '2001-05-20 09:00:00' END AS generated_at, m.spread_line + 1 AS spread_line, m.total_line
+FROM (SELECT game_id, season, week, home_team, away_team, {_WIDE} FROM preds WHERE season * 100 + week <= 200108 GROUP BY ALL) p JOIN market m USING (game_id))""")
 RUN_NOW = "2001-06-15 00:00:00"
 
 
 def _run(spark, folder, first, last, generated, shift):
-    preds = base.predictions(spark, folder).filter(f"season = 2001 AND week BETWEEN {first} AND {last}")
+    preds = base.predictions(spark, folder).filter(f"season * 100 + week BETWEEN {first} AND {last}")
     wide = lg.wide_forecasts(preds, MODELS, KEYS)
     hour = F.coalesce(F.substring("gametime", 1, 2), F.lit("13")).cast("int")
+    ahead = F.col("gameday").cast("timestamp") - F.expr("INTERVAL 12 DAY")
+    made = F.when(F.year("gameday") < 2001, ahead).otherwise(F.lit(generated).cast("timestamp"))
     lines = base.market(spark, folder).select(
         "game_id", (F.col("gameday").cast("timestamp") + F.make_dt_interval(F.lit(0), hour)).alias("kickoff"),
-        F.lit(generated).cast("timestamp").alias("generated_at"), (F.col("spread_line") + shift).alias("spread_line"), "total_line",
+        made.alias("generated_at"), (F.col("spread_line") + shift).alias("spread_line"), "total_line",
     )
     names = [f"{m}_{s}" for m in MODELS for s in ("home", "away")]
     value = lambda n: F.round(F.round(n, 1) + F.lit(0.3 * shift) * (F.col("home_team") % 3), 1)
@@ -45,18 +47,18 @@ def _run(spark, folder, first, last, generated, shift):
 
 
 def fresh(spark, folder):
-    return _run(spark, folder, 6, 9, "2001-06-20 09:00:00", 0)
+    return _run(spark, folder, 200106, 200109, "2001-06-20 09:00:00", 0)
 
 
 def stored(spark, folder):
-    return _run(spark, folder, 5, 8, "2001-05-20 09:00:00", 1)
+    return _run(spark, folder, 0, 200108, "2001-05-20 09:00:00", 1)
 
 
-_STATUS = "SELECT game_id, posteam AS team, count(*) AS statuses FROM plays WHERE kind = 'N' AND month >= DATE '2001-01-01' GROUP BY ALL"
+_STATUS = "SELECT game_id, posteam AS team, count(*) AS statuses FROM plays WHERE kind = 'N' GROUP BY ALL"
 
 
 @query("k1_readiness", with_views("sched plays", f"""
-WITH g AS (SELECT game_id, home_team, away_team, kickoff, (kickoff AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS lk FROM sched WHERE season = 2001),
+WITH g AS (SELECT game_id, home_team, away_team, kickoff, (kickoff AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS lk FROM sched),
 d AS (SELECT *, ((CAST(CAST(lk AS DATE) - CASE WHEN isodow(lk) = 4 THEN 1 ELSE 2 END AS TIMESTAMP) + INTERVAL 16 HOUR) AT TIME ZONE 'America/New_York') AT TIME ZONE 'UTC' AS due FROM g),
 n AS ({_STATUS}),
 x AS (SELECT d.*, coalesce(h.statuses, 0) AS home_rows, coalesce(a.statuses, 0) AS away_rows FROM d LEFT JOIN n h ON h.game_id = d.game_id AND h.team = d.home_team LEFT JOIN n a ON a.game_id = d.game_id AND a.team = d.away_team),
@@ -64,8 +66,8 @@ y AS (SELECT *, avg((CAST(home_rows > 0 AS INT) + CAST(away_rows > 0 AS INT)) /
 SELECT game_id, strftime(due, '%Y-%m-%d %H:%M:%S') AS due, home_rows, away_rows, round(coverage, 8) AS coverage,
   CAST(due <= TIMESTAMP '{NOW}' AND coverage >= 0.4 AS INT) AS final FROM y"""))
 def readiness(spark, folder):
-    games = schedule(spark, folder).filter("season = 2001").select("game_id", "home_team", "away_team", "kickoff")
-    statuses = plays(spark, folder).filter("kind = 'N' AND month >= '2001-01-01'").groupBy("game_id", F.col("posteam").alias("team")).agg(
+    games = schedule(spark, folder).select("game_id", "home_team", "away_team", "kickoff")
+    statuses = plays(spark, folder).filter("kind = 'N'").groupBy("game_id", F.col("posteam").alias("team")).agg(
         F.count("*").alias("statuses")
     )
     out = lg.readiness(games, statuses, F.lit(NOW).cast("timestamp"), 0.4)

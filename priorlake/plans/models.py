@@ -128,12 +128,12 @@ def win_classifier(spark, folder):
 
 @query("i9_random_forest")
 def random_forest(spark, folder):
-    return _estimator(spark, folder, estimators.random_forest(FEATURES), 6)
+    return _estimator(spark, folder, estimators.random_forest(FEATURES), 2)
 
 
 @query("i10_boosted_trees")
 def boosted_trees(spark, folder):
-    return _estimator(spark, folder, estimators.boosted_trees(FEATURES), 6)
+    return _estimator(spark, folder, estimators.boosted_trees(FEATURES), 2)
 
 
 POOLING_K = 20.0
@@ -351,12 +351,12 @@ def ratings_replace_raw(spark, folder):
 
 @query("j32_ratings_poisson")
 def ratings_poisson(spark, folder):
-    """The same arms under the Poisson estimator, newest season."""
+    """The same arms under the Poisson estimator."""
     table = rated_table(spark, folder)
     swapped = without("epa_per_play") + sided(["off", "def"])
     out = None
     for arm, features in (("control", FEATURES), ("ratings", swapped)):
-        part = folds.walk_forward(table, *estimators.poisson(features), by="season", burn_in=6).withColumn("model", F.lit(arm))
+        part = folds.walk_forward(table, *estimators.poisson(features), by="season", burn_in=2).withColumn("model", F.lit(arm))
         out = part if out is None else out.unionByName(part)
     return arm_table(out, "control")
 

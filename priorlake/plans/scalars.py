@@ -142,9 +142,9 @@ def local_to_utc(spark, folder):
     return local_orders(spark, folder).select("o_orderkey", F.date_format("kickoff", "yyyy-MM-dd HH:mm:ss").alias("kickoff"))
 
 
-@query("h2_kickoff_lookup", with_views("sched", "SELECT game_id, strftime(kickoff, '%Y-%m-%d %H:%M:%S') AS kickoff FROM sched WHERE season = 2001"))
+@query("h2_kickoff_lookup", with_views("sched", "SELECT game_id, strftime(kickoff, '%Y-%m-%d %H:%M:%S') AS kickoff FROM sched"))
 def kickoff_lookup(spark, folder):
-    return schedule(spark, folder).filter("season = 2001").select("game_id", F.date_format("kickoff", "yyyy-MM-dd HH:mm:ss").alias("kickoff"))
+    return schedule(spark, folder).select("game_id", F.date_format("kickoff", "yyyy-MM-dd HH:mm:ss").alias("kickoff"))
 
 
 @query("h3_report_due", _LOCAL + """, lo AS (SELECT o_orderkey, (kickoff AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS lk FROM k)
@@ -155,13 +155,9 @@ def report_due(spark, folder):
 
 @query("h4_kickoff_slot", """
 WITH e AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS gameday, CASE WHEN o_orderkey % 5 <> 0 THEN lpad(CAST(o_orderkey % 24 AS VARCHAR), 2, '0') || ':30' END AS gametime FROM orders)
-SELECT o_orderkey, CASE WHEN gametime IS NULL THEN 'unknown' WHEN h < 12 THEN 'international/morning'
- WHEN isodow(gameday) = 7 THEN CASE WHEN h < 15 THEN 'Sun early (1pm)' WHEN h < 19 THEN 'Sun late (4pm)' ELSE 'Sun night' END
- WHEN isodow(gameday) = 1 THEN CASE WHEN h >= 19 THEN 'Mon night' ELSE 'Mon day' END
- WHEN isodow(gameday) = 4 THEN CASE WHEN h >= 19 THEN 'Thu night' ELSE 'Thu day (Thanksgiving)' END
- WHEN isodow(gameday) = 6 THEN 'Saturday' ELSE 'other weekday' END AS slot FROM (SELECT *, CAST(substr(gametime, 1, 2) AS INT) AS h FROM e)""")
+""" + "SELECT o_orderkey, " + sc.time_slot_sql("(isodow(gameday) - 1)", "CAST(substr(gametime, 1, 2) AS INT)") + " AS slot FROM e")
 def kickoff_slot(spark, folder):
-    return local_orders(spark, folder).select("o_orderkey", sc.kickoff_slot(F.weekday("d"), F.col("tm")).alias("slot"))
+    return local_orders(spark, folder).select("o_orderkey", sc.time_slot(F.weekday("d"), F.col("tm")).alias("slot"))
 
 
 @query("h5_local_text", _LOCAL + """SELECT o_orderkey, strftime((kickoff AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York', '%a %b %d ') || strftime((kickoff AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York', '%-I:%M')

@@ -143,7 +143,7 @@ def test_walk_forward_trains_on_earlier_rows_only(spark):
     assert out.groupBy("game_id").count().filter("count > 1").count() == 0
     table = folds.fold_table(df)
     assert [x["n_train"] for x in table.orderBy("week").collect()] == [128, 144, 160, 176]
-    assert folds.leakage_audit(df, table).filter("leaks = 1").count() == 0
+    assert folds.leakage_audit(df, folds.training_used(df, table)).filter("leaks <> 0").count() == 0
 
 
 def test_fingerprint_ignores_order_and_sees_content(spark):
@@ -152,3 +152,29 @@ def test_fingerprint_ignores_order_and_sees_content(spark):
     first = contracts.fingerprint(df, cols).first()
     assert contracts.fingerprint(df.orderBy(F.desc("k")).repartition(3), cols).first() == first
     assert contracts.fingerprint(df.replace({"a": "c"}), cols).first() != first
+
+
+def test_a_late_row_is_a_leak(spark):
+    from priorlake.operators import folds
+
+    df = spark.createDataFrame([(f"g{k}", 1 + k // 6, k % 6, k, 1.0, 2.0) for k in range(18)], "game_id string, season int, week int, t int, home_score double, away_score double")
+    plan = folds.fold_table(df, burn_in=1, min_rows=1)
+    used = folds.training_used(df, plan)
+    assert {x["leaks"] for x in folds.leakage_audit(df, used).collect()} == {0}
+    late = F.col("cutoff") == 10
+    one_more = used.withColumn("n_train", F.col("n_train") + late.cast("int")).withColumn("t_sum", F.col("t_sum") + F.when(late, 10).otherwise(0))
+    swapped = used.withColumn("t_sum", F.col("t_sum") + F.when(late, 3).otherwise(0))
+    own_day = used.withColumn("last_day", F.when(late, F.col("cutoff")).otherwise(F.col("last_day")))
+    for broken in (one_more, swapped, own_day):
+        assert {x["cutoff"] for x in folds.leakage_audit(df, broken).filter("leaks <> 0").collect()} == {10}
+
+
+def test_stages_notice_changed_files(spark, tmp_path):
+    from priorlake.plans import base
+
+    folder = str(tmp_path)
+    read = lambda: base.keep(spark, folder, "n", lambda: spark.read.parquet(f"{folder}/x.parquet")).count()
+    spark.range(3).write.parquet(f"{folder}/x.parquet")
+    assert read() == read() == 3
+    spark.range(5).write.mode("overwrite").parquet(f"{folder}/x.parquet")
+    assert read() == 5
