@@ -213,16 +213,16 @@ def chain_segments(spark, folder):
     seg = base.chain(spark, folder)
     first = seg.groupBy("game_id").agg(F.min(F.struct("first_day", "drive", "posteam")).alias("_first"))
     at = F.struct("first_day", "drive", "posteam")
-    return seg.join(first, "game_id").withColumn("nth", F.when(at == F.col("_first"), 0).otherwise(1)).withColumn("season", F.year("gameday"))
+    return seg.join(first, "game_id").withColumn("nth", F.when(at == F.col("_first"), 0).otherwise(1)).withColumn("t", temporal.epoch_day(F.col("gameday")))
 
 
 @query("i16_chain_expectation")
 def chain_expectation(spark, folder):
-    """Exact expected points of two average sides per season, from that season's earlier segments."""
-    table = segment_table(spark, folder)
-    fit = chain.chain_tables(chain_segments(spark, folder), chain.season_folds(table), base.OUTCOME_NAMES)
-    mixed = fit.withColumns({"home_mix": F.col("league"), "away_mix": F.col("league")})
-    return chain.chain_points(mixed, ["fold"]).select(F.col("fold").alias("season"), r("home_raw").alias("home_points"), r("away_raw").alias("away_points"))
+    """Exact expected points of every contest's own pair, from the segments before its week; no edge, no offset."""
+    inputs = chain.chain_inputs(segment_table(spark, folder), chain_segments(spark, folder), base.OUTCOME_NAMES).filter("role = 'test'")
+    return chain.chain_points(inputs, ["game_id", "season", "week"]).select(
+        "game_id", "season", "week", r("home_raw").alias("home_points"), r("away_raw").alias("away_points")
+    )
 
 
 @query("i17_chain_model")
