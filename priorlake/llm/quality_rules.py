@@ -56,6 +56,14 @@ class Trees:
         return 1 / (1 + np.exp(-self.margin(x)))
 
 
+def cuts(values: np.ndarray, bins: int) -> np.ndarray:
+    """Thresholds half-way between neighbouring values, at the quantiles of the sample."""
+    distinct = np.unique(values)
+    at = np.searchsorted(distinct, np.quantile(values, np.linspace(0, 1, bins + 1)[1:-1]), side="right")
+    at = np.unique(at[at < len(distinct)])
+    return (distinct[at - 1] + distinct[at]) / 2
+
+
 def fit_trees(
     x: np.ndarray, y: np.ndarray, signs: np.ndarray, n_trees: int = 60, depth: int = 4, rate: float = 0.15,
     bins: int = 64, ridge: float = 2.0, least: int = 10,
@@ -70,7 +78,7 @@ def fit_trees(
     share = float(np.clip(y.mean(), 1e-3, 1 - 1e-3)) if len(y) else 0.999
     start = float(np.log(share / (1 - share)))
     if len(y) and 0 < y.sum() < len(y):
-        edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(x.shape[1])]
+        edges = [cuts(x[:, f], bins) for f in range(x.shape[1])]
         binned = np.column_stack([np.searchsorted(e, x[:, f], side="left") for f, e in enumerate(edges)])
         margin = np.full(len(y), start)
 
