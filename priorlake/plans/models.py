@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from priorlake.functions import scalars as sc
-from priorlake.operators import assemble, blends, chain, estimators, folds, gram, prefix, ratings, roster, rollup, rules, temporal
+from priorlake.operators import assemble, blends, chain, estimators, folds, gram, prefix, ratings, registry, roster, rollup, rules, temporal
 from priorlake.operators import bootstrap as bs
 from priorlake.operators import evaluate as ev
 from priorlake.operators.gram import ALPHAS, Arm
@@ -112,6 +112,35 @@ def ordinary_least_squares(spark, folder):
     return ridge(spark, folder, arm, weights={}).select("game_id", *rs("home_pred", "away_pred", digits=5))
 
 
+def model_registry(spark, folder):
+    """Fitted and rule models under one interface, all on the model table."""
+    one = ["home_pregame_team_score"]
+    fitted = {"ridge_one": Arm(one, alphas=(50.0,), weight="", drift=0), "ols_one": Arm(one, alphas=(0.0,), weight="", drift=0)}
+    found = registry.Registry()
+    for name, arm in fitted.items():
+        found.add(registry.Model(name, "model_table", lambda t, n=name, a=arm: ridge(spark, folder, {n: a}, table=t, weights={})))
+    found.add(registry.Model("baseline", "model_table", lambda t: rules.rule_predictions(t, rules.rule_parameters(t, base.folds(spark, folder))).filter("model = 'baseline'")))
+    return found
+
+
+_MEMBER = lambda side: f"""ybar_{side[0]} + sxy_{side[0]} / (sxx + 50 * v) * d AS r_{side[0]}, ybar_{side[0]} + sxy_{side[0]} / sxx * d AS o_{side[0]}"""
+
+
+@query("m4_registry_composite", with_views("model_table folds preds", f"""
+WITH p AS (SELECT f.season, f.week, f.cutoff, avg(m.home_pregame_team_score) AS mean FROM folds f JOIN model_table m ON m.t < f.cutoff GROUP BY ALL),
+s AS (SELECT p.season, p.week, p.mean, regr_sxy(m.home_score, {_X}) AS sxy_h, regr_sxy(m.away_score, {_X}) AS sxy_a, regr_sxx(m.home_score, {_X}) AS sxx,
+      var_pop({_X}) AS v, avg(m.home_score) AS ybar_h, avg(m.away_score) AS ybar_a FROM p JOIN model_table m ON m.t < p.cutoff GROUP BY ALL),
+f AS (SELECT game_id, {_MEMBER('home')}, {_MEMBER('away')} FROM (SELECT m.game_id, s.*, coalesce(m.home_pregame_team_score, s.mean) - s.mean AS d FROM s JOIN model_table m USING (season, week)))
+SELECT game_id, season, week, round((r_h + o_h + home_pred) / 3, 5) AS home_pred, round((r_a + o_a + away_pred) / 3, 5) AS away_pred
+FROM f JOIN preds USING (game_id) WHERE model = 'baseline'"""))
+def registry_composite(spark, folder):
+    """A composite of fitted members, taken from the registry by name."""
+    found = model_registry(spark, folder)
+    names = [m.name for m in found.live(["ridge_one", "ols_one", "baseline"])]
+    out = found.composite(names, {"model_table": base.model_table(spark, folder)})
+    return out.select("game_id", "season", "week", *rs("home_pred", "away_pred", digits=5))
+
+
 def _estimator(spark, folder, pair, burn_in):
     return shown(folds.walk_forward(base.model_table(spark, folder), *pair, by="season", burn_in=burn_in))
 

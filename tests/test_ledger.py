@@ -178,3 +178,23 @@ def test_stages_notice_changed_files(spark, tmp_path):
     assert read() == read() == 3
     spark.range(5).write.mode("overwrite").parquet(f"{folder}/x.parquet")
     assert read() == 5
+
+
+def test_registry_refuses_what_it_cannot_run(spark):
+    from priorlake.operators import registry
+
+    def flat(table):
+        return table.withColumns({"home_pred": F.lit(1.0), "away_pred": F.lit(3.0)})
+
+    found = registry.Registry()
+    found.add(registry.Model("flat", "t", flat))
+    found.add(registry.Model("slow", "t", lambda t: flat(t).withColumn("home_pred", F.lit(2.0)), live=False))
+    with pytest.raises(ValueError, match="already"):
+        found.add(registry.Model("flat", "t", flat))
+    for names in (["nobody"], ["flat", "flat"], ["slow"], []):
+        with pytest.raises((KeyError, ValueError)):
+            found.live(names)
+    table = spark.createDataFrame([("g", 1, 1, 5.0, 6.0)], "game_id string, season int, week int, home_score double, away_score double")
+    with pytest.raises(KeyError, match="needs the table"):
+        found.forecasts(["flat"], {})
+    assert found.composite(["flat", "slow"], {"t": table}).first()["home_pred"] == 1.5
