@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from priorlake.llm.pieces import pieces
-from priorlake.llm.shared import small_batches
+from priorlake.llm.shared import Recent, remembered, small_batches
 
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 WORDS_AT_ONCE, LONG_WORD, ROUNDS = 20_000, 256, 24
 
 # Every round: the minimum of (rank, position, next position, length) per word is its leftmost pair of minimum rank.
@@ -67,7 +67,6 @@ with recursive step(i, w, p, t, l) as (
 select w, p, t, l, i from step qualify i = max(i) over (partition by w) order by w, p
 """
 DECODE_SQL = "select w, string_agg(h, '' order by p) as h from ids join vocabulary using (t) group by w order by w"
-_OPEN: dict[tuple[str, str], "ByteBPE"] = {}
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -92,12 +91,12 @@ class ByteBPE:
         early = np.zeros(max(ranks.values()) + 1, bool)
         early[a[m < a]] = True
         early[b[m < b]] = True
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
         self._load("merges", a=a, b=b, ab=(a.astype(np.int64) << 17) | b, m=m, plain=~early[m])
         tokens = sorted(ranks, key=ranks.__getitem__)
         self._load("vocabulary", t=np.array([ranks[t] for t in tokens], np.int32), l=np.array([len(t) for t in tokens], np.int32), h=[t.hex() for t in tokens])
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, tuple[bytes, bytes]] = {}
+        self.words: Recent = Recent(REMEMBERED // 2)
+        self.parts: Recent = Recent(REMEMBERED)
 
     def _load(self, name: str, **columns) -> None:
         self.db.register("incoming", pa.table(columns))
@@ -160,29 +159,25 @@ class ByteBPE:
     def _learn(self, parts: list[str]) -> dict[str, tuple[bytes, bytes]]:
         """Ids and decoded bytes of text parts."""
         split = {p: self.words_of(p) for p in parts}
-        fresh = list({w for words in split.values() for w in words} - self.words.keys())
-        self.words.update(zip(fresh, self.encode_words([w.encode() for w in fresh]), strict=True))
-        ids = [b"".join(map(self.words.__getitem__, words)) for words in split.values()]
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
+        fresh = self.words.missing({w for words in split.values() for w in words})
+        known = self.words.learn(zip(fresh, self.encode_words([w.encode() for w in fresh]), strict=True))
+        ids = [b"".join(map(known.__getitem__, words)) for words in split.values()]
         return dict(zip(split, zip(ids, self.decode(ids), strict=True), strict=True))
 
     def round_trip(self, texts: list[str]) -> tuple[list[bytes], list[bytes]]:
         """Ids of every text and the bytes these ids decode to."""
         cut = [pieces(t) for t in texts]
-        if len(self.parts) > REMEMBERED:
-            self.parts.clear()
         new: set[str] = set()
         for parts in cut:
             if parts:
                 new.update(parts[1:])
-        fresh = [p for p in new if p not in self.parts]
+        fresh = self.parts.missing(new)
         learnt = self._learn([f" {p}" for p in fresh])
-        self.parts.update((p, learnt[f" {p}"]) for p in fresh)
+        tails = self.parts.learn((p, learnt[f" {p}"]) for p in fresh)
         heads = self._learn(list({parts[0] if parts else text for parts, text in zip(cut, texts, strict=True)}))
         ids, decoded = [], []
         for parts, text in zip(cut, texts, strict=True):
-            known = [heads[parts[0]], *map(self.parts.__getitem__, parts[1:])] if parts else [heads[text]]
+            known = [heads[parts[0]], *map(tails.__getitem__, parts[1:])] if parts else [heads[text]]
             ids.append(b"".join([k[0] for k in known]))
             decoded.append(b"".join([k[1] for k in known]))
         return ids, decoded
@@ -190,16 +185,13 @@ class ByteBPE:
 
 def opened(ranks_path: str, pattern: str) -> ByteBPE:
     """One per worker process."""
-    key = (ranks_path, pattern)
-    if key not in _OPEN:
-        _OPEN[key] = ByteBPE(*key)
-    return _OPEN[key]
+    return remembered((ranks_path, pattern), lambda: ByteBPE(ranks_path, pattern))
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, carry: list[str] | None = None) -> DataFrame:
     """One row per document: doc_id, carried columns, ids (binary, little-endian 32-bit), n_tokens, decoded (binary, from the ids)."""
     carry = carry or []
-    small_batches(docs.sparkSession, 3000)
+    small_batches(docs.sparkSession, 1000)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = opened(ranks_path, pattern)
@@ -215,7 +207,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, carry: list[str] | No
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id and decoded bytes of rows (doc_id, ids); null ids decode to no bytes."""
-    small_batches(encoded.sparkSession, 3000)
+    small_batches(encoded.sparkSession, 1000)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = opened(ranks_path, pattern)

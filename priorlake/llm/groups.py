@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from priorlake.llm.shared import release
+
 
 def chunk_pairs(rows: DataFrame, group: str, by: str, most: int) -> DataFrame:
     """rows of groups of two and more, once for every chunk pair they belong to: columns _g, _i, _j, _chunk added.
@@ -27,6 +29,7 @@ def chunk_pairs(rows: DataFrame, group: str, by: str, most: int) -> DataFrame:
 def per_group(df: DataFrame, keys: list[str], fn: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]], schema: str, batch_rows: int = 50_000) -> DataFrame:
     """fn over tables of whole groups: rows are dealt and sorted by keys, fn gets many groups and their start offsets at once."""
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held: list[pa.RecordBatch] = []
         count = 0
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from priorlake.llm.groups import chunk_pairs, per_group
-from priorlake.llm.shared import components, local_components, small_batches, stored, text_bytes
+from priorlake.llm.shared import components, local_components, release, small_batches, stored, text_bytes
 
 WINDOW, SIMILARITY = 5, 0.8
 TREES, DEPTH, RECALL = 20, 5, 0.9999
@@ -139,6 +139,7 @@ def sketched(docs: DataFrame, trees: int, depth: int) -> DataFrame:
     size = trees * depth
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in it:
             minima, words = signatures(batch.column(2), size)
             packed = pa.array([m.tobytes() if n else None for m, n in zip(minima.astype("<u4"), words, strict=True)], pa.binary())

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from priorlake.llm.shared import stored
+from priorlake.llm.shared import release, stored
 from priorlake.llm.stats import COUNTS, FEATURES, MORE, features, with_text_counts
 
 MAX_LABELLED = 20_000
@@ -143,6 +143,7 @@ def judged(counted: DataFrame, trees: Trees, keep_from: float = KEEP_FROM) -> Da
     names = counted.columns
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for rows in it:
             score = trees.score(features({n: rows.column(n).to_numpy() for n in COUNTS + MORE}))
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(score)], [*names, "quality_score"])

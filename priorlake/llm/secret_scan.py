@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from priorlake.llm.shared import small_batches
+from priorlake.llm.shared import release, small_batches
 
 # The kinds in their order, their patterns and least lengths.
 KINDS = ("assign", "access", "hex")
@@ -241,6 +241,7 @@ def secret_spans(docs: DataFrame, max_layer_bytes: int = MAX_LAYER_BYTES, carry:
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("layer", pa.int32())]))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in it:
             found = [find_secrets(t, max_layer_bytes) for t in batch.column(0).to_pylist()]
             spans = pa.array([[dict(zip(("kind", "start", "end", "layer"), s, strict=True)) for s in spans] for spans, _ in found], kind)
@@ -278,6 +279,7 @@ def redacted(docs: DataFrame, mark: str = "[{kind}]") -> DataFrame:
         return "".join([*parts, text[done:]])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in it:
             texts = pa.array([clean(t) for t in batch.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([texts if k == at else c for k, c in enumerate(batch.columns)], batch.schema.names)

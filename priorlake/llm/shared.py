@@ -1,8 +1,11 @@
 """What the training-data operators share: stage tables, Arrow text access, links to components."""
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +41,55 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+_REMEMBERED: dict[Hashable, object] = {}
+
+
+def remembered(key: Hashable, make: Callable[[], object]):
+    """What a worker process keeps between tasks, such as an opened vocabulary; one thing at a time."""
+    if key not in _REMEMBERED:
+        release()
+        _REMEMBERED[key] = make()
+    return _REMEMBERED[key]
+
+
+def release() -> None:
+    """Give back what another operator's tasks left in this worker process."""
+    if not _REMEMBERED:
+        return
+    _REMEMBERED.clear()
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:
+        pass
+
+
+class Recent:
+    """A bounded memory of two generations: what neither the last `size` new keys nor those before have used is forgotten."""
+
+    def __init__(self, size: int) -> None:
+        self.size, self.young, self.old = size, {}, {}
+
+    def missing(self, keys: Iterable) -> list:
+        """The unknown ones of the keys; known ones are held until the next call."""
+        if len(self.young) > self.size:
+            self.young, self.old = {}, self.young
+        young, old, out = self.young, self.old, []
+        for key in keys:
+            if key in young:
+                continue
+            if key in old:
+                young[key] = old[key]
+            else:
+                out.append(key)
+        return out
+
+    def learn(self, pairs: Iterable[tuple]) -> dict:
+        """The memory with the pairs, for lookups until the next call of missing."""
+        self.young.update(pairs)
+        return self.young
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """One buffer of UTF-8 bytes and the rows' offsets in it; null rows are empty."""
     column = column.cast(pa.large_string()).fill_null("")

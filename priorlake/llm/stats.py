@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from priorlake.llm.shared import row_sums, small_batches, text_bytes
+from priorlake.llm.shared import release, row_sums, small_batches, text_bytes
 
 WINDOW = 5
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -96,6 +96,7 @@ def with_text_counts(docs: DataFrame, id_column: str = "doc_id", text_column: st
     names = COUNTS + MORE
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in it:
             counts = text_counts(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(counts[n], pa.int64()) for n in names)], ["doc_id", *names])

@@ -20,11 +20,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from priorlake.llm.pieces import pieces
-from priorlake.llm.shared import new_path, small_batches
+from priorlake.llm.shared import new_path, remembered, small_batches
 
 CACHE_SCHEMA = "digest binary, version string, n_tokens long"
 REMEMBERED = 400_000
-_COUNTERS: dict[str, "Counter"] = {}
 
 
 def version_of(tokenizer: str) -> str:
@@ -88,9 +87,7 @@ class Counter:
 
 def counter(path: str) -> Counter:
     """One per worker process."""
-    if path not in _COUNTERS:
-        _COUNTERS[path] = Counter(path)
-    return _COUNTERS[path]
+    return remembered(path, lambda: Counter(path))
 
 
 def read_cache(spark: SparkSession, path: str, version: str) -> DataFrame:
