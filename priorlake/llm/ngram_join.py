@@ -28,7 +28,7 @@ from priorlake.llm.shared import components, local_components, release, small_ba
 
 WINDOW, SIMILARITY = 5, 0.8
 TREES, DEPTH, RECALL = 20, 5, 0.9999
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 BUCKET_CHUNK, GROUP_CHUNK = 512, 256
 SKETCH_FROM = 0.5  # estimated similarity below which a pair surely is below SIMILARITY (over 6 deviations)
 FILTER_BUCKETS = 1 << 18
@@ -105,8 +105,9 @@ def shingles(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return r[new], h[new], n_words
 
 
-def slices(starts: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+def slices(starts: np.ndarray, most: int | None = None) -> Iterator[tuple[int, int]]:
     """Ranges of rows that hold about `most` bytes, a longer row alone."""
+    most = most or SLICE_BYTES
     at = 0
     while at < len(starts) - 1:
         upto = max(at + 1, int(np.searchsorted(starts, starts[at] + most, side="right")) - 1)

@@ -32,6 +32,7 @@ from priorlake.llm.shared import small_batches, stored, text_bytes
 from priorlake.llm.suffix_merge import longest_matches
 
 LENGTH, HOT_STRINGS = 200, 4096
+SLICE_BYTES = 4 << 20  # what repeats within a slice is known without a shuffle
 
 
 def anchor_keys(docs: DataFrame, length: int) -> DataFrame:
@@ -40,7 +41,7 @@ def anchor_keys(docs: DataFrame, length: int) -> DataFrame:
         for batch in it:
             data, starts = text_bytes(batch.column(1))
             docs_ = batch.column(0).to_numpy()
-            for a, b in slices(starts):
+            for a, b in slices(starts, SLICE_BYTES):
                 row, _, _, key = window_runs(data, starts[a : b + 1], length)
                 if not len(key):
                     continue
@@ -86,7 +87,7 @@ def candidate_runs(docs: DataFrame, keys: DataFrame, length: int) -> DataFrame:
         for batch in it:
             data, starts = text_bytes(batch.column(1))
             whole, names, wanted = data.tobytes(), batch.column(0).to_pylist(), batch.column(2)
-            for a, b in slices(starts):
+            for a, b in slices(starts, SLICE_BYTES):
                 row, first, last, key = window_runs(data, starts[a : b + 1], length)
                 if not len(key):
                     continue
