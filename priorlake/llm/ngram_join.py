@@ -11,8 +11,8 @@ again; a fixed-size table of hash buckets (at most 2^18 rows) is broadcast to le
 
 Defined cases: words are runs of non-blank characters (blank: space, tab to carriage return); a text of one to four
 words has one shingle of all its words; null texts and texts without words link with nothing, copies of them neither; ids may be
-null (such a row never is a component's id unless all are) and rows with one id share their fate; an empty
-table gives no rows.
+null (such a row never is a component's id unless all are) and rows with one id share their fate, unless a row key is
+given: then one row of each component is kept, the first by id (nulls last) and key; an empty table gives no rows.
 """
 from __future__ import annotations
 
@@ -134,8 +134,8 @@ def signatures(column: pa.Array, size: int, seed: int = 5) -> tuple[np.ndarray,
     return out, words
 
 
-def sketched(docs: DataFrame, trees: int, depth: int) -> DataFrame:
-    """(doc_id, digest, n_words, signature) of every row; the digest is that of the whole text."""
+def sketched(docs: DataFrame, trees: int, depth: int, row: str | None = None) -> DataFrame:
+    """(doc_id, digest, n_words, signature) of every row, and its key _row if named; the digest is that of the whole text."""
     small_batches(docs.sparkSession, 2000)
     size = trees * depth
 
@@ -144,10 +144,14 @@ def sketched(docs: DataFrame, trees: int, depth: int) -> DataFrame:
         for batch in it:
             minima, words = signatures(batch.column(2), size)
             packed = pa.array([m.tobytes() if n else None for m, n in zip(minima.astype("<u4"), words, strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words), packed], ["doc_id", "digest", "n_words", "signature"])
+            arrays = [batch.column(0), batch.column(1), pa.array(words), packed, *batch.columns[3:]]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "digest", "n_words", "signature", *batch.schema.names[3:]])
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest_of(F.col("text")).alias("digest"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return slim.mapInArrow(batches, "doc_id long, digest binary, n_words long, signature binary")
+    slim = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), digest_of(F.col("text")).alias("digest"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+        *([F.col(row).cast("long").alias("_row")] if row else []),
+    )
+    return slim.mapInArrow(batches, "doc_id long, digest binary, n_words long, signature binary" + (", _row long" if row else ""))
 
 
 def digest_of(text: Column) -> Column:
@@ -239,12 +243,19 @@ def _verified(similarity: float):
     return verify
 
 
-def ngram_join(docs: DataFrame, similarity: float = SIMILARITY, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
+def ngram_join(
+    docs: DataFrame, similarity: float = SIMILARITY, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, row: str | None = None
+) -> DataFrame:
     """One row per document: doc_id, class_id (smallest id of its copies), n_links (other documents at the similarity
-    or above, copies included), component_id (smallest id it reaches by links), kept (doc_id = component_id)."""
+    or above, copies included), component_id (smallest id it reaches by links), kept (doc_id = component_id).
+
+    row: a column of unique longs; it comes first in the result, and kept is true for one row of each component.
+    """
     prefix = forest_depth(similarity, trees, depth, recall)
-    sketches = stored(sketched(docs, trees, depth), "signatures")
-    classes = sketches.where("n_words > 0").groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("size"), F.first("signature").alias("signature"))
+    sketches = stored(sketched(docs, trees, depth, row), "signatures")
+    place = [F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "_row")).alias("place")] if row else []
+    own, at, head = (["_row"], ["place"], [F.min("place").alias("head")]) if row else ([], [], [])
+    classes = sketches.where("n_words > 0").groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("size"), F.first("signature").alias("signature"), *place)
     classes = stored(classes.withColumn("rid", F.monotonically_increasing_id()), "classes")
     keys = [F.xxhash64(F.lit(t), F.substring("signature", 4 * depth * t + 1, 4 * prefix)) for t in range(trees)]
     members = classes.select("rid", F.explode(F.array(*keys)).alias("bucket"))
@@ -265,11 +276,17 @@ def ngram_join(docs: DataFrame, similarity: float = SIMILARITY, trees: int = TRE
     found = stored(per_group(dealt, ["group", "_i", "_j"], _verified(similarity), "a long, b long, links long", 2000), "links")
     tops = components(found.select("a", "b"), "tops")
     counts = found.groupBy(F.col("b").alias("rid")).agg(F.sum("links").alias("links"))
-    known = classes.select("digest", "rid", "class_id", "size").join(counts, "rid", "left").join(tops.withColumnRenamed("node", "rid"), "rid", "left")
+    known = classes.select("digest", "rid", "class_id", "size", *at).join(counts, "rid", "left").join(tops.withColumnRenamed("node", "rid"), "rid", "left")
     known = stored(known.withColumn("component", F.coalesce("component", "rid")), "known")
-    heads = known.groupBy("component").agg(F.min("class_id").alias("component_id"))
-    known = known.join(heads, "component").select("digest", "class_id", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), "component_id")
-    wordy = sketches.where("n_words > 0").select("doc_id", "digest").join(known, "digest")
-    bare = sketches.where("n_words = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("component_id"))
-    out = wordy.select("doc_id", "class_id", "n_links", "component_id").unionByName(bare)
+    heads = known.groupBy("component").agg(F.min("class_id").alias("component_id"), *head)
+    first = [F.col("head._row").alias("_first")] if row else []
+    known = known.join(heads, "component").select("digest", "class_id", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), "component_id", *first)
+    wordy = sketches.where("n_words > 0").select(*own, "doc_id", "digest").join(known, "digest")
+    bare = sketches.where("n_words = 0").select(
+        *own, "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("component_id"),
+        *([F.col("_row").alias("_first")] if row else []),
+    )
+    out = wordy.select(*bare.columns).unionByName(bare)
+    if row:
+        return out.select(F.col("_row").alias(row), "doc_id", "class_id", "n_links", "component_id", (F.col("_row") == F.col("_first")).alias("kept"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

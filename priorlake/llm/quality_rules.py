@@ -154,7 +154,9 @@ def judged(counted: DataFrame, trees: Trees, keep_from: float = KEEP_FROM) -> Da
     return scored.select(*names, "quality_score", "base_failed", (~F.col("base_failed") & (F.col("quality_score") >= keep_from)).alias("kept"))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, keep_from: float = KEEP_FROM) -> DataFrame:
-    """One row per document: doc_id, all counts, quality_score, base_failed, kept. Texts are read once."""
-    counted = stored(with_text_counts(docs), "text-counts")
+def quality_rules(
+    docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, keep_from: float = KEEP_FROM, carry: list[str] | None = None
+) -> DataFrame:
+    """One row per document: doc_id, all counts, carried columns, quality_score, base_failed, kept. Texts are read once."""
+    counted = stored(with_text_counts(docs, carry=carry), "text-counts")
     return judged(counted, fit_quality(counted, labels, max_labelled), keep_from)

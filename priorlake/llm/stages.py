@@ -15,25 +15,30 @@ from priorlake.llm.queries import table
 from priorlake.llm.secret_scan import redacted
 from priorlake.llm.shared import stored
 
-ID = "_id"
+ROW = "_row_key"
 
 
-def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs whose doc_id is not among the dropped ids; null ids can't be matched and stay."""
-    return docs.join(dropped.where("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs written with a key of its own for every row, so that all that read it see the same keys."""
+    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
+
+
+def without(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """rows but those that the verdicts (row key, kept) drop, each by its own key; the key is taken off."""
+    dropped = stored(verdicts.where("not kept").select(ROW), "dropped")
+    return rows.join(dropped, ROW, "left_anti").drop(ROW)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep; of rows that share an id all go if one is rejected, rejected rows of a null id go too."""
-    verdicts = stored(quality_rules(docs, table(spark, sf_dir, "labels")).select("doc_id", "kept"), "verdicts")
-    rejected = verdicts.where("not kept").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(ID)).distinct()
-    named = docs.withColumn(ID, F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    return named.join(rejected, ID, "left_anti").select(*docs.columns)
+    """Rows that the rules keep; each row is judged by its own text, whatever its id."""
+    rows = keyed(docs)
+    return without(rows, quality_rules(rows, table(spark, sf_dir, "labels"), carry=[ROW]))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near duplicates: the one with the group's smallest id."""
-    return without(docs, stored(ngram_join(docs).where("not kept").select("doc_id"), "dropped"))
+    """One row of every group of near duplicates: the one with the group's smallest id, nulls last; of equal ids one."""
+    rows = keyed(docs)
+    return without(rows, ngram_join(rows, row=ROW))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

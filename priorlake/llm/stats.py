@@ -90,8 +90,8 @@ def text_counts(column: pa.Array) -> dict[str, np.ndarray]:
     return out
 
 
-def with_text_counts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per input row: the id and every count of text_counts. Other columns are not carried."""
+def with_text_counts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """One row per input row: the id, every count of text_counts and the carried columns. Others are not carried."""
     small_batches(docs.sparkSession)
     names = COUNTS + MORE
 
@@ -99,10 +99,12 @@ def with_text_counts(docs: DataFrame, id_column: str = "doc_id", text_column: st
         release()
         for batch in it:
             counts = text_counts(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(counts[n], pa.int64()) for n in names)], ["doc_id", *names])
+            arrays = [batch.column(0), *(pa.array(counts[n], pa.int64()) for n in names), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *names, *batch.schema.names[2:]])
 
-    slim = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    return slim.mapInArrow(batches, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+    slim = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"), *(carry or []))
+    more = [f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema[2:]]
+    return slim.mapInArrow(batches, ", ".join(["doc_id long", *(f"{n} long" for n in names), *more]))
 
 
 def features(counts: dict[str, np.ndarray]) -> np.ndarray:

@@ -306,3 +306,28 @@ def test_pipeline_runs_on_awkward_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty = corpus_pipeline.stored(stage(spark, empty, FOLDER), "stage")
     assert empty.count() == 0
+
+
+def test_stages_judge_rows_not_ids(spark):
+    """Ids are null or shared; a bad or repeated row costs no other row, and a group keeps one row."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    good = [r["doc_id"] for r in queries.op5_quality_rules(spark, FOLDER).where("kept").orderBy("doc_id").limit(6).collect()]
+    texts = [r["text"] for r in docs.where(F.col("doc_id").isin(good)).orderBy("doc_id").collect()]
+    rows = [(None, texts[0]), (None, "bad"), (None, texts[1]), (7, texts[2]), (7, "bad"), (7, texts[3]), (8, texts[4])]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, tag long").repartition(3)
+    kept = stages.quality_stage(spark, df, FOLDER)
+    assert kept.columns == df.columns and sorted(r["tag"] for r in kept.collect()) == [0, 2, 3, 5, 6]
+
+    rng = random.Random(8)
+    a, b, c, d, e = (prose(rng, 120) for _ in range(5))
+    rows = [
+        (None, a), (None, a), (None, a + " more"),  # no id at all: one stays
+        (5, b), (5, b), (None, b), (9, b + " more"),  # one of the two rows of id 5 stays
+        (9, c), (4, d), (9, d + " more"),  # c has the id of dropped copies and stays
+        (3, e), (3, prose(rng, 120)), (None, None), (None, None), (2, ""), (2, " "),
+    ]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, tag long").repartition(3)
+    kept = stages.near_duplicate_stage(spark, df, FOLDER)
+    tags = {r["tag"] for r in kept.collect()}
+    assert kept.columns == df.columns and len(tags & {0, 1, 2}) == 1 and len(tags & {3, 4}) == 1
+    assert tags - {0, 1, 2, 3, 4} == {7, 8, 10, 11, 12, 13, 14, 15}
