@@ -2,17 +2,21 @@
 from __future__ import annotations
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import random
 import re
 import urllib.parse
+import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import zstandard
 from pyspark.sql import functions as F
 from samples import documents, nothing, prose
 from tokenizers import Tokenizer
@@ -142,6 +146,55 @@ def test_layers_are_unwrapped_and_mapped(hidden, depth):
     assert inner and all(start <= a < b <= start + len(code) for _, a, b, _ in inner)
 
 
+def wrapped(raw: bytes, width: int = 76, end: str = "\n") -> str:
+    code = base64.b64encode(raw).decode()
+    return end.join(code[k : k + width] for k in range(0, len(code), width))
+
+
+SECRET = b"password=hunter2hunter2"
+NOISE = random.Random(6).randbytes(300)
+
+
+@pytest.mark.parametrize(
+    "code",
+    [
+        base64.b64encode(gzip.compress(SECRET + b"\0" * 2000)).decode(),  # as in a tar
+        base64.b64encode(gzip.compress(SECRET.decode().encode("utf-16"))).decode(),
+        base64.b64encode(b"x" + SECRET.decode().encode("utf-16-be")).decode(),
+        base64.b64encode("Käse ".encode("latin-1") + SECRET).decode(),
+        base64.b64encode(NOISE + SECRET + NOISE).decode(),
+        "%FF" + "".join(f"%{c:02x}" for c in SECRET) + "%C3",
+        "\\ud800" + "".join(f"\\u{c:04x}" for c in SECRET),
+        wrapped(b"a line that is long enough, then a pass" + b"." * 13 + SECRET),
+        wrapped(gzip.compress(NOISE + SECRET), 64, "\r\n"),
+        "-----BEGIN KEY-----\n" + wrapped(gzip.compress(NOISE + SECRET), 64) + "\n-----END KEY-----",
+        "data:" + wrapped(gzip.compress(NOISE + SECRET), 76, "\n  "),
+        "x = '" + wrapped(SECRET, 20) + "'",
+        base64.b64encode(gzip.compress(b"first ") + gzip.compress(SECRET)).decode(),
+        base64.b64encode(bz2.compress(b"first ") + bz2.compress(SECRET)).decode(),
+        base64.b64encode(lzma.compress(b"first ") + lzma.compress(SECRET)).decode(),
+        base64.b64encode(zlib.compress(b"first ") + SECRET).decode(),
+        base64.b64encode(zstandard.compress(b"first ") + zstandard.compress(SECRET)).decode(),
+        base64.b64encode(gzip.compress(NOISE + SECRET + NOISE[::-1])[:-20]).decode(),
+    ],
+)
+def test_no_decoded_layer_is_thrown_away(code):
+    text = f"before {code} after"
+    spans, unopened = secret_scan.find_secrets(text)
+    inner = [(a, b) for kind, a, b, layer in spans if kind == "assign" and layer == 1]
+    assert inner and unopened == 0 and all(7 <= a < b <= 7 + len(code) for a, b in inner)
+
+
+@pytest.mark.parametrize("at", [0, 990, 1000, 1490, 150_000, 299_977])
+@pytest.mark.parametrize("pack", [gzip.compress, zstandard.compress, lambda raw: bz2.compress(lzma.compress(raw))])
+def test_oversized_layers_are_scanned_in_chunks(at, pack):
+    raw = bytearray(b"." * 300_000)
+    raw[at : at + len(SECRET)] = SECRET
+    code = base64.b64encode(pack(bytes(raw))).decode()
+    spans, unopened = secret_scan.find_secrets(f"x {code} y", max_layer_bytes=1000)
+    assert [(s[0], s[1], s[2]) for s in spans] == [("assign", 2, 2 + len(code))] and unopened == 1
+
+
 def test_cycles_and_bombs_end():
     assert secret_scan.find_secrets("%25" * 200 + "41")[1] == 0
     bomb = base64.b64encode(gzip.compress(b"a" * 200_000)).decode()
