@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from priorlake.llm import chat_quotes, embedding_dedup, mixing
+from priorlake.llm import chat_quotes, embedding_dedup, importance, mixing, sharding, spelling
 from priorlake.llm.stats import COUNTS
 
 
@@ -47,6 +47,18 @@ def op8_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality_classifier(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op11_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.sharded(table(spark, folder, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variant_groups(table(spark, folder, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return importance.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def _is(value: str):
     return lambda x: x == value
 
@@ -82,5 +94,12 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_embedding_dedup, op3_secret_scan, op4_chat_quotes, op5_quality_rules, op6_byte_bpe, op7_ngram_join, op8_quality_classifier, op9_suffix_dedup, op10_mixing)}
-SQL: dict[str, str] = {"op2_embedding_dedup": embedding_dedup.SQL, "op4_chat_quotes": chat_quotes.SQL, "op10_mixing": mixing.SQL}
+_ALL = (
+    op1_token_counts, op2_embedding_dedup, op3_secret_scan, op4_chat_quotes, op5_quality_rules, op6_byte_bpe, op7_ngram_join, op8_quality_classifier,
+    op9_suffix_dedup, op10_mixing, op11_sharding, op12_spelling_variants, op13_importance_resampling,
+)
+QUERIES = {f.__name__: f for f in _ALL}
+SQL: dict[str, str] = {
+    "op2_embedding_dedup": embedding_dedup.SQL, "op4_chat_quotes": chat_quotes.SQL, "op10_mixing": mixing.SQL,
+    "op11_sharding": sharding.SQL, "op12_spelling_variants": spelling.SQL, "op13_importance_resampling": importance.SQL,
+}

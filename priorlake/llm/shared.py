@@ -9,7 +9,7 @@ from collections.abc import Callable, Hashable, Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BATCH_ROWS = 1000
@@ -36,6 +36,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(rows: DataFrame, group: list[str], order: list, name: str, number: str) -> DataFrame:
+    """rows with their place (long, from 0) inside their group in the given order, which must tell all rows apart.
+
+    Rows are range-partitioned by group and order, sorted there and written with their place in the partition; only the
+    counts by (partition, group) meet in windows, so that neither a group nor a tie of any size comes to one task.
+    """
+    place = F.monotonically_increasing_id()
+    dealt = rows.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order)
+    dealt = stored(dealt.select(*rows.columns, place.bitwiseAND(F.lit((1 << 33) - 1)).alias("_place"), F.shiftright(place, 33).alias("_part")), name)
+    sizes = dealt.groupBy("_part", *group).agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1) if group else Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = stored(sizes.select("_part", *group, (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_start")), name)
+    return dealt.join(starts, ["_part", *group]).select(*rows.columns, (F.col("_place") + F.col("_start")).alias(number))
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Arrow batches that hold whole texts are kept short, so that long texts fit a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
