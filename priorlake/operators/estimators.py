@@ -3,9 +3,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,17 +73,6 @@ def two_sided(make: Callable[[str, float], object], features: list[str], drift_r
     return fit, predict
 
 
-def poisson(features: list[str], alpha: float = 1.0):
-    """Poisson regression, log link. MLlib's penalty is alpha over the weighted mean of the label."""
-
-    def make(label: str, mean: float):
-        return GeneralizedLinearRegression(
-            family="poisson", link="log", featuresCol="_x", labelCol=label, weightCol="_weight", regParam=alpha / mean, maxIter=100
-        )
-
-    return two_sided(make, features)
-
-
 def random_forest(features: list[str], trees: int = 300, depth: int = 4, leaf: int = 15, seed: int = 42):
     def make(label: str, mean: float):
         return RandomForestRegressor(
@@ -101,40 +89,3 @@ def boosted_trees(features: list[str], rounds: int = 100, depth: int = 3, rate:
         )
 
     return two_sided(make, features)
-
-
-def win_classifier(features: list[str]):
-    """Home-win probability mapped to a score pair by the training margins and total.
-
-    The penalty is the usual unit ridge on a summed loss, hence 1 over the total weight here.
-    """
-    from pyspark.ml.functions import vector_to_array
-
-    margin, w = F.col("home_score") - F.col("away_score"), F.col("_weight")
-
-    def raw(fitted, test: DataFrame) -> DataFrame:
-        moments, model, row = fitted
-        p = vector_to_array("probability")[1]
-        scored = model.transform(vectors(test, moments)).withColumn("_m", p * row["win"] + (1 - p) * row["loss"])
-        return scored.select(*KEEP, ((row["total"] + F.col("_m")) / 2).alias("home_pred"), ((row["total"] - F.col("_m")) / 2).alias("away_pred"))
-
-    def fit(train: DataFrame):
-        moments = training_moments(train, features)
-        ready = weighted(vectors(train, moments)).withColumn("_won", (margin > 0).cast("double")).persist()
-        mean = lambda x, keep: F.sum(F.when(keep, x * w)) / F.sum(F.when(keep, w))
-        row = ready.agg(
-            mean(margin, margin > 0).alias("win"), mean(margin, margin <= 0).alias("loss"),
-            mean(F.col("home_score") + F.col("away_score"), F.lit(True)).alias("total"), F.sum(w).alias("w"),
-        ).first().asDict()
-        model = LogisticRegression(
-            featuresCol="_x", labelCol="_won", weightCol="_weight", regParam=1.0 / row["w"], standardization=False
-        ).fit(ready)
-        ready.unpersist()
-        fitted = (moments, model, row)
-        return fitted, drift(train, lambda rows: raw(fitted, rows))
-
-    def predict(fitted, test: DataFrame) -> DataFrame:
-        model, offset = fitted
-        return _corrected(raw(model, test), offset)
-
-    return fit, predict

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from priorlake.functions import scalars as sc
-from priorlake.operators import assemble, blends, chain, estimators, folds, gram, prefix, ratings, registry, roster, rollup, rules, temporal
+from priorlake.operators import assemble, blends, chain, estimators, folds, glm, gram, prefix, ratings, registry, roster, rollup, rules, temporal
 from priorlake.operators import bootstrap as bs
 from priorlake.operators import evaluate as ev
 from priorlake.operators.gram import ALPHAS, Arm
@@ -141,18 +141,25 @@ def registry_composite(spark, folder):
     return out.select("game_id", "season", "week", *rs("home_pred", "away_pred", digits=5))
 
 
-def _estimator(spark, folder, pair, burn_in):
-    return shown(folds.walk_forward(base.model_table(spark, folder), *pair, by="season", burn_in=burn_in))
+def glm_forecasts(spark, folder, arms, table=None, weights=None, family=glm.Poisson):
+    table = base.model_table(spark, folder) if table is None else table
+    return glm.walk_forward_glm(table, base.folds(spark, folder), arms, KEEP, overtime_weights() if weights is None else weights, family)
 
 
 @query("i7_poisson")
 def poisson(spark, folder):
-    return _estimator(spark, folder, estimators.poisson(FEATURES), 2)
+    """Refit every week: Newton rounds over all weeks at once; penalty 1 on standardised features; overtime weights; drift offset."""
+    return shown(glm_forecasts(spark, folder, {"poisson": Arm(FEATURES)}))
 
 
 @query("i8_win_classifier")
 def win_classifier(spark, folder):
-    return _estimator(spark, folder, estimators.win_classifier(FEATURES), 2)
+    """Refit every week: win probability to a score pair by the training margins and total."""
+    return shown(glm_forecasts(spark, folder, {"win": Arm(FEATURES)}, family=glm.Logistic))
+
+
+def _estimator(spark, folder, pair, burn_in):
+    return shown(folds.walk_forward(base.model_table(spark, folder), *pair, by="season", burn_in=burn_in))
 
 
 @query("i9_random_forest")
@@ -233,9 +240,14 @@ def segment_table(spark, folder):
     return base.keep(spark, folder, "segment_table", lambda: assemble.attach_sided(contests, sided, ["t"], ["off", "def", "n_drives", "n_faced"]))
 
 
+def outcome_forecasts(spark, folder):
+    """Forecasts of the outcome model, kept for the queries that compare with them."""
+    return base.keep(spark, folder, "outcome_forecasts", lambda: chain.outcome_model(segment_table(spark, folder), KEEP))
+
+
 @query("i15_outcome_model")
 def outcome_model(spark, folder):
-    return shown(chain.outcome_model(segment_table(spark, folder), KEEP), "w")
+    return shown(outcome_forecasts(spark, folder), "w")
 
 
 def chain_segments(spark, folder):
@@ -336,6 +348,11 @@ def compare(spark, folder, table, arms, control="control", weights=None):
     return arm_table(ridge(spark, folder, arms, table, weights), control)
 
 
+def compare_poisson(spark, folder, table, arms, control="control", weights=None):
+    """The same comparison under the Poisson estimator: all arms share every Newton round."""
+    return arm_table(glm_forecasts(spark, folder, arms, table, weights), control)
+
+
 def without(*parts):
     return [f for f in FEATURES if not any(p in f for p in parts)]
 
@@ -381,13 +398,9 @@ def ratings_replace_raw(spark, folder):
 @query("j32_ratings_poisson")
 def ratings_poisson(spark, folder):
     """The same arms under the Poisson estimator."""
-    table = rated_table(spark, folder)
     swapped = without("epa_per_play") + sided(["off", "def"])
-    out = None
-    for arm, features in (("control", FEATURES), ("ratings", swapped)):
-        part = folds.walk_forward(table, *estimators.poisson(features), by="season", burn_in=2).withColumn("model", F.lit(arm))
-        out = part if out is None else out.unionByName(part)
-    return arm_table(out, "control")
+    arms = {"control": Arm(FEATURES), "ratings": Arm(swapped), "both": Arm(FEATURES + sided(["off", "def"]))}
+    return compare_poisson(spark, folder, rated_table(spark, folder), arms)
 
 
 TYPE_SPLIT = ["off_pass_epa_per_play", "off_rush_epa_per_play", "def_pass_epa_per_play_allowed", "def_rush_epa_per_play_allowed"]
@@ -553,7 +566,7 @@ START_SLOPE, START_SEGMENTS = -0.0355, 11.0
 
 @query("j43_start_position_arm")
 def start_position_arm(spark, folder):
-    """The outcome model plus a start-position term: slope × (blended start - training mean) × segments."""
+    """The outcome model plus a start-position term: slope × (blended start - the fold's training mean) × segments."""
     per = starts(spark, folder)
     own = per.groupBy("game_id", F.col("posteam").alias("team")).agg(F.avg("start").alias("own_fp"))
     allowed = per.groupBy("game_id", F.col("defteam").alias("team")).agg(F.avg("start").alias("fp_allowed"))
@@ -563,15 +576,15 @@ def start_position_arm(spark, folder):
     c = F.col
     seg = segment_table(spark, folder)
     table = assemble.attach_sided(seg, hist, ["t"], ["own_fp", "fp_allowed"])
-    mean = F.array(c("home_own_fp"), c("away_own_fp"))
-    level = seg.select("season").distinct()
-    per_season = table.select("season", F.explode(mean).alias("x")).groupBy("season").agg(F.sum("x").alias("s"), F.count("x").alias("n"))
-    over = prefix.prior_sums(per_season, [], "season", {"s": c("s"), "n": c("n")}).select("season", sc.safe_div(c("s"), c("n")).alias("level"))
-    control = chain.outcome_model(seg, KEEP).drop("w").withColumn("model", F.lit("control"))
+    sides = [c("home_own_fp"), c("away_own_fp")]
+    total, count = sum(F.coalesce(x, F.lit(0.0)) for x in sides), sum(x.isNotNull().cast("int") for x in sides)
+    trained = folds.training_sums(table, base.folds(spark, folder).select("season", "week", "cutoff"), {"s": total, "n": count})
+    level = trained.select("season", "week", sc.safe_div(c("s"), c("n")).alias("level"))
+    control = outcome_forecasts(spark, folder).drop("w").withColumn("model", F.lit("control"))
     keys = table.select("game_id", *[f"{s}_{n}" for s in ("home", "away") for n in ("own_fp", "fp_allowed")])
-    joined = control.join(keys, "game_id").join(over.join(level, "season"), "season")
+    joined = control.join(keys, "game_id").join(level, ["season", "week"], "left")
     start = lambda own, opp: F.coalesce((c(own) + c(opp)) / 2, c(own), c(opp), c("level"))
-    shift = lambda own, opp: START_SLOPE * (start(own, opp) - c("level")) * START_SEGMENTS
+    shift = lambda own, opp: F.coalesce(START_SLOPE * (start(own, opp) - c("level")) * START_SEGMENTS, F.lit(0.0))
     moved = joined.withColumns({
         "home_pred": c("home_pred") + shift("home_own_fp", "away_fp_allowed"), "away_pred": c("away_pred") + shift("away_own_fp", "home_fp_allowed"),
         "model": F.lit("start_position"),
