@@ -183,7 +183,8 @@ def bisected(rows: DataFrame, column: str, most: int) -> tuple[int, int] | None:
     low, high, below = int(low), int(high), 0
     while low < high:
         step = -(-(high - low + 1) // (CUTS + 1))
-        place = F.floor((F.col(column).cast("decimal(38,0)") - F.lit(low)) / F.lit(step)).cast("int") if high - low >= 1 << 62 else F.expr(f"cast(({column} - {low}L) div {step}L as int)")
+        wide = high - low >= 1 << 62  # such differences need not fit a long
+        place = F.expr(f"cast((cast({column} as decimal(38, 0)) - {low}BD) div {step}BD as int)" if wide else f"cast(({column} - {low}L) div {step}L as int)")
         counts = rows.where(F.col(column).between(low, high)).groupBy(place.alias("at")).agg(F.count("*").alias("n")).collect()
         for r in sorted(counts, key=lambda r: r["at"]):
             if below + r["n"] >= most:
