@@ -60,7 +60,7 @@ def walk_forward(
 ) -> DataFrame:
     """Refit an estimator per fold: train on rows strictly before it, predict its rows.
 
-    For models without prefix statistics (MLlib estimators). The loop runs over
+    For models without prefix statistics. The loop runs over
     the list of folds, whose length is bounded; rows stay distributed. `fit`
     takes a training frame, `predict` the fitted object and the fold's rows.
     """

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from priorlake.functions import scalars as sc
-from priorlake.operators import assemble, blends, chain, estimators, folds, glm, gram, prefix, ratings, registry, roster, rollup, rules, temporal
+from priorlake.operators import assemble, blends, chain, folds, glm, gram, prefix, ratings, registry, roster, rollup, rules, temporal, trees
 from priorlake.operators import bootstrap as bs
 from priorlake.operators import evaluate as ev
 from priorlake.operators.gram import ALPHAS, Arm
@@ -158,18 +158,21 @@ def win_classifier(spark, folder):
     return shown(glm_forecasts(spark, folder, {"win": Arm(FEATURES)}, family=glm.Logistic))
 
 
-def _estimator(spark, folder, pair, burn_in):
-    return shown(folds.walk_forward(base.model_table(spark, folder), *pair, by="season", burn_in=burn_in))
+def tree_forecasts(spark, folder, how, features=None, table=None):
+    table = base.model_table(spark, folder) if table is None else table
+    return trees.walk_forward_trees(table, base.folds(spark, folder), features or FEATURES, KEEP, overtime_weights()["w"], how)
 
 
 @query("i9_random_forest")
 def random_forest(spark, folder):
-    return _estimator(spark, folder, estimators.random_forest(FEATURES), 2)
+    """Refit every week: 300 bootstrapped trees of depth 4, all weeks grown together."""
+    return shown(tree_forecasts(spark, folder, trees.FOREST))
 
 
 @query("i10_boosted_trees")
 def boosted_trees(spark, folder):
-    return _estimator(spark, folder, estimators.boosted_trees(FEATURES), 2)
+    """Refit every week: 100 rounds of depth 3 from summed histograms, all weeks grown together."""
+    return shown(tree_forecasts(spark, folder, trees.BOOSTED))
 
 
 POOLING_K = 20.0
