@@ -1,6 +1,8 @@
 """Block bootstrap over sums per block: rows are folded once, replicates touch blocks only."""
 from __future__ import annotations
 
+from math import exp, factorial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +40,33 @@ def resample(blocks: DataFrame, by: list[str], block: str, sums: list[str], repl
     return out.select(*by, "rep", *[total(c).alias(c) for c in sums])
 
 
+# How many of 2^32 equally likely numbers give a Poisson(1) count of at most 0, 1, 2, ...
+POISSON = [int(2**32 * sum(exp(-1) / factorial(j) for j in range(k + 1))) for k in range(10)]
+PER_HASH = 4
+
+
+def row_resample(rows: DataFrame, by: list[str], row: str, sums: dict[str, Column], replicates: int = REPLICATES, seed: int = SEED) -> DataFrame:
+    """(by, rep, sums) where every row is a block of its own: row i counts Poisson(1) times in replicate r.
+
+    The count is a hash of (seed, stretch of PER_HASH replicates, row key), so rows need neither numbers nor each other:
+    each one sends its own counts into sums by replicate, which are partial before the shuffle. Groups over the same
+    rows are resampled alike (paired). Replicate -1 counts each row once and yields the point estimate.
+    """
+    values = [F.coalesce(c.cast("double"), F.lit(0.0)).alias(n) for n, c in sums.items()]
+    stretch = F.explode(F.sequence(F.lit(POINT), F.lit((replicates - 1) // PER_HASH))).alias("_g")
+    spread = rows.select(*by, F.col(row).cast("string").alias("_row"), *values).select("*", stretch)
+    spread = spread.withColumn("_h", F.when(F.col("_g") != POINT, F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("_g").cast("string"), F.col("_row")))))
+    part = lambda k: F.conv(F.substring("_h", 8 * k + 1, 8), 16, 10).cast("long")
+    count = lambda k: sum(((part(k) >= F.lit(edge)).cast("int") for edge in POISSON), F.lit(0))
+    added = spread.select(*by, "_g", *sums, *[count(k).alias(f"_c{k}") for k in range(PER_HASH)]).groupBy(*by, "_g").agg(
+        *[F.sum(n).alias(f"{n}_all") for n in sums], *[F.sum(F.col(n) * F.col(f"_c{k}")).alias(f"{n}_{k}") for n in sums for k in range(PER_HASH)]
+    )
+    one = F.struct(F.lit(POINT).alias("rep"), *[F.col(f"{n}_all").alias(n) for n in sums])
+    many = [F.struct((F.col("_g") * PER_HASH + k).alias("rep"), *[F.col(f"{n}_{k}").alias(n) for n in sums]) for k in range(PER_HASH)]
+    each = F.when(F.col("_g") == POINT, F.array(one)).otherwise(F.array(*many))
+    return added.select(*by, F.explode(each).alias("_r")).select(*by, "_r.*").filter(F.col("rep") < replicates)
+
+
 def interval(replicates: DataFrame, by: list[str], stats: dict[str, Column], probs=(0.025, 0.975)) -> DataFrame:
     """`<stat>`, `<stat>_lo` and `<stat>_hi` per group; a group holds as many rows as replicates."""
     out = []
@@ -63,16 +92,16 @@ def rmse_interval(df: DataFrame, by: list[str], block: str, home: str = "home_er
     return interval(reps, by, {"rmse": F.sqrt(F.try_divide(F.col("sq"), F.col("n")))})
 
 
-def paired_rmse_delta(paired: DataFrame, by: list[str], block: str, replicates: int = REPLICATES, seed: int = SEED) -> DataFrame:
+def paired_rmse_delta(paired: DataFrame, by: list[str], block: str, replicates: int = REPLICATES, seed: int = SEED, by_row: bool = False) -> DataFrame:
     """RMSE(candidate) - RMSE(reference) with interval and share of replicates below zero.
 
     `paired` has one row per contest with `sq_cand` and `sq_ref`: both sides'
-    squared errors added up.
+    squared errors added up. `by_row`: `block` tells rows apart and each is a block of its own.
     """
     sums = {"c": F.col("sq_cand"), "r": F.col("sq_ref"), "n": F.lit(2)}
     blocks = block_sums(paired, by, block, sums)
     delta = F.sqrt(F.try_divide(F.col("c"), F.col("n"))) - F.sqrt(F.try_divide(F.col("r"), F.col("n")))
-    reps = resample(blocks, by, block, list(sums), replicates, seed)
+    reps = row_resample(paired, by, block, sums, replicates, seed) if by_row else resample(blocks, by, block, list(sums), replicates, seed)
     redrawn = F.col("rep") != POINT
     q = F.percentile(F.when(redrawn, delta), F.array(F.lit(0.025), F.lit(0.975)))
     return reps.groupBy(*by).agg(

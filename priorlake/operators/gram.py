@@ -26,6 +26,7 @@ from priorlake.operators.rules import DRIFT_ROWS
 ALPHAS = tuple(10 ** (-2 + 6 * i / 24) for i in range(25))
 INNER_SPLITS = 5
 SIDES = ("home", "away")
+HELD_NUMBERS = 16 << 20
 
 
 @dataclass(frozen=True)
@@ -64,22 +65,30 @@ class _Layout:
 
 
 def _segment_products(layout: _Layout):
-    """Arrow batches of rows to partial sums of products per segment."""
+    """A task's rows to one partial sum of products for each segment it meets."""
     p, q = len(layout.names), layout.width
     upper = np.triu_indices(q)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, np.ndarray] = {}
         for pdf in batches:
             x = pdf[layout.names].to_numpy(float)
             known = ~np.isnan(x)
             z = np.hstack([np.ones((len(pdf), 1)), np.where(known, x, 0.0), 1.0 - known, pdf[["home_score", "away_score"]].to_numpy(float)])
+            weights = pdf[layout.weights].to_numpy(float)
             for seg, idx in pdf.groupby(SEGMENT).indices.items():
                 zs = z[idx]
-                out = {"seg": int(seg), "i": upper[0], "j": upper[1], "u": (zs.T @ zs)[upper]}
-                for n, name in enumerate(layout.weights):
-                    w = pdf[name].to_numpy(float)[idx]
-                    out[f"g{n}"] = ((zs * w[:, None]).T @ zs)[upper]
-                yield pd.DataFrame(out)
+                found = np.stack([(zs.T @ zs)[upper], *[((zs * w[:, None]).T @ zs)[upper] for w in weights[idx].T]])
+                held[int(seg)] = held[int(seg)] + found if seg in held else found
+            # A task that meets very many stretches hands its sums on before they fill its memory.
+            if len(held) * (1 + len(layout.weights)) * len(upper[0]) > HELD_NUMBERS:
+                yield from out(held)
+                held = {}
+        yield from out(held)
+
+    def out(held: dict[int, np.ndarray]) -> Iterator[pd.DataFrame]:
+        for seg, sums in held.items():
+            yield pd.DataFrame({"seg": seg, "i": upper[0], "j": upper[1], "u": sums[0], **{f"g{n}": g for n, g in enumerate(sums[1:])}})
 
     return run
 

@@ -4,27 +4,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 1024
+BUCKETS = 256
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], buckets: int = BUCKETS) -> DataFrame:
     """(keys, prob, q): linearly interpolated quantiles, equal to sorting each group.
 
-    Values are counted map-side, counts are spread over `buckets` equal-width
-    ranges per key, and only the ranges that hold a wanted rank are sorted. A
-    window never sees more than one range of one key.
+    Values are counted map-side. A sketch of each key's distinct values cuts them into about `buckets` ranges of like
+    size, whatever their distribution; ranges are counted exactly, and only those that hold a wanted rank are
+    sorted. The sketch decides how work is cut and never the result. A window sees one range of one key.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
     k = keys
-    limits = counts.groupBy(*k).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total"))
+    cuts = F.percentile_approx("_v", F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), 100 * buckets) if buckets > 1 else F.array().cast("array<double>")
+    limits = counts.groupBy(*k).agg(F.array_distinct(cuts).alias("_cuts"), F.sum("_n").alias("_total"))
     if keys:
         limited = counts.join(limits, k)
     else:
-        one = limits.select(F.struct("_lo", "_hi", "_total")).scalar()
+        one = limits.select(F.struct("_cuts", "_total")).scalar()
         limited = counts.withColumn("_lim", one).select("_v", "_n", "_lim.*")
-    span = F.col("_hi") - F.col("_lo")
-    bucket = F.when(span > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / span * buckets), F.lit(buckets - 1))).otherwise(F.lit(0))
-    placed = limited.withColumn("_b", bucket.cast("int"))
+    placed = limited.withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
     tops = (
         placed.groupBy(*k, "_b", "_total")
         .agg(F.sum("_n").alias("_m"))

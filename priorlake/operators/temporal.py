@@ -1,9 +1,10 @@
 """Time-decayed features over strictly earlier rows.
 
-A row aged `a` weighs 2^(-a/H). Writing the weight as 2^(t/H) turns every decayed
-sum into a plain prefix sum of one pass, because the anchor cancels in a mean;
-where it does not cancel (effective counts, kernel mixtures) the sum is
-multiplied by 2^(-T/H) at the row's anchor T. Missing measures add to neither
+A row aged `a` weighs 2^(-a/H). Time is cut into stretches of STRETCH half-lives. Inside a stretch the
+weight is 2^(t/H) from the stretch's start, which turns a decayed sum into a plain prefix sum and stays within a double; what
+earlier stretches leave is a pair (stretch, sum scaled to its start), and pairs merge by scaling the earlier one
+with 2^(-gap/H). So neither the span of time nor its origin is limited, and a mean outlives its weights: where all of them
+have faded, their ratio is still that of the latest stretch. Missing measures add to neither
 side, but the clock keeps running through them.
 """
 from __future__ import annotations
@@ -15,8 +16,7 @@ from pyspark.sql import functions as F
 
 from priorlake.operators.prefix import Block, prior_sums
 
-ORIGIN_DAY = 9131  # 1995-01-01 as days since the epoch: keeps 2^(t/H) near 1
-MAX_HALFLIVES = 900.0  # doubles overflow at 1024
+STRETCH = 256.0  # half-lives (of the shortest one in use); doubles hold 1023
 
 
 @dataclass(frozen=True)
@@ -62,13 +62,9 @@ class RecencyPlan:
         return self.per_measure.get(measure, self.default)
 
 
-def growth(clock: Column, halflife: float, origin: float) -> Column:
-    """2^((clock - origin)/H), refusing spans a double cannot hold."""
-    halves = (clock - F.lit(origin)) / F.lit(float(halflife))
-    return F.when(
-        F.abs(halves) > MAX_HALFLIVES,
-        F.raise_error(F.lit("time span exceeds 900 half-lives; move the origin or lengthen the half-life")).cast("double"),
-    ).otherwise(F.pow(F.lit(2.0), halves))
+def growth(clock: Column, halflife: float, origin: float | Column) -> Column:
+    """2^((clock - origin)/H) for spans that a double holds."""
+    return F.pow(F.lit(2.0), (clock - origin) / F.lit(float(halflife)))
 
 
 def decayed_prior(
@@ -81,49 +77,79 @@ def decayed_prior(
     mask: Column | None = None,
     anchor: str = "current",
     clock: str | None = None,
-    origin: float = ORIGIN_DAY,
     block: Block | None = None,
 ) -> DataFrame:
     """One row per (keys, t): `<name>` = decayed num/den and `<name>_n` = decayed den.
 
     pairs   name -> (numerator, denominator); null parts contribute nothing
     mask    rows that may feed later rows (all of them receive a value)
-    clock   column the decay runs on when it differs from the order `t`
+    clock   column the decay runs on when it differs from the order `t`; it must not fall as `t` rises
     anchor  "previous" measures age from the key's previous time instead of `t`
     """
     if anchor not in ("current", "previous"):
         raise ValueError(f"anchor must be 'current' or 'previous', got {anchor!r}")
-    if isinstance(kernels, dict):
-        kernel_of = kernels.__getitem__
-    else:
-        kernel_of = lambda _name: kernels
-    tick = F.col(clock or t).cast("double")
+    kernel_of = kernels.__getitem__ if isinstance(kernels, dict) else lambda _name: kernels
     use = F.lit(True) if mask is None else F.coalesce(mask, F.lit(False))
-    sums: dict[str, Column] = {}
+    halves = {f"{name}__{i}": half for name in pairs for i, (_, half) in enumerate(kernel_of(name).parts())}
+    width = F.lit(STRETCH * min(halves.values()))
+    start = F.col("_stretch") * width
+    tick = F.col(clock or t).cast("double")
+    sums = {"_at": tick}
     for name, (num, den) in pairs.items():
-        for i, (_, half) in enumerate(kernel_of(name).parts()):
-            w = growth(tick, half, origin)
-            sums[f"{name}__n{i}"] = F.when(use, num * w)
-            sums[f"{name}__d{i}"] = F.when(use, den * w)
-    source = df if clock is None else df.withColumn("_clock", tick)
-    history = prior_sums(source, keys, t, sums, block=block)
-    if clock is not None:
-        clocks = source.groupBy(*keys, t).agg(F.max("_clock").alias("_at"))
-        history = history.join(clocks, [*keys, t])
-        at = F.col("_at")
-    elif anchor == "previous":
-        over = Window.partitionBy(*keys).orderBy(t)
-        history = history.withColumn("_at", F.coalesce(F.lag(t).over(over), F.col(t)).cast("double"))
-        at = F.col("_at")
+        sums |= {f"{name}__n": F.when(use, num), f"{name}__d": F.when(use, den)}
+    plain = [c for c in sums if c != "_at"]
+    per_time = df.groupBy(*keys, t).agg(F.max(tick).alias("_at"), *[F.sum(sums[c]).alias(c) for c in plain])
+    per_time = per_time.withColumn("_stretch", F.floor(F.col("_at") / width))
+    scaled = {f"{p}{k}": F.col(f"{p.rsplit('__', 1)[0]}__{k}") * growth(F.col("_at"), half, start) for p, half in halves.items() for k in "nd"}
+    over = Window.partitionBy(*keys).orderBy(t)
+    if block is None:
+        inside = Window.partitionBy(*keys, "_stretch").orderBy(t).rowsBetween(Window.unboundedPreceding, -1)
+        rows = per_time.select(*keys, t, "_at", "_stretch", *[c.alias(n) for n, c in scaled.items()], F.lead("_stretch").over(over).alias("_later"))
+        last = F.col("_later").isNull() | (F.col("_later") != F.col("_stretch"))
+        prior = {n: F.coalesce(F.sum(n).over(inside), F.lit(0.0)) for n in scaled}
+        total = F.struct("_stretch", *[(prior[n] + F.coalesce(n, F.lit(0.0))).alias(n) for n in scaled])
+        history = rows.select(*keys, t, "_at", "_stretch", *[prior[n].alias(n) for n in scaled], F.when(last, total).alias("_total"))
+        before = Window.partitionBy(*keys).orderBy("_stretch").rangeBetween(Window.unboundedPreceding, -1)
+        history = history.withColumn("_carry", F.collect_list("_total").over(before)).drop("_total")
     else:
-        at = F.col(t).cast("double")
+        rows = per_time.select(*keys, t, "_at", "_stretch", *[c.alias(n) for n, c in scaled.items()])
+        history = prior_sums(rows, [*keys, "_stretch"], t, {n: F.col(n) for n in scaled}, block=block)
+        history = history.join(rows.select(*keys, t, "_at"), [*keys, t])
+        total = rows.groupBy(*keys, "_stretch").agg(*[F.coalesce(F.sum(n), F.lit(0.0)).alias(n) for n in scaled])
+        before = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+        carry = total.select(*keys, "_stretch", F.collect_list(F.struct("_stretch", *scaled)).over(before).alias("_carry"))
+        history = history.join(carry, [*keys, "_stretch"])
+    if anchor == "previous":
+        history = history.withColumn("_at", F.coalesce(F.lag("_at").over(over), F.col("_at")))
+    none = F.struct(F.lit(None).cast("long").alias("s"), F.lit(0.0).alias("n"), F.lit(0.0).alias("d"))
+
+    def merged(p: str, half: float) -> Column:
+        """What all earlier stretches leave of a part: (stretch it is scaled to, numerator, denominator)."""
+        fade = lambda acc, x: F.coalesce(F.pow(F.lit(2.0), (acc["s"] - x["_stretch"]) * width / half), F.lit(0.0))
+        add = lambda acc, x: F.when(
+            (x[f"{p}d"] != 0) | (x[f"{p}n"] != 0),
+            F.struct(x["_stretch"].alias("s"), (x[f"{p}n"] + acc["n"] * fade(acc, x)).alias("n"), (x[f"{p}d"] + acc["d"] * fade(acc, x)).alias("d")),
+        ).otherwise(acc)
+        return F.aggregate("_carry", none, add)
+
+    # An empty carry is the rule: a stretch is longer than most histories.
+    history = history.select(*[c for c in history.columns if c != "_carry"], *[F.when(F.size("_carry") > 0, merged(p, half)).alias(f"{p}c") for p, half in halves.items()])
     out = []
     for name in pairs:
-        parts = kernel_of(name).parts()
-        num = sum_of(share * F.col(f"{name}__n{i}") / growth(at, half, origin) for i, (share, half) in enumerate(parts))
-        den = sum_of(share * F.col(f"{name}__d{i}") / growth(at, half, origin) for i, (share, half) in enumerate(parts))
+        parts = []
+        for i, (share, half) in enumerate(kernel_of(name).parts()):
+            p = f"{name}__{i}"
+            gap = F.coalesce((F.col("_stretch") - F.col(f"{p}c.s")) * width / half, F.lit(0.0))
+            rest = lambda k: F.coalesce(F.col(f"{p}c.{k}"), F.lit(0.0))  # noqa: E731, B023
+            own = F.col(f"{p}d") != 0
+            value = {k: F.when(own, F.col(f"{p}{k}") + rest(k) * F.pow(F.lit(2.0), -gap)).otherwise(rest(k)) for k in "nd"}
+            age = (F.col("_at") - start) / half + F.when(own, 0.0).otherwise(gap)
+            parts.append((share, value["n"], value["d"], age))
+        youngest = F.least(*[a for _, _, _, a in parts]) if len(parts) > 1 else parts[0][3]
+        weight = lambda a: F.pow(F.lit(2.0), youngest - a) if len(parts) > 1 else F.lit(1.0)  # noqa: E731, B023
+        num, den = (sum_of(F.lit(share) * (n if k == "n" else d) * weight(a) for share, n, d, a in parts) for k in "nd")
         out.append(F.when(den > 0, num / den).alias(name))
-        out.append(F.coalesce(den, F.lit(0.0)).alias(f"{name}_n"))
+        out.append(sum_of(F.when(d != 0, F.lit(share) * d * F.pow(F.lit(2.0), -a)).otherwise(0.0) for share, _, d, a in parts).alias(f"{name}_n"))
     return history.select(*keys, t, *out)
 
 

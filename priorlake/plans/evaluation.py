@@ -12,7 +12,6 @@ from priorlake.plans import base
 from priorlake.plans.base import query, r, rs, view, with_views
 
 REPS = bs.REPLICATES
-CONTEST_REPS = 300  # where every contest is a block of its own, draws are contests times replicates
 MODELS = ["league_average", "baseline", "composite"]
 
 
@@ -520,15 +519,20 @@ def event_probability(spark, folder):
     )
 
 
+_COUNT = " + ".join(f"(h >= {edge})::INT" for edge in bs.POISSON)
+
+
 @query("j27_contest_bootstrap", with_views("evaluation", f"""
 WITH pr AS (SELECT c.model, c.game_id, c.home_err * c.home_err + c.away_err * c.away_err AS sc, b.home_err * b.home_err + b.away_err * b.away_err AS sr
             FROM evaluation c JOIN evaluation b ON b.game_id = c.game_id AND b.model = 'baseline' WHERE c.model = 'composite'),
-{boot_sql('x', 'pr', 'model', 'game_id', {'c': 'sc', 'r': 'sr', 'n': '2'}, CONTEST_REPS)}
-SELECT model, round(quantile_cont(sqrt(c / n) - sqrt(r / n), 0.025), 6) AS lo, round(quantile_cont(sqrt(c / n) - sqrt(r / n), 0.975), 6) AS hi FROM x_r GROUP BY model"""))
+d AS (SELECT model, sc, sr, g, k, CAST('0x' || substr(m, 8 * k + 1, 8) AS BIGINT) AS h
+      FROM (SELECT model, sc, sr, g, md5('42|' || g || '|' || game_id) AS m FROM pr CROSS JOIN (SELECT unnest(range(0, {REPS} // {bs.PER_HASH})) AS g)) CROSS JOIN (SELECT unnest(range(0, {bs.PER_HASH})) AS k)),
+x AS (SELECT model, g, k, sum(sc * ({_COUNT})) AS c, sum(sr * ({_COUNT})) AS r, sum(2.0 * ({_COUNT})) AS n FROM d GROUP BY ALL)
+SELECT model, round(quantile_cont(sqrt(c / n) - sqrt(r / n), 0.025), 6) AS lo, round(quantile_cont(sqrt(c / n) - sqrt(r / n), 0.975), 6) AS hi FROM x GROUP BY model"""))
 def contest_bootstrap(spark, folder):
     """The older row-level gate: every contest is its own block."""
     paired = bs.against(evaluation(spark, folder), "baseline", ["composite"])
-    return bs.paired_rmse_delta(paired, ["model"], "game_id", CONTEST_REPS).select("model", *rs("lo", "hi"))
+    return bs.paired_rmse_delta(paired, ["model"], "game_id", by_row=True).select("model", *rs("lo", "hi"))
 
 
 HALVES = [30.0, 60.0, 119.0, 240.0, 480.0]

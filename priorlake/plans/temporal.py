@@ -201,7 +201,7 @@ def effective_timelines(spark, folder):
         clock = temporal.effective_clock(df, ["o_custkey"], "t", scheme)
         timed = df.join(clock, ["o_custkey", "t"])
         part = temporal.prior_mean(
-            timed, ["o_custkey"], "t", {"mean": "o_totalprice"}, Exponential(HALFLIFE), clock="clock", origin=0.0
+            timed, ["o_custkey"], "t", {"mean": "o_totalprice"}, Exponential(HALFLIFE), clock="clock"
         ).select(F.lit(scheme).alias("scheme"), "o_orderkey", *rs("mean", digits=4))
         out = part if out is None else out.unionByName(part)
     return out

@@ -1,5 +1,6 @@
 """Closed forms: ridge with in-fold penalty, ratings, chain, blends, quantiles, bootstrap."""
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,8 +94,8 @@ def test_ratings_equal_a_dense_fit(spark):
             rows.append((int(a), int(b), int(rng.integers(2)), 9131 + 30 * d, 2000, d + 1, float(rng.normal()), float(rng.integers(1, 20))))
     games = spark.createDataFrame(rows, "team int, opponent int, is_home int, t int, season int, week int, y double, plays double")
     cuts = folds.cutoffs(games)
-    for volume in (None, F.col("plays")):
-        got = ratings.two_way_ratings(games, cuts, "y", volume=volume, min_rows=20).toPandas()
+    for volume, dense in ((None, 500), (F.col("plays"), 500), (F.col("plays"), 0)):
+        got = ratings.two_way_ratings(games, cuts, "y", volume=volume, min_rows=20, dense_teams=dense).toPandas()
         frame = games.toPandas()
         for week in (5, 12):
             cutoff = 9131 + 30 * (week - 1)
@@ -112,6 +113,30 @@ def test_ratings_equal_a_dense_fit(spark):
         assert got.week.min() == 4  # 16 rows before week 3, 24 before week 4
 
 
+def many_games(spark, k, n):
+    rng = np.random.default_rng(4)
+    team, shift = rng.integers(0, k, n), rng.integers(1, k, n)
+    frame = pd.DataFrame({"team": team, "opponent": (team + shift) % k, "is_home": rng.integers(0, 2, n), "t": 9131 + 30 * rng.integers(0, 3, n), "y": rng.normal(size=n)})
+    frame["season"], frame["week"] = 2000, (frame.t - 9131) // 30 + 1
+    return spark.createDataFrame(frame, "team int, opponent int, is_home int, t int, y double, season int, week int")
+
+
+def test_conjugate_gradients_equal_a_direct_solve(spark):
+    games = many_games(spark, 600, 2400)
+    cuts = folds.cutoffs(games)
+    direct, rounds = (
+        ratings.two_way_ratings(games, cuts, "y", alphas=(2.0, 20.0), dense_teams=d).toPandas().sort_values(["week", "alpha", "team"]) for d in (1000, 0)
+    )
+    assert len(direct) == len(rounds) == 2 * 2 * games.select("team").distinct().count()
+    np.testing.assert_allclose(direct[["off", "def"]], rounds[["off", "def"]], atol=1e-9)
+
+
+def test_ratings_of_five_thousand_teams(spark):
+    games = many_games(spark, 5000, 20_000)
+    got = ratings.two_way_ratings(games, folds.cutoffs(games).filter("week = 3"), "y").toPandas()
+    assert len(got) == games.select("team").distinct().count() > ratings.DENSE_TEAMS and np.isfinite(got["off"]).all() and got["off"].std() > 0.1
+
+
 def test_chain_matches_step_by_step():
     rng = np.random.default_rng(0)
     norm = lambda m: m / m.sum(axis=-1, keepdims=True)
@@ -163,6 +188,17 @@ def test_exact_quantiles_under_skew(spark, buckets):
     assert len(got) == 10
 
 
+def test_an_outlier_does_not_gather_the_rest(spark):
+    """With one value of 1e12 no range that is sorted holds more than 1 % of the values."""
+    df = spark.range(100_000).select(F.when(F.col("id") == 7, 1e12).otherwise(F.rand(3)).alias("v")).persist()
+    values = np.sort([r["v"] for r in df.collect()])
+    probs = [0.0, 0.1, 0.5, 0.9, 1.0]
+    got = {r["prob"]: r["q"] for r in quantiles.exact_quantiles(df, [], "v", probs).collect()}
+    assert all(got[p] == pytest.approx(np.quantile(values, p), rel=1e-12) for p in probs)
+    cuts = df.select(F.percentile_approx("v", F.array(*[F.lit(i / quantiles.BUCKETS) for i in range(1, quantiles.BUCKETS)]), 100 * quantiles.BUCKETS)).first()[0]
+    assert np.histogram(values, [-1, *cuts, 2e12])[0].max() < 0.01 * len(values)
+
+
 def test_bins_collapse_repeated_edges(spark):
     df = spark.createDataFrame([(float(v),) for v in (1, 1, 1, 2, 3)], "v double")
     edges = F.array(*map(F.lit, (1.0, 1.0, 2.0, 3.0)))

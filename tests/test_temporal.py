@@ -43,7 +43,7 @@ def test_first_row_is_unknown(spark):
 
 def test_simultaneous_rows_do_not_see_each_other(spark):
     df = spark.createDataFrame([(1, 1, 10.0, 10.0), (1, 2, 500.0, 10.0), (1, 2, 500.0, 10.0)], "team int, t int, n double, d double")
-    out = prior_rate(df, ["team"], "t", {"r": (F.col("n"), F.col("d"))}, Exponential(7.0), origin=0.0).orderBy("t").collect()
+    out = prior_rate(df, ["team"], "t", {"r": (F.col("n"), F.col("d"))}, Exponential(7.0)).orderBy("t").collect()
     assert [x["r"] for x in out] == [None, pytest.approx(1.0), pytest.approx(1.0)]
     assert out[0]["r_n"] == 0.0
 
@@ -74,7 +74,7 @@ def test_two_timescale_current_and_previous_anchor(spark):
     kernel = TwoTimescale(10.0, 100.0, 0.7)
     df = spark.createDataFrame([(1, int(a), float(b)) for a, b in zip(t, x)], "team int, t int, x double")
     for anchor in ("current", "previous"):
-        got = prior_mean(df, ["team"], "t", {"m": "x"}, kernel, anchor=anchor, origin=0.0).orderBy("t").toPandas()["m"].astype(float)
+        got = prior_mean(df, ["team"], "t", {"m": "x"}, kernel, anchor=anchor).orderBy("t").toPandas()["m"].astype(float)
         for i in range(1, 12):
             at = t[i] if anchor == "current" else t[i - 1]
             w = 0.7 * 0.5 ** ((at - t[:i]) / 10) + 0.3 * 0.5 ** ((at - t[:i]) / 100)
@@ -86,9 +86,9 @@ def test_blocks_and_shuffles_change_nothing(spark):
     rows = [(0 if i % 3 else i % 7, int(i * 37 % 500), float(i % 11)) for i in range(3000)]
     df = spark.createDataFrame(rows, "team int, t int, x double")
     pairs = {"m": (F.col("x"), F.lit(1.0))}
-    plain = decayed_prior(df, ["team"], "t", pairs, Exponential(90.0), origin=0.0).toPandas().sort_values(["team", "t"])
+    plain = decayed_prior(df, ["team"], "t", pairs, Exponential(90.0)).toPandas().sort_values(["team", "t"])
     for block, parts in ((by_width(10), 1), (by_width(77), 13)):
-        again = decayed_prior(df.repartition(parts), ["team"], "t", pairs, Exponential(90.0), origin=0.0, block=block)
+        again = decayed_prior(df.repartition(parts), ["team"], "t", pairs, Exponential(90.0), block=block)
         again = again.toPandas().sort_values(["team", "t"])
         np.testing.assert_allclose(again["m"].astype(float), plain["m"].astype(float), rtol=1e-9)
 
@@ -101,7 +101,7 @@ def test_shrink_without_evidence_is_the_prior(spark):
 
 def test_pooled_prior_covers_all_entities(spark):
     df = spark.createDataFrame([(1, 1, 10.0, 10.0), (2, 1, 30.0, 10.0), (3, 2, 0.0, 1.0)], "team int, t int, n double, d double")
-    out = shrunk_prior_rate(df, "team", "t", {"r": (F.col("n"), F.col("d"))}, {"r": 5.0}, Exponential(10.0), origin=0.0)
+    out = shrunk_prior_rate(df, "team", "t", {"r": (F.col("n"), F.col("d"))}, {"r": 5.0}, Exponential(10.0))
     assert out.filter("team = 3").first()["r_shrunk"] == pytest.approx(2.0)
 
 
@@ -124,7 +124,31 @@ def test_kernel_rules():
     assert plan.kernel("a").halflife == 5.0 and plan.kernel("b").halflife == 10.0
 
 
-def test_span_beyond_doubles_is_refused(spark):
-    df = spark.createDataFrame([(1, 0, 1.0), (1, 2000, 1.0)], "team int, t int, x double")
-    with pytest.raises(Exception, match="900 half-lives"):
-        prior_mean(df, ["team"], "t", {"m": "x"}, Exponential(1.0), origin=0.0).collect()
+@pytest.mark.parametrize("anchor, width", [("current", None), ("previous", None), ("current", 400), ("previous", 5000)])
+@pytest.mark.parametrize("kernel", [Exponential(7.0), TwoTimescale(7.0, 60.0, 0.7)])
+def test_a_century_of_seven_day_half_lives(spark, anchor, width, kernel):
+    """Means and effective counts against exact sums scaled to the newest earlier row, far beyond what one origin could hold."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for team in range(3):
+        days = np.unique(np.concatenate([rng.integers(0, 36_500, 60), [100, 101, 103], 20_000 + rng.integers(0, 40, 20), [-9_000]]))
+        rows += [(team, int(d), None if rng.random() < 0.2 else float(rng.normal()), float(rng.integers(0, 3))) for d in days]
+    df = spark.createDataFrame(rows, "team int, t int, x double, n double")
+    pairs = {"m": (F.col("x"), F.when(F.col("x").isNotNull(), F.lit(1.0))), "r": (F.col("x") * F.col("n"), F.when(F.col("x").isNotNull(), F.col("n")))}
+    block = by_width(width) if width else None
+    got = decayed_prior(df, ["team"], "t", pairs, kernel, anchor=anchor, block=block).toPandas().set_index(["team", "t"])
+    for team in range(3):
+        mine = sorted(r for r in rows if r[0] == team)
+        for k, (_, t, _, _) in enumerate(mine):
+            at = mine[k - 1][1] if anchor == "previous" and k else t
+            for name, share in (("m", lambda n: 1.0), ("r", lambda n: n)):
+                fed = [(d, x, share(n)) for _, d, x, n in mine[:k] if x is not None and share(n) > 0]
+                row = got.loc[(team, t)]
+                if not fed:
+                    assert np.isnan(row[name]) and row[f"{name}_n"] == 0
+                    continue
+                log = lambda d: [np.log2(s) - (at - d) / h for s, h in kernel.parts()]  # noqa: B023, E731
+                top = max(max(log(d)) for d, _, _ in fed)
+                w = np.array([v * sum(2.0 ** (e - top) for e in log(d)) for d, _, v in fed])
+                assert row[name] == pytest.approx((w * [x for _, x, _ in fed]).sum() / w.sum(), rel=1e-9, abs=1e-12)
+                assert row[f"{name}_n"] == pytest.approx(w.sum() * 2.0**top if top > -1000 else 0.0, rel=1e-9, abs=1e-300)
