@@ -2,7 +2,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -52,20 +51,29 @@ def tail_blend(wide: DataFrame, folds: DataFrame, first: str, second: str) -> Da
 
 
 def nonnegative_least_squares(gram: np.ndarray, xy: np.ndarray) -> np.ndarray:
-    """Exact solution for a few members: the best of all feasible active sets."""
+    """The non-negative minimiser of b'Gb - 2 b'xy: members enter where the slope asks for them and leave where they would turn negative."""
     k = len(xy)
-    best, best_value = np.zeros(k), 0.0
-    for size in range(1, k + 1):
-        for active in combinations(range(k), size):
-            idx = list(active)
-            beta = np.linalg.lstsq(gram[np.ix_(idx, idx)], xy[idx], rcond=1e-12)[0]
-            if (beta < 0).any():
-                continue
-            value = float(beta @ gram[np.ix_(idx, idx)] @ beta - 2 * beta @ xy[idx])
-            if value < best_value - 1e-9:
-                best_value, best = value, np.zeros(k)
-                best[idx] = beta
-    return best
+    free, beta = np.zeros(k, bool), np.zeros(k)
+    small = 1e-10 * max(1e-300, np.abs(xy).max(initial=0.0))
+    for _ in range(10 * k + 10):
+        slope = xy - gram @ beta
+        wanted = np.flatnonzero(~free & (slope > small))
+        if not len(wanted):
+            break
+        free[wanted[np.argmax(slope[wanted])]] = True
+        while free.any():
+            idx = np.flatnonzero(free)
+            full = np.zeros(k)
+            full[idx] = np.linalg.lstsq(gram[np.ix_(idx, idx)], xy[idx], rcond=1e-12)[0]
+            low = idx[full[idx] <= 0]
+            if not len(low):
+                beta = full
+                break
+            share = beta[low] / np.maximum(beta[low] - full[low], 1e-300)
+            beta = beta + share.min() * (full - beta)
+            free[low[share <= share.min()]] = False
+            beta[~free] = 0.0
+    return beta
 
 
 def fold_weights(wide: DataFrame, folds: DataFrame, members: list[str]) -> DataFrame:

@@ -13,6 +13,7 @@ from priorlake.plans.base import HALFLIFE, MEASURES, query, r, rs, with_views
 from priorlake.plans.evaluation import REPS
 from priorlake.plans.facts import filter_predicates, starts
 from priorlake.plans.temporal import SPLITS, split_features
+from priorlake.sources.stages import written
 from priorlake.sources.views import plays
 
 FEATURES = [f"{s}_pregame_{m}" for s in ("home", "away") for m in MEASURES] + ["is_neutral_site", "is_playoff"]
@@ -119,6 +120,12 @@ def model_registry(spark, folder):
     found = registry.Registry()
     for name, arm in fitted.items():
         found.add(registry.Model(name, "model_table", lambda t, n=name, a=arm: ridge(spark, folder, {n: a}, table=t, weights={})))
+    found.add(registry.Model("ridge", "model_table", lambda t: ridge(spark, folder, {"ridge": Arm(FEATURES)}, table=t)))
+    found.add(registry.Model("poisson", "model_table", lambda t: glm_forecasts(spark, folder, {"poisson": Arm(FEATURES)}, table=t)))
+    found.add(registry.Model("win_classifier", "model_table", lambda t: glm_forecasts(spark, folder, {"win_classifier": Arm(FEATURES)}, table=t, family=glm.Logistic)))
+    found.add(registry.Model("random_forest", "model_table", lambda t: tree_forecasts(spark, folder, trees.FOREST, table=t), live=False))
+    found.add(registry.Model("boosted_trees", "model_table", lambda t: tree_forecasts(spark, folder, trees.BOOSTED, table=t), live=False))
+    found.add(registry.Model("segments", "segment_table", lambda t: chain.outcome_model(t, KEEP)))
     found.add(registry.Model("baseline", "model_table", lambda t: rules.rule_predictions(t, rules.rule_parameters(t, base.folds(spark, folder))).filter("model = 'baseline'")))
     return found
 
@@ -240,12 +247,12 @@ def segment_table(spark, folder):
     packed = lambda p: F.when(F.col(f"{p}_{names[0]}_rate").isNotNull(), F.array(*[F.col(f"{p}_{n}_rate") for n in names]))
     sided = pre.select("team", "t", packed("off").alias("off"), packed("def").alias("def"), F.col("off_n").alias("n_drives"), F.col("def_n").alias("n_faced"))
     contests = base.model_table(spark, folder).select(*KEEP, "is_neutral_site", "went_to_ot")
-    return base.keep(spark, folder, "segment_table", lambda: assemble.attach_sided(contests, sided, ["t"], ["off", "def", "n_drives", "n_faced"]))
+    return base.keep(spark, folder, "segment_table", lambda: written(assemble.attach_sided(contests, sided, ["t"], ["off", "def", "n_drives", "n_faced"]), "segment_table"))
 
 
 def outcome_forecasts(spark, folder):
     """Forecasts of the outcome model, kept for the queries that compare with them."""
-    return base.keep(spark, folder, "outcome_forecasts", lambda: chain.outcome_model(segment_table(spark, folder), KEEP))
+    return base.keep(spark, folder, "outcome_forecasts", lambda: written(chain.outcome_model(segment_table(spark, folder), KEEP), "outcome_forecasts"))
 
 
 @query("i15_outcome_model")
@@ -288,10 +295,33 @@ def members(spark, folder):
     return blends.member_table(base.predictions(spark, folder), MEMBERS)
 
 
+FITTED = ["league_average", "baseline", "ridge", "poisson", "segments"]
+
+
+def member_forecasts(spark, folder):
+    """Out-of-fold forecasts of rule-based and fitted members, kept as one table: what outer folds learn from was never fitted on its own rows."""
+    def build():
+        rows = ["model", *KEEP, "home_pred", "away_pred"]
+        out = base.predictions(spark, folder).filter(F.col("model").isin(*MEMBERS)).select(*rows)
+        out = out.unionByName(ridge(spark, folder, {"ridge": Arm(FEATURES)}).select(*rows))
+        out = out.unionByName(glm_forecasts(spark, folder, {"poisson": Arm(FEATURES)}).select(*rows))
+        return written(out.unionByName(outcome_forecasts(spark, folder).withColumn("model", F.lit("segments")).select(*rows)), "member_forecasts")
+
+    return base.keep(spark, folder, "member_forecasts", build)
+
+
+@query("i18_fitted_composite")
+def fitted_composite(spark, folder):
+    """Equal-weight mean of all members over the contests that every one of them forecast."""
+    out = assemble.combine_members(member_forecasts(spark, folder), FITTED)
+    return shown(out)
+
+
 @query("i19_stack")
 def stack(spark, folder):
-    arm = {"stack": Arm({s: [f"{m}_{s}" for m in MEMBERS] for s in gram.SIDES}, weight="", drift=0)}
-    wide = members(spark, folder)
+    """Ridge over the members' own out-of-fold forecasts, refit every week on earlier weeks."""
+    arm = {"stack": Arm({s: [f"{m}_{s}" for m in FITTED] for s in gram.SIDES}, weight="", drift=0)}
+    wide = blends.member_table(member_forecasts(spark, folder), FITTED)
     keep = ["game_id", "season", "week"]
     return shown(gram.walk_forward_ridge(wide, folds.fold_table(wide, burn_in=1), arm, keep))
 
@@ -320,14 +350,47 @@ def member_weights(spark, folder):
     return weighted_schemes(spark, folder).filter("model <> 'nnls'").select(F.col("model").alias("scheme"), "game_id", *rs("home_pred"))
 
 
-def weighted_schemes(spark, folder):
-    wide = members(spark, folder)
-    return blends.weighted_members(wide, blends.fold_weights(wide, base.folds(spark, folder), MEMBERS), MEMBERS)
+def weighted_schemes(spark, folder, names=None):
+    names = names or MEMBERS
+    wide = members(spark, folder) if names == MEMBERS else blends.member_table(member_forecasts(spark, folder), names)
+    return blends.weighted_members(wide, blends.fold_weights(wide, base.folds(spark, folder), names), names)
 
 
 @query("i21_composite_alternatives")
 def composite_alternatives(spark, folder):
-    return arm_table(weighted_schemes(spark, folder), "equal")
+    """Equal, inverse-error, non-negative and best-single weights over all members, learnt week by week."""
+    return arm_table(weighted_schemes(spark, folder, FITTED), "equal")
+
+
+@query("k8_live_fit")
+def live_fit(spark, folder):
+    """Forecasts of contests without a result, from parameters fitted on all that is known and kept beside the inputs' stamp."""
+    return live_forecasts(spark, folder).select("model", "game_id", *rs("home_pred", "away_pred", digits=4))
+
+
+def upcoming(spark, folder):
+    """The model table with the newest week's results taken away, and that week's fold."""
+    table = base.model_table(spark, folder)
+    newest = base.folds(spark, folder).agg(F.max("cutoff")).scalar()
+    open_ = table.withColumns({f"{s}_score": F.when(F.col("t") < newest, F.col(f"{s}_score")) for s in ("home", "away")})
+    return open_, base.folds(spark, folder).filter(F.col("cutoff") == newest)
+
+
+def live_forecasts(spark, folder):
+    table, fold = upcoming(spark, folder)
+    stored = lambda name, build: base.keep(spark, folder, f"live_parameters:{name}", build)
+    arms = {"ridge": Arm(FEATURES)}
+    by_ridge = stored("ridge", lambda: gram.ridge_parameters(table, fold, arms, overtime_weights()))
+    by_poisson = stored("poisson", lambda: glm.glm_parameters(table, fold, {"poisson": Arm(FEATURES)}, overtime_weights()))
+    by_rules = stored("rules", lambda: rules.rule_parameters(table, fold))
+    due = table.filter("home_score IS NULL")
+    keep = ["game_id", "season", "week"]
+    names = gram.used_features(arms)
+    out = gram.ridge_predictions(due, by_ridge, names, keep).unionByName(glm.glm_predictions(due, by_poisson, names, keep))
+    rows = ["model", *keep, "home_pred", "away_pred"]
+    out = out.select(*rows).unionByName(rules.rule_predictions(due, by_rules).filter("model = 'baseline'").select(*rows))
+    mean = out.groupBy(*keep).agg(*[F.avg(f"{s}_pred").alias(f"{s}_pred") for s in ("home", "away")]).withColumn("model", F.lit("composite"))
+    return out.unionByName(mean.select(*rows))
 
 
 # ------------------------------------------------------------------ arm comparisons
@@ -377,14 +440,23 @@ MATCHUPS = [
 CONTINUITY = ["roster_carryover", "lineup_stability", "snap_weighted_tenure"]
 
 
-@query("j31_relational_arms")
-def relational_arms(spark, folder):
+def relational_setup(spark, folder):
     table = assemble.interactions(base.model_table(spark, folder), MATCHUPS)
     table = assemble.attach_sided(table, unit_ratings(spark, folder), ["season", "week"], ADJUSTED)
     table = assemble.attach_sided(table, roster.continuity(base.lineups(spark, folder)), ["season", "t"], CONTINUITY)
     match, adjusted, kept = [m[0] for m in MATCHUPS], sided(ADJUSTED), sided(CONTINUITY)
     arms = {"control": [], "matchup": match, "adjusted": adjusted, "continuity": kept, "all": match + adjusted + kept}
-    return compare(spark, folder, table, {n: Arm(FEATURES + x) for n, x in arms.items()})
+    return table, {n: Arm(FEATURES + x) for n, x in arms.items()}
+
+
+@query("j31_relational_arms")
+def relational_arms(spark, folder):
+    return compare(spark, folder, *relational_setup(spark, folder))
+
+
+@query("j31_relational_poisson")
+def relational_poisson(spark, folder):
+    return compare_poisson(spark, folder, *relational_setup(spark, folder))
 
 
 def rated_table(spark, folder):
@@ -406,6 +478,37 @@ def ratings_poisson(spark, folder):
     return compare_poisson(spark, folder, rated_table(spark, folder), arms)
 
 
+SWEEP_WEEKS = (4, 8, 12, 17, 26, 39, 52)
+
+
+@query("j28_halflife_refit")
+def halflife_refit(spark, folder):
+    """Rule, ridge and Poisson forecasts refit on features decayed with each half-life, against the production half-life of the same model."""
+    df = base.facts(spark, folder)
+    pairs = {f"pregame_{m}__{w}": (F.col(m).cast("double"), F.when(F.col(m).isNotNull(), F.lit(1.0))) for m in MEASURES for w in SWEEP_WEEKS}
+    kernels = {name: temporal.Exponential(7.0 * int(name.rsplit("__", 1)[1])) for name in pairs}
+    swept = base.keep(spark, folder, "halflife_sweep", lambda: temporal.decayed_prior(df, ["team"], "t", pairs, kernels, mask=~base.finale()))
+    names = [f"pregame_{m}" for m in MEASURES]
+    bare = base.model_table(spark, folder).drop(*sided(names))
+    forecasts = {"baseline": None, "ridge": None, "poisson": None}
+    for weeks in SWEEP_WEEKS:
+        mine = swept.select("team", "t", *[F.col(f"{n}__{weeks}").alias(n) for n in names])
+        table = base.keep(spark, folder, f"halflife_sweep:{weeks}", lambda mine=mine: written(assemble.attach_sided(bare, mine, ["t"], names), "halflife_table"))
+        arm = {f"w{weeks}": Arm(FEATURES)}
+        parts = {
+            "baseline": rules.rule_predictions(table, rules.rule_parameters(table, base.folds(spark, folder))).filter("model = 'baseline'").withColumn("model", F.lit(f"w{weeks}")),
+            "ridge": ridge(spark, folder, arm, table), "poisson": glm_forecasts(spark, folder, arm, table),
+        }
+        for family, part in parts.items():
+            part = part.select("model", *KEEP, "home_pred", "away_pred")
+            forecasts[family] = part if forecasts[family] is None else forecasts[family].unionByName(part)
+    out = None
+    for family, rows in forecasts.items():
+        compared = arm_table(rows, f"w{int(HALFLIFE / 7)}").select(F.lit(family).alias("family"), "*")
+        out = compared if out is None else out.unionByName(compared)
+    return out
+
+
 TYPE_SPLIT = ["off_pass_epa_per_play", "off_rush_epa_per_play", "def_pass_epa_per_play_allowed", "def_rush_epa_per_play_allowed"]
 ACCURACY = ["off_cpoe", "def_cpoe_allowed"]
 

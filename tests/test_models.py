@@ -176,6 +176,48 @@ def test_nonnegative_weights():
     np.testing.assert_allclose(w[:2], two, rtol=1e-8)
 
 
+def test_nonnegative_weights_of_many_members():
+    """No feasible active set does better; at the solution no left-out member would lower the error."""
+    from itertools import combinations
+
+    rng = np.random.default_rng(6)
+    for trial in range(30):
+        k = int(rng.integers(1, 7))
+        x = rng.normal(size=(40, k)) + rng.normal(size=(40, 1))
+        y = x @ rng.normal(size=k) + rng.normal(size=40)
+        gram_, xy = x.T @ x, x.T @ y
+        w = blends.nonnegative_least_squares(gram_, xy)
+        value = lambda b: b @ gram_ @ b - 2 * b @ xy  # noqa: B023, E731
+        best = 0.0
+        for size in range(1, k + 1):
+            for idx in map(list, combinations(range(k), size)):
+                b = np.zeros(k)
+                b[idx] = np.linalg.solve(gram_[np.ix_(idx, idx)], xy[idx])
+                best = min(best, value(b)) if (b >= 0).all() else best
+        assert (w >= 0).all() and value(w) == pytest.approx(best, abs=1e-8)
+    x = rng.normal(size=(500, 40))
+    w = blends.nonnegative_least_squares(x.T @ x, x.T @ (x[:, :3] @ [1.0, 2.0, 3.0]))
+    np.testing.assert_allclose(w[:3], [1, 2, 3], atol=1e-8)
+    assert np.abs(w[3:]).max() < 1e-8
+
+
+def test_row_bootstrap_is_repeatable_paired_and_centred(spark):
+    rng = np.random.default_rng(7)
+    rows = [(m, f"g{i}", float(e)) for i in range(400) for m, e in (("a", rng.normal(1.0, 1.0)), ("b", 0.0))]
+    rows = [(m, g, e if m == "a" else next(x for y, h, x in rows if y == "a" and h == g) + 1) for m, g, e in rows]
+    df = spark.createDataFrame(rows, "model string, game_id string, e double")
+    sums = {"s": F.col("e"), "n": F.lit(1)}
+    one, two = (bootstrap.row_resample(f, ["model"], "game_id", sums, 402).orderBy("model", "rep").toPandas() for f in (df, df.repartition(7)))
+    assert len(one) == 2 * 403 and np.allclose(one["s"], two["s"])
+    a, b = (one[(one.model == m) & (one.rep >= 0)] for m in "ab")
+    assert (a["n"].to_numpy() == b["n"].to_numpy()).all() and np.allclose(b["s"].to_numpy() - a["s"].to_numpy(), a["n"])
+    values = np.array([e for m, _, e in rows if m == "a"])
+    ratio = (a["s"] / a["n"]).to_numpy()
+    assert one[(one.model == "a") & (one.rep == -1)]["s"].item() == pytest.approx(values.sum())
+    assert ratio.mean() == pytest.approx(values.mean(), abs=0.02) and ratio.std() == pytest.approx(values.std() / 20, rel=0.2)
+    assert abs(a["n"].mean() - 400) < 3 and abs(a["n"].var() - 400) < 120
+
+
 @pytest.mark.parametrize("buckets", [1, 16, 1024])
 def test_exact_quantiles_under_skew(spark, buckets):
     rng = np.random.default_rng(5)
