@@ -38,9 +38,9 @@ LENGTHS = 64  # lengths from here on share a filter
 WORD_BITS, BLOCK_WORDS = 16, 8
 FILTER_BYTES = 32 << 20
 EDIT_LETTERS = 1 << 17  # letters whose edits are hashed at once
-# Odd numbers from the bits of the golden ratio: the base of the hash and one multiplier for each word of a block.
-BASE = np.uint64(0x9E3779B97F4A7C15)
-SALTS = [np.uint32((0x9E3779B9 * (2 * k + 1)) & 0xFFFFFFFF | 1) for k in range(BLOCK_WORDS)]
+BASE = np.uint64(0x9E3779B97F4A7C15)  # odd: the base of the words' hash
+# The published multipliers of split-block Bloom filters (Parquet format), one for each number of a block.
+SALTS = [np.uint32(s) for s in (0x47B6137B, 0x44974D91, 0x8824AD5B, 0xA2B7289D, 0x705495C7, 0x2DF1424B, 0x9EFC4947, 0x5C6BFB31)]
 
 
 def lengths_of(letters: np.ndarray) -> np.ndarray:
