@@ -15,6 +15,7 @@ HEADLINES = [
     "flagship", "e1_prior_mean", "e3_prior_rate", "e6_split_features", "e14_expanding_share", "c4_asof_join",
     "e17_prior_sequence", "e22_lineup_stability", "d10_outcome_rates", "d27_distribution_summary", "j6_block_bootstrap",
     "j28_halflife_sweep", "i6_ridge", "i12_two_way_ratings", "k15_live_summary",
+    "i7_poisson", "i9_random_forest", "i10_boosted_trees", "i15_outcome_model",
 ]
 
 

@@ -16,7 +16,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
     k = keys
-    cuts = F.percentile_approx("_v", F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), 100 * buckets) if buckets > 1 else F.array().cast("array<double>")
+    cuts = F.percentile_approx("_v", F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), 10 * buckets) if buckets > 1 else F.array().cast("array<double>")
     limits = counts.groupBy(*k).agg(F.array_distinct(cuts).alias("_cuts"), F.sum("_n").alias("_total"))
     if keys:
         limited = counts.join(limits, k)
