@@ -481,18 +481,15 @@ def ratings_poisson(spark, folder):
 SWEEP_WEEKS = (4, 8, 12, 17, 26, 39, 52)
 
 
-@query("j28_halflife_refit")
 def halflife_refit(spark, folder):
     """Rule, ridge and Poisson forecasts refit on features decayed with each half-life, against the production half-life of the same model."""
     df = base.facts(spark, folder)
-    pairs = {f"pregame_{m}__{w}": (F.col(m).cast("double"), F.when(F.col(m).isNotNull(), F.lit(1.0))) for m in MEASURES for w in SWEEP_WEEKS}
-    kernels = {name: temporal.Exponential(7.0 * int(name.rsplit("__", 1)[1])) for name in pairs}
-    swept = base.keep(spark, folder, "halflife_sweep", lambda: temporal.decayed_prior(df, ["team"], "t", pairs, kernels, mask=~base.finale()))
+    pairs = {f"pregame_{m}": (F.col(m).cast("double"), F.when(F.col(m).isNotNull(), F.lit(1.0))) for m in MEASURES}
     names = [f"pregame_{m}" for m in MEASURES]
     bare = base.model_table(spark, folder).drop(*sided(names))
     forecasts = {"baseline": None, "ridge": None, "poisson": None}
     for weeks in SWEEP_WEEKS:
-        mine = swept.select("team", "t", *[F.col(f"{n}__{weeks}").alias(n) for n in names])
+        mine = temporal.decayed_prior(df, ["team"], "t", pairs, temporal.Exponential(7.0 * weeks), mask=~base.finale()).select("team", "t", *names)
         table = base.keep(spark, folder, f"halflife_sweep:{weeks}", lambda mine=mine: written(assemble.attach_sided(bare, mine, ["t"], names), "halflife_table"))
         arm = {f"w{weeks}": Arm(FEATURES)}
         parts = {
@@ -500,7 +497,7 @@ def halflife_refit(spark, folder):
             "ridge": ridge(spark, folder, arm, table), "poisson": glm_forecasts(spark, folder, arm, table),
         }
         for family, part in parts.items():
-            part = part.select("model", *KEEP, "home_pred", "away_pred")
+            part = written(part.select("model", *KEEP, "home_pred", "away_pred"), "halflife_forecasts")
             forecasts[family] = part if forecasts[family] is None else forecasts[family].unionByName(part)
     out = None
     for family, rows in forecasts.items():
