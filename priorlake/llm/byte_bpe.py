@@ -3,7 +3,8 @@
 Texts are cut by the pattern; each distinct word becomes rows (word, position, token). A recursive query joins
 neighbouring rows with the merge table and contracts every word's leftmost pair of minimum rank until no pair is left.
 Ids are decoded by joining the vocabulary and aggregating bytes in position order. Work is per partition, nothing is
-shuffled; words met before in a worker are remembered up to a bound.
+shuffled; words met before in a worker are remembered up to a bound. A text's ids and bytes are those of its words in
+order, gathered by Arrow for whole slices of texts.
 
 Defined cases: a null or empty text has no ids and decodes to no bytes; null and repeated ids of documents are kept row by
 row; an empty table gives no rows. Very long words contract all disjoint occurrences of a pair at once where no later
@@ -17,30 +18,32 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from priorlake.llm.pieces import pieces
 from priorlake.llm.shared import Recent, remembered, small_batches
 
-REMEMBERED = 100_000
+REMEMBERED, SLICE_CHARS = 100_000, 4_000_000
+MOST_IDS = 1 << 27
 WORDS_AT_ONCE, LONG_WORD, ROUNDS = 20_000, 256, 24
 
 # Every round: the minimum of (rank, position, next position, length) per word is its leftmost pair of minimum rank.
-# 12 bits hold a position or length in a short word, 17 a token.
+# 12 bits hold a position or length in a short word, 27 a token. A word without a pair is done and leaves.
 SHORT_SQL = """
-with recursive step(i, w, p, t, l) as (
-    select 0::int, w, p, t, l from start
+with recursive step(done, w, p, t, l) as (
+    select false, w, p, t, l from start
     union all (
         with best as (
             select s.w, min((m.m::bigint << 36) | (s.p::bigint << 24) | (n.p::bigint << 12) | (s.l + n.l)) as b
-            from step s join step n on n.w * 4096 + n.p = s.w * 4096 + s.p + s.l join merges m on m.ab = (s.t::bigint << 17) | n.t
+            from step s join step n on n.w = s.w and n.p = s.p + s.l join merges m on m.ab = (s.t::bigint << 27) | n.t
+            where not s.done and not n.done
             group by 1)
-        select s.i + 1, s.w, s.p, case when s.p = ((b >> 24) & 4095) then (b >> 36)::int else s.t end,
+        select b is null, s.w, s.p, case when s.p = ((b >> 24) & 4095) then (b >> 36)::int else s.t end,
                case when s.p = ((b >> 24) & 4095) then (b & 4095)::int else s.l end
-        from step s join best using (w)
-        where s.p <> ((b >> 12) & 4095)))
-select s.w, s.p, s.t from step s join (select w, max(i) as i from step group by w) f on s.w = f.w and s.i = f.i order by 1, 2
+        from step s left join best using (w)
+        where not s.done and s.p is distinct from ((b >> 12) & 4095)))
+select w, p, t from step where done order by 1, 2
 """
 # As above; where it is safe, all disjoint occurrences of the minimum pair at once, at most ROUNDS rounds.
 LONG_SQL = """
@@ -66,7 +69,7 @@ with recursive step(i, w, p, t, l) as (
         where g.w is null))
 select w, p, t, l, i from step qualify i = max(i) over (partition by w) order by w, p
 """
-DECODE_SQL = "select w, string_agg(h, '' order by p) as h from ids join vocabulary using (t) group by w order by w"
+DECODE_SQL = "select w, unhex(string_agg(h, '' order by p)) as b from ids join vocabulary using (t) group by w order by w"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -83,6 +86,8 @@ class ByteBPE:
         self.words_of = regex.compile(pattern).findall
         ranks = read_ranks(ranks_path)
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        if max(ranks.values()) >= MOST_IDS:
+            raise ValueError(f"token ids must be below {MOST_IDS}")
         merges = [
             (ranks[t[:k]], ranks[t[k:]], m) for t, m in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks
         ]
@@ -92,11 +97,10 @@ class ByteBPE:
         early[a[m < a]] = True
         early[b[m < b]] = True
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
-        self._load("merges", a=a, b=b, ab=(a.astype(np.int64) << 17) | b, m=m, plain=~early[m])
+        self._load("merges", a=a, b=b, ab=(a.astype(np.int64) << 27) | b, m=m, plain=~early[m])
         tokens = sorted(ranks, key=ranks.__getitem__)
         self._load("vocabulary", t=np.array([ranks[t] for t in tokens], np.int32), l=np.array([len(t) for t in tokens], np.int32), h=[t.hex() for t in tokens])
-        self.words: Recent = Recent(REMEMBERED // 2)
-        self.parts: Recent = Recent(REMEMBERED)
+        self.words: Recent = Recent(REMEMBERED)
 
     def _load(self, name: str, **columns) -> None:
         self.db.register("incoming", pa.table(columns))
@@ -151,36 +155,40 @@ class ByteBPE:
             place = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
             ids = np.frombuffer(b"".join(encoded[at:upto]), "<u4").astype(np.int32)
             rows = self._ask(DECODE_SQL, "ids", pa.table({"w": np.repeat(np.arange(len(n), dtype=np.int32), n), "p": place, "t": ids}))
-            for w, h in zip(rows["w"].to_pylist(), rows["h"].to_pylist(), strict=True):
-                out[at + w] = bytes.fromhex(h)
+            for w, b in zip(rows["w"].to_pylist(), rows["b"].to_pylist(), strict=True):
+                out[at + w] = b
             at = upto
         return out
 
-    def _learn(self, parts: list[str]) -> dict[str, tuple[bytes, bytes]]:
-        """Ids and decoded bytes of text parts."""
-        split = {p: self.words_of(p) for p in parts}
-        fresh = self.words.missing({w for words in split.values() for w in words})
-        known = self.words.learn(zip(fresh, self.encode_words([w.encode() for w in fresh]), strict=True))
-        ids = [b"".join(map(known.__getitem__, words)) for words in split.values()]
-        return dict(zip(split, zip(ids, self.decode(ids), strict=True), strict=True))
-
-    def round_trip(self, texts: list[str]) -> tuple[list[bytes], list[bytes]]:
-        """Ids of every text and the bytes these ids decode to."""
-        cut = [pieces(t) for t in texts]
-        new: set[str] = set()
-        for parts in cut:
-            if parts:
-                new.update(parts[1:])
-        fresh = self.parts.missing(new)
-        learnt = self._learn([f" {p}" for p in fresh])
-        tails = self.parts.learn((p, learnt[f" {p}"]) for p in fresh)
-        heads = self._learn(list({parts[0] if parts else text for parts, text in zip(cut, texts, strict=True)}))
-        ids, decoded = [], []
-        for parts, text in zip(cut, texts, strict=True):
-            known = [heads[parts[0]], *map(tails.__getitem__, parts[1:])] if parts else [heads[text]]
-            ids.append(b"".join([k[0] for k in known]))
-            decoded.append(b"".join([k[1] for k in known]))
-        return ids, decoded
+    def _slice(self, texts: list[str]) -> list[pa.Array]:
+        words = [self.words_of(t) for t in texts]
+        ends = np.cumsum([0, *map(len, words)])
+        dealt = pa.array([w for some in words for w in some], pa.large_string()).dictionary_encode()
+        distinct = dealt.dictionary.to_pylist()
+        fresh = self.words.missing(distinct)
+        ids = self.encode_words([w.encode() for w in fresh])
+        known = self.words.learn(zip(fresh, zip(ids, self.decode(ids), strict=True), strict=True))
+        own = [known[w] for w in distinct]
+        return [gathered(pa.array([pair[k] for pair in own], pa.large_binary()), dealt.indices, ends) for k in (0, 1)]
+
+    def round_trip(self, texts: list[str]) -> tuple[pa.Array, pa.Array]:
+        """Ids of every text and the bytes these ids decode to, as binary columns."""
+        starts = np.cumsum([0, *map(len, texts)])
+        ids, decoded, at = [pa.array([], pa.large_binary())], [pa.array([], pa.large_binary())], 0
+        while at < len(texts):
+            upto = max(at + 1, int(np.searchsorted(starts, starts[at] + SLICE_CHARS, side="right")) - 1)
+            some = self._slice(texts[at:upto])
+            ids.append(some[0])
+            decoded.append(some[1])
+            at = upto
+        return pa.concat_arrays(ids), pa.concat_arrays(decoded)
+
+
+def gathered(values: pa.Array, indices: pa.Array, ends: np.ndarray) -> pa.Array:
+    """The values at the indices, those between consecutive ends joined to one binary value."""
+    taken = values.take(indices)
+    offsets = np.frombuffer(taken.buffers()[1], np.int64)[: len(taken) + 1] if len(taken) else np.zeros(1, np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(offsets[ends]), taken.buffers()[2] or pa.py_buffer(b"")])
 
 
 def opened(ranks_path: str, pattern: str) -> ByteBPE:
@@ -197,8 +205,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, carry: list[str] | No
         model = opened(ranks_path, pattern)
         for batch in it:
             ids, decoded = model.round_trip(batch.column(0).to_pylist())
-            n = pa.array([len(x) // 4 for x in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(ids, pa.binary()), n, pa.array(decoded, pa.binary())], [*batch.schema.names[1:], "ids", "n_tokens", "decoded"])
+            n = pc.divide(pc.binary_length(ids), 4)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], ids.cast(pa.binary()), n, decoded.cast(pa.binary())], [*batch.schema.names[1:], "ids", "n_tokens", "decoded"])
 
     slim = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"), F.col("doc_id").cast("long").alias("doc_id"), *carry)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema[1:])
