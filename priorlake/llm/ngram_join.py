@@ -1,9 +1,11 @@
 """N-gram Jaccard join: MinHash LSH forest for candidates, exact verification of whole shingle sets.
 
-Texts are sets of word 5-grams. Each distinct text gets a signature of TREES x DEPTH minima; a tree is the sorted trie of its
-DEPTH values, and two texts are candidates if they share a prefix in some tree. Matched prefixes are shortened from the
-full depth until a pair at the threshold is found with the target probability. Candidates are linked to components by their
-sketches (linear output), and within a component every pair is verified on its whole shingle sets.
+Texts are sets of word 5-grams. Each distinct text gets a signature of TREES x DEPTH minima; a tree is the trie of its
+DEPTH values, kept as one table of prefixes per level, and two texts are candidates if they share a prefix in some tree.
+Matching starts at the full depth; candidates are linked to components by their sketches (linear output). Then prefixes are
+shortened by one value at a time, until a pair at the threshold is found with the target probability: a prefix whose rows
+already are of one component has all it can give and is not opened again, and in the others only rows of different
+components are compared. Within a component every pair is verified on its whole shingle sets.
 
 Scale: copies fold to one class before anything else; a bucket or component of any size is cut into chunks that meet in
 pairs, so no task gathers a group; tasks send counts and spanning links, never pairs. Only texts with a candidate are read
@@ -39,11 +41,38 @@ BLANK[list(b" \t\n\x0b\x0c\r")] = True
 _POWERS: list[np.ndarray] = []
 
 
-def forest_depth(similarity: float = SIMILARITY, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
-    """The longest prefix whose matches reach the recall for a pair at the similarity, found by shortening."""
-    while depth > 1 and 1 - (1 - similarity**depth) ** trees < recall:
-        depth -= 1
-    return depth
+def forest_levels(similarity: float = SIMILARITY, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> list[int]:
+    """Prefix lengths to match, the full depth first; the last is the longest that finds a pair at the similarity surely enough."""
+    levels = [depth]
+    while levels[-1] > 1 and 1 - (1 - similarity ** levels[-1]) ** trees < recall:
+        levels.append(levels[-1] - 1)
+    return levels
+
+
+def open_prefixes(labels: DataFrame, level: int, trees: int, depth: int) -> DataFrame:
+    """(bucket, rid, component) of the rows under each prefix of the level that rows of several components share.
+
+    labels: rid, signature, component. Least and largest component are partial before the shuffle.
+    """
+    keys = [F.xxhash64(F.lit(t), F.substring("signature", 4 * depth * t + 1, 4 * level)) for t in range(trees)]
+    members = labels.select("rid", "component", F.explode(F.array(*keys)).alias("bucket"))
+    ends = members.groupBy("bucket").agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
+    return members.join(ends.where("_low < _high").select("bucket"), "bucket")
+
+
+def forest_components(classes: DataFrame, levels: list[int], trees: int, depth: int) -> DataFrame:
+    """(rid, group) of every row that some candidate links to another; classes: rid, signature."""
+    low = F.concat(*[F.substring("signature", 4 * k + 1, 1) for k in range(trees * depth)])
+    labels, found, groups = classes.select("rid", "signature", F.col("rid").alias("component")), None, None
+    for level in levels:
+        members = stored(open_prefixes(labels, level, trees, depth), "prefixes")
+        short = classes.join(members.select("rid").distinct(), "rid").select("rid", low.alias("sketch"))
+        dealt = chunk_pairs(members.join(short, "rid"), "bucket", "rid", BUCKET_CHUNK)
+        near = stored(per_group(dealt, ["bucket", "_i", "_j"], _sketch_links, "a long, b long"), "near")
+        found = near if found is None else found.unionByName(near)
+        groups = components(found, "groups").select(F.col("node").alias("rid"), F.col("component").alias("group"))
+        labels = classes.join(groups, "rid", "left").select("rid", "signature", F.coalesce("group", "rid").alias("component"))
+    return groups
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -159,8 +188,8 @@ def digest_of(text: Column) -> Column:
 
 
 def _sketch_links(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Spanning links among rows of each task whose sketches are close."""
-    ids, chunk, i, j = (table[c].to_numpy() for c in ("rid", "_chunk", "_i", "_j"))
+    """Spanning links among rows of each task that are of different components and whose sketches are close."""
+    ids, own, chunk, i, j = (table[c].to_numpy() for c in ("rid", "component", "_chunk", "_i", "_j"))
     sketches = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(ids), -1)
     width = sketches.shape[1]
     least = SKETCH_FROM * 255 / 256 * width + width / 256
@@ -168,14 +197,16 @@ def _sketch_links(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatc
     for a, b in zip(starts[:-1], starts[1:], strict=True):
         x = np.flatnonzero(chunk[a:b] == i[a]) + a
         y = x if i[a] == j[a] else np.flatnonzero(chunk[a:b] == j[a]) + a
+        x = x[np.argsort(own[x], kind="stable")]
         for at in range(0, len(x), 64):
             some = x[at : at + 64]
-            same = np.zeros((len(some), len(y)), np.int16)
+            others = y[own[y] != own[some[0]]] if own[some[0]] == own[some[-1]] else y
+            same = np.zeros((len(some), len(others)), np.int16)
             for k in range(width):
-                same += sketches[some, k][:, None] == sketches[y, k][None, :]
-            p, q = np.nonzero(same >= least)
+                same += sketches[some, k][:, None] == sketches[others, k][None, :]
+            p, q = np.nonzero((same >= least) & (own[some][:, None] != own[others][None, :]))
             left.append(some[p])
-            right.append(y[q])
+            right.append(others[q])
     if not left:
         return
     label = local_components(len(ids), np.concatenate(left), np.concatenate(right))
@@ -251,22 +282,12 @@ def ngram_join(
 
     row: a column of unique longs; it comes first in the result, and kept is true for one row of each component.
     """
-    prefix = forest_depth(similarity, trees, depth, recall)
     sketches = stored(sketched(docs, trees, depth, row), "signatures")
     place = [F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "_row")).alias("place")] if row else []
     own, at, head = (["_row"], ["place"], [F.min("place").alias("head")]) if row else ([], [], [])
     classes = sketches.where("n_words > 0").groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("size"), F.first("signature").alias("signature"), *place)
     classes = stored(classes.withColumn("rid", F.monotonically_increasing_id()), "classes")
-    keys = [F.xxhash64(F.lit(t), F.substring("signature", 4 * depth * t + 1, 4 * prefix)) for t in range(trees)]
-    members = classes.select("rid", F.explode(F.array(*keys)).alias("bucket"))
-    crowded = members.groupBy("bucket").agg(F.count("*").alias("_m")).where("_m > 1").select("bucket")
-    members = stored(members.join(crowded, "bucket"), "buckets")
-    active = members.select("rid").distinct()
-    low = F.concat(*[F.substring("signature", 4 * k + 1, 1) for k in range(trees * depth)])
-    short = classes.join(active, "rid").select("rid", low.alias("sketch"))
-    dealt = chunk_pairs(members.join(short, "rid"), "bucket", "rid", BUCKET_CHUNK)
-    near = stored(per_group(dealt, ["bucket", "_i", "_j"], _sketch_links, "a long, b long"), "near")
-    groups = components(near, "groups").select(F.col("node").alias("rid"), F.col("component").alias("group"))
+    groups = forest_components(classes.select("rid", "signature"), forest_levels(similarity, trees, depth, recall), trees, depth)
     wanted = stored(groups.join(classes.select("rid", "digest", "size"), "rid"), "wanted")
     slot = F.pmod(F.xxhash64("digest"), F.lit(FILTER_BUCKETS))
     slots = wanted.select(slot.cast("int").alias("slot")).distinct()  # at most FILTER_BUCKETS rows

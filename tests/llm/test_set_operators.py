@@ -103,8 +103,21 @@ def test_signatures_do_not_depend_on_slices(monkeypatch):
 
 
 def test_forest_recall():
-    d = ngram_join.forest_depth(0.8, 20, 5, 0.9999)
-    assert 1 - (1 - 0.8**d) ** 20 >= 0.9999 > 1 - (1 - 0.8 ** (d + 1)) ** 20
+    levels = ngram_join.forest_levels(0.8, 20, 5, 0.9999)
+    d = levels[-1]
+    assert levels[0] == 5 and levels == sorted(levels, reverse=True) and 1 - (1 - 0.8**d) ** 20 >= 0.9999 > 1 - (1 - 0.8 ** (d + 1)) ** 20
+    assert ngram_join.forest_levels(0.8, 20, 3, 0.9999) == [3] and ngram_join.forest_levels(0.3, 1, 3, 0.9999) == [3, 2, 1]
+
+
+def test_prefixes_of_one_component_stay_closed(spark):
+    rows = [(0, [1, 2, 3], 0), (1, [1, 2, 3], 0), (2, [1, 2, 9], 2), (3, [7, 8, 9], 3), (4, [7, 8, 9], 3), (5, [5, 5, 5], 5)]
+    labels = spark.createDataFrame([(r, np.array(v, "<u4").tobytes(), c) for r, v, c in rows], "rid long, signature binary, component long")
+    assert not ngram_join.open_prefixes(labels, 3, 1, 3).count()  # found deep, in one component
+    assert {r["rid"] for r in ngram_join.open_prefixes(labels, 2, 1, 3).collect()} == {0, 1, 2}  # 3 and 4 are not regrouped
+    got = {r["rid"]: r["group"] for r in ngram_join.forest_components(labels.select("rid", "signature"), [3, 2], 1, 3).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3}
+    deep = {r["rid"]: r["group"] for r in ngram_join.forest_components(labels.select("rid", "signature"), [3], 1, 3).collect()}
+    assert deep == {0: 0, 1: 0, 3: 3, 4: 3}
 
 
 def vectors_frame(spark, rows):
