@@ -9,18 +9,22 @@ Equal vectors fold to one class first. A grid cell holds its own rows and those
 is cut into chunks that meet in pairs. The number of gridded coordinates grows with the number of vectors. Tasks send
 link counts and spanning links, never pairs.
 
-Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and vectors whose length is not
-the most common one, link with nothing; ids may be null or repeated (rows of one id are vectors of their own, a null id is
-never a component's id unless all are); an empty table gives no rows.
+Vectors of different lengths never link; those of one length are joined among themselves, all lengths in the same pass.
+
+Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing; ids may be null
+or repeated (rows of one id are vectors of their own, a null id is never a component's id unless all are); other columns are
+not read; an empty table gives no rows.
 """
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +36,7 @@ CELL_ROWS, CHUNK = 20_000, 16_384
 SLACK = 1e-9
 
 
+@functools.lru_cache
 def rotation(dimensions: int, seed: int = 3) -> np.ndarray:
     q, r = np.linalg.qr(np.random.default_rng(seed).normal(size=(dimensions, dimensions)))
     return q * np.sign(np.diag(r))
@@ -50,36 +55,50 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dimensions: int) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=float).reshape(-1, dimensions)
 
 
-def gridded(classes: DataFrame, dimensions: int, budget: float, axes: int) -> DataFrame:
+def gridded(classes: DataFrame, budget: float, axes: int) -> DataFrame:
     """Each vector once per block and cell it must be seen in: its own, and the cells it is a higher neighbour of."""
-    turn, bounds = rotation(dimensions), block_bounds(dimensions)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            if not batch.num_rows:
-                continue
-            x = unit(_matrix(batch.column("vector"), dimensions)) @ turn
-            for b, (low, high) in enumerate(bounds):
-                used = min(axes, high - low)
-                radius = math.sqrt(budget * (high - low) / dimensions + SLACK)
-                cell = np.floor(x[:, low : low + used] / radius).astype(np.int64)
-                for shift in itertools.product((0, -1, 1), repeat=used):
-                    lead = next((s for s in shift if s), 0)
-                    if lead > 0:
-                        continue  # rows are guests only in lower cells
-                    near = cell + np.array(shift)
-                    code = np.full(len(x), b, np.int64)
-                    for k in range(used):
-                        code = code * 4096 + near[:, k] + 2048
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column("rid"), batch.column("size"), batch.column("vector"), pa.array(np.full(len(x), b, np.int32)), pa.array(code), pa.array(np.full(len(x), any(shift)))],
-                        ["rid", "size", "vector", "block", "cell", "guest"],
-                    )
-
-    return classes.select("rid", "size", "vector").mapInArrow(batches, "rid long, size long, vector array<double>, block int, cell long, guest boolean")
-
-
-def _linked(dimensions: int, cosine: float):
+            lengths = pc.list_value_length(batch.column("vector"))
+            for dimensions in pc.unique(lengths).to_pylist():
+                yield from of_length(batch.filter(pc.equal(lengths, dimensions)), dimensions)
+
+    def of_length(batch: pa.RecordBatch, dimensions: int) -> Iterator[pa.RecordBatch]:
+        x = unit(_matrix(batch.column("vector"), dimensions)) @ rotation(dimensions)
+        length = pa.array(np.full(len(x), dimensions, np.int32))
+        for b, (low, high) in enumerate(block_bounds(dimensions)):
+            used = min(axes, high - low)
+            radius = math.sqrt(budget * (high - low) / dimensions + SLACK)
+            cell = np.floor(x[:, low : low + used] / radius).astype(np.int64)
+            for shift in itertools.product((0, -1, 1), repeat=used):
+                lead = next((s for s in shift if s), 0)
+                if lead > 0:
+                    continue  # rows are guests only in lower cells
+                near = cell + np.array(shift)
+                code = np.full(len(x), b, np.int64)
+                for k in range(used):
+                    code = code * 4096 + near[:, k] + 2048
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("rid"), batch.column("size"), batch.column("vector"), length, pa.array(np.full(len(x), b, np.int32)), pa.array(code), pa.array(np.full(len(x), any(shift)))],
+                    ["rid", "size", "vector", "d", "block", "code", "guest"],
+                )
+
+    return classes.select("rid", "size", "vector").mapInArrow(batches, "rid long, size long, vector array<double>, d int, block int, code long, guest boolean")
+
+
+def _linked(cosine: float):
+    def join(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        lengths = table["d"].to_numpy()[starts[:-1]]
+        cuts = [0, *(np.flatnonzero(lengths[1:] != lengths[:-1]) + 1), len(lengths)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a < b:
+                yield from _linked_of(int(lengths[a]), cosine)(table.slice(starts[a], starts[b] - starts[a]), starts[a : b + 1] - starts[a])
+
+    return join
+
+
+def _linked_of(dimensions: int, cosine: float):
     budget, turn, bounds = 2 - 2 * cosine, rotation(dimensions), block_bounds(dimensions)
     starts_of = [low for low, _ in bounds]
     shares = np.array([budget * (high - low) / dimensions + SLACK for low, high in bounds])
@@ -140,19 +159,17 @@ def _linked(dimensions: int, cosine: float):
 def embedding_dedup(vectors: DataFrame, cosine: float = COSINE, cell_rows: int = CELL_ROWS) -> DataFrame:
     """One row per vector: vec_id, n_links (others at the cosine or above), component_id (smallest id it reaches), kept."""
     plain = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
-    lengths = plain.where("size(vector) > 0").groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    dimensions = lengths["d"] if lengths else 1
     finite = F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    usable = (F.size("vector") == dimensions) & finite & F.exists("vector", lambda v: v != 0)
+    usable = (F.size("vector") > 0) & finite & F.exists("vector", lambda v: v != 0)
     key = F.when(F.coalesce(usable, F.lit(False)), F.unhex(F.md5(F.to_csv(F.struct(F.array_join(F.col("vector").cast("array<string>"), " ").alias("v"))))))
     rows = stored(plain.select("vec_id", "vector", key.alias("key")), "vectors")
     classes = rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("least"), F.count("*").alias("size"), F.first("vector").alias("vector"))
     classes = stored(classes.withColumn("rid", F.monotonically_increasing_id()), "classes")
     total = classes.count()
     axes = max(1, min(4, math.ceil(math.log(max(total / cell_rows, 1), 5)) or 1))
-    cells = stored(gridded(classes, dimensions, 2 - 2 * cosine, axes), "cells")
+    cells = stored(gridded(classes, 2 - 2 * cosine, axes).withColumn("cell", F.xxhash64("d", "code")), "cells")
     dealt = chunk_pairs(cells, "cell", "rid", CHUNK)
-    found = stored(per_group(dealt, ["cell", "_i", "_j"], _linked(dimensions, cosine), "a long, b long, links long", 8192), "links")
+    found = stored(per_group(dealt, ["d", "code", "_i", "_j"], _linked(cosine), "a long, b long, links long", 8192), "links")
     tops = components(found.select("a", "b"), "tops")
     counts = found.groupBy(F.col("b").alias("rid")).agg(F.sum("links").alias("links"))
     known = classes.select("key", "rid", "least", "size").join(counts, "rid", "left").join(tops.withColumnRenamed("node", "rid"), "rid", "left")
