@@ -6,11 +6,11 @@ rates to the wanted share of tokens with no probability above 1. DataFrame funct
 
 Texts are read for their token counts and their form; nothing wider than a cell is shuffled, sums are partial before the
 shuffle, and the join of documents with cells is a broadcast only where Spark finds the written cells small (else it splits a hot
-source). Draws are hashes of (seed, doc_id), so a lost task draws the same again.
+source). Draws are hashes of (seed, doc_id, text), so a lost task draws the same again.
 
 Defined cases: null source, lang or doc_id count as the empty string; null or empty texts have 0 tokens and the lowest
-weight: they are kept with their cell's probability (0 where the cell has no tokens); repeated rows draw alike; an empty
-table gives no rows; columns of documents named like those made here are not read except doc_id, text, source, lang.
+weight: they are kept with their cell's probability (0 where the cell has no tokens); rows of one id and text draw alike, others, as those without an id, each by
+themselves; an empty table gives no rows; columns of documents named like those made here are not read except doc_id, text, source, lang.
 """
 from __future__ import annotations
 
@@ -30,11 +30,11 @@ def _without(text: Column, characters: str) -> Column:
 
 
 def labelled(docs: DataFrame, *carry: str) -> DataFrame:
-    """doc_id, source, lang, topic (the text's form), n_tokens (words) and carried columns."""
+    """doc_id, source, lang, topic (the text's form), n_tokens (words), digest (of the text) and carried columns."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     out = docs.select(
         "doc_id", *[F.coalesce(F.col(d).cast("string"), F.lit("")).alias(f"_{d}") for d in ("source", "lang")], text.alias("_t"),
-        F.regexp_count(text, F.lit(WORDS)).cast("long").alias("n_tokens"), *[F.col(c).alias(f"_c_{c}") for c in carry],
+        F.regexp_count(text, F.lit(WORDS)).cast("long").alias("n_tokens"), F.md5(text).alias("digest"), *[F.col(c).alias(f"_c_{c}") for c in carry],
     )
     n = F.col("n_tokens")
     topic = (
@@ -44,7 +44,7 @@ def labelled(docs: DataFrame, *carry: str) -> DataFrame:
         .when(_without(F.col("_t"), "\n") * 10 >= n, "lines")
         .when(n < 200, "brief").otherwise("prose")
     )
-    return out.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), topic.alias("topic"), "n_tokens", *[f"_c_{c}" for c in carry])
+    return out.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), topic.alias("topic"), "n_tokens", "digest", *[f"_c_{c}" for c in carry])
 
 
 def tempered(cells: DataFrame, dimension: str, temperature: float = TEMPERATURE) -> DataFrame:
@@ -87,8 +87,9 @@ def calibrated(cells: DataFrame, share: float = SHARE, rounds: int = CAPS) -> Da
     return cells.withColumn("probability", F.least(F.lit(1.0), F.lit(float(factor)) * rate))
 
 
-def drawn(doc_id: Column, probability: Column, seed: str = SEED) -> Column:
-    u = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
+def drawn(doc_id: Column, digest: Column, probability: Column, seed: str = SEED) -> Column:
+    """Whether the draw of a row, told by its id and its text's digest, keeps it."""
+    u = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), digest)), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
     return u < probability
 
 
@@ -104,13 +105,13 @@ def cell_probabilities(
 def mixed(labels: DataFrame, rates: DataFrame, seed: str = SEED) -> DataFrame:
     """Labelled documents with their probability and whether the draw keeps them."""
     out = labels.join(rates.select(*DIMENSIONS, "probability"), list(DIMENSIONS))
-    return out.select(*labels.columns, "probability", drawn(F.col("doc_id"), F.col("probability"), seed).alias("kept"))
+    return out.select(*labels.columns, "probability", drawn(F.col("doc_id"), F.col("digest"), F.col("probability"), seed).alias("kept"))
 
 
 def mixing(docs: DataFrame, temperature: float = TEMPERATURE, share: float = SHARE, sweeps: int = SWEEPS, seed: str = SEED) -> DataFrame:
     """One row per document: doc_id, source, lang, topic, n_tokens, probability, kept."""
     labels = stored(labelled(docs), "labelled")
-    return mixed(labels, cell_probabilities(labels, temperature, share, sweeps), seed)
+    return mixed(labels, cell_probabilities(labels, temperature, share, sweeps), seed).drop("digest")
 
 
 def _sql() -> str:
@@ -119,7 +120,7 @@ def _sql() -> str:
          len(regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+')) as n
   from documents),
 labelled as (
-  select doc_id, source, lang, n as n_tokens,
+  select doc_id, source, lang, n as n_tokens, md5(t) as digest,
          case when (length(t) - length(translate(t, '|', ''))) * 5 >= n then 'table'
               when (length(t) - length(translate(t, '#*$%&<>', ''))) * 5 >= n then 'markup'
               when (length(t) - length(translate(t, '0123456789', ''))) * 2 >= n then 'figures'
@@ -146,7 +147,7 @@ c0 as materialized (select source, lang, topic, sum(n_tokens)::double as tokens,
         )
     return ",\n".join(step) + f"""
 select doc_id, topic, n_tokens, round(least(1.0, f * r), 6) as probability,
-       ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::varchar, '')), 1, 12))::bigint / 281474976710656.0 < least(1.0, f * r) as kept
+       ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::varchar, '') || ':' || digest), 1, 12))::bigint / 281474976710656.0 < least(1.0, f * r) as kept
 from labelled join rate using (source, lang, topic), f{CAPS - 1}"""
 
 

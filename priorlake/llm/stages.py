@@ -1,6 +1,7 @@
 """The pipeline's stages: (spark, docs, sf_dir) to the documents that stay; the last one returns encoded documents.
 
-Each stage works on all its predecessor kept and carries documents of any columns through.
+Each stage works on all its predecessor kept and carries documents of any columns through, whatever their names.
+Nulls in any column, repeated rows and empty tables are those of the operator called; an empty table gives no rows.
 """
 from __future__ import annotations
 
@@ -18,27 +19,31 @@ from priorlake.llm.shared import stored
 ROW = "_row_key"
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs written with a key of its own for every row, so that all that read it see the same keys."""
-    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs written with a key of its own for every row, so that all that read it see the same keys, and the key's name."""
+    taken = {c.lower() for c in docs.columns}
+    key = ROW
+    while key in taken:
+        key += "_"
+    return stored(docs.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
 
 
-def without(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
+def without(rows: DataFrame, verdicts: DataFrame, key: str) -> DataFrame:
     """rows but those that the verdicts (row key, kept) drop, each by its own key; the key is taken off."""
-    dropped = stored(verdicts.where("not kept").select(ROW), "dropped")
-    return rows.join(dropped, ROW, "left_anti").drop(ROW)
+    dropped = stored(verdicts.where("not kept").select(key), "dropped")
+    return rows.join(dropped, key, "left_anti").drop(key)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the rules keep; each row is judged by its own text, whatever its id."""
-    rows = keyed(docs)
-    return without(rows, quality_rules(rows, table(spark, sf_dir, "labels"), carry=[ROW]))
+    rows, key = keyed(docs)
+    return without(rows, quality_rules(rows, table(spark, sf_dir, "labels"), carry=[key]), key)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of every group of near duplicates: the one with the group's smallest id, nulls last; of equal ids one."""
-    rows = keyed(docs)
-    return without(rows, ngram_join(rows, row=ROW))
+    rows, key = keyed(docs)
+    return without(rows, ngram_join(rows, row=key), key)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,11 +53,11 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn with the calibrated probability of their source, language and topic."""
+    """Documents drawn with the calibrated probability of their source, language and topic, each by its id and text."""
     rates = cell_probabilities(stored(labelled(docs), "labelled"))
     named = docs.select("doc_id", "text", "source", "lang", F.struct(*docs.columns).alias("_row"))
     cells = labelled(named, "_row").join(rates.select("source", "lang", "topic", "probability"), ["source", "lang", "topic"])
-    return cells.where(drawn(F.col("doc_id"), F.col("probability"))).select("_c__row.*")
+    return cells.where(drawn(F.col("doc_id"), F.col("digest"), F.col("probability"))).select("_c__row.*")
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -159,6 +159,25 @@ def test_embedding_rows_that_link_with_nothing(spark):
     assert embedding_dedup.embedding_dedup(vectors_frame(spark, rows).limit(0)).count() == 0
 
 
+def test_embeddings_of_each_length_link_among_themselves(spark):
+    rng = np.random.default_rng(8)
+    rows = [(1, [1.0, 0.0, 2.0], 0), (2, [1.0, 0.0, 2.0], 0), (3, [1.0, 2.0], 0), (4, [1.0, 2.0], 0), (5, [1.0, 2.1], 0), (6, [3.0], 0), (7, [4.0], 0), (8, [-4.0], 0)]
+    for k, n in enumerate((5, 12, 12, 24)):
+        base = rng.normal(size=n)
+        rows += [(100 * (k + 1) + i, [float(c) for c in base + rng.normal(size=n) * 0.25], 0) for i in range(12)]
+    frame = vectors_frame(spark, rows).withColumn("rid", F.lit(1)).withColumn("d", F.lit("x")).withColumn("cell", F.lit(None).cast("int"))
+    got = {r["vec_id"]: r for r in embedding_dedup.embedding_dedup(frame).collect()}
+    close = []
+    for i, a, _ in rows:
+        for j, b, _ in rows:
+            if i != j and len(a) == len(b) and np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b) >= 0.9:
+                close.append((i, j))
+    tops = reach([i for i, _, _ in rows], close)
+    assert got[1]["n_links"] == 1 and got[3]["n_links"] == 2 and got[6]["n_links"] == 1 and got[8]["n_links"] == 0
+    for i, _, _ in rows:
+        assert got[i]["n_links"] == sum(a == i for a, _ in close) and got[i]["component_id"] == tops[i]
+
+
 def covered(texts: list[bytes], length: int) -> list[np.ndarray]:
     seen: dict[bytes, int] = {}
     for t in texts:
@@ -241,6 +260,17 @@ def test_mixing_meets_its_targets(spark):
     assert rates.where("probability > 1 or probability < 0").isEmpty()
 
 
+def test_mixing_draws_rows_without_an_id_one_by_one(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").withColumn("doc_id", F.when(F.col("doc_id") % 3 > 0, F.col("doc_id")))
+    out = mixing.mixing(docs).where("doc_id is null").collect()
+    kept = sum(r["kept"] for r in out)
+    wanted, spread = sum(r["probability"] for r in out), sum(r["probability"] * (1 - r["probability"]) for r in out) ** 0.5
+    assert 0 < kept < len(out) and abs(kept - wanted) < 4 * spread + 1
+    named = docs.withColumn("_row_key", F.lit("own")).withColumn("_Row_Key_", F.lit(7))
+    rows, key = stages.keyed(named)
+    assert key == "_row_key__" and {r["_row_key"] for r in rows.collect()} == {"own"}
+
+
 def test_mixing_of_awkward_rows(spark):
     docs = documents(spark)
     out = mixing.mixing(docs).collect()
