@@ -68,11 +68,11 @@ def remembered(key: Hashable, make: Callable[[], object]):
 
 
 def release() -> None:
-    """Give back what another operator's tasks left in this worker process."""
-    if not _REMEMBERED:
-        return
-    _REMEMBERED.clear()
-    gc.collect()
+    """Give back what another operator's or an earlier stage's tasks left in this worker process."""
+    if _REMEMBERED:
+        _REMEMBERED.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except OSError:
