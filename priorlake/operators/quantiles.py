@@ -12,7 +12,8 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
 
     Values are counted map-side. A sketch of each key's distinct values cuts them into about `buckets` ranges of like
     size, whatever their distribution; ranges are counted exactly, and only those that hold a wanted rank are
-    sorted. The sketch decides how work is cut and never the result. A window sees one range of one key.
+    sorted. A sketch merged in another order cuts elsewhere, so it is read in one place: a wanted range carries its first
+    and last value and its first rank, and rows are chosen by these. A window sees one range of one key.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
     k = keys
@@ -26,7 +27,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     placed = limited.withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
     tops = (
         placed.groupBy(*k, "_b", "_total")
-        .agg(F.sum("_n").alias("_m"))
+        .agg(F.sum("_n").alias("_m"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
         .withColumn("_end", F.sum("_m").over(Window.partitionBy(*k).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("_start", F.col("_end") - F.col("_m"))
     )
@@ -42,11 +43,14 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
         )
     )
     mine = F.filter(ranks, lambda s: (s["rank"] >= F.col("_start")) & (s["rank"] < F.col("_end")))
-    hot = tops.withColumn("_r", mine).filter(F.size("_r") > 0).select(*k, "_b", "_start", "_total", "_r")
-    inside = Window.partitionBy(*k, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    hot = tops.withColumn("_r", mine).filter(F.size("_r") > 0).groupBy(*k).agg(
+        F.collect_list(F.struct("_low", "_high", "_start", "_total", "_r")).alias("_hot")  # two for each probability at most
+    )
+    near = counts.join(hot, k) if keys else counts.withColumn("_hot", hot.select("_hot").scalar())
+    inside = Window.partitionBy(*k, "_start").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     found = (
-        placed.select(*k, "_b", "_v", "_n")
-        .join(hot, [*k, "_b"])
+        near.select(*k, "_v", "_n", F.explode(F.filter("_hot", lambda h: (h["_low"] <= F.col("_v")) & (F.col("_v") <= h["_high"]))).alias("_h"))
+        .select(*k, "_v", "_n", "_h.*")
         .withColumn("_cum", F.col("_start") + F.sum("_n").over(inside))
         .withColumn("_hit", F.filter("_r", lambda s: (s["rank"] < F.col("_cum")) & (s["rank"] >= F.col("_cum") - F.col("_n"))))
         .select(*k, "_v", "_total", F.explode("_hit").alias("_h"))

@@ -240,6 +240,18 @@ def test_an_outlier_does_not_gather_the_rest(spark):
     cuts = df.select(F.percentile_approx("v", F.array(*[F.lit(i / quantiles.BUCKETS) for i in range(1, quantiles.BUCKETS)]), 10 * quantiles.BUCKETS)).first()[0]
     assert np.histogram(values, [-1, *cuts, 2e12])[0].max() < 0.01 * len(values)
 
+def test_exact_quantiles_whatever_the_sketch_says(spark, monkeypatch):
+    """A sketch that cuts elsewhere each time it is read, as one merged in another order does, leaves the quantiles alone."""
+    sketch = F.percentile_approx
+    moved = F.expr("cast(java_method('java.lang.Math', 'random') as double)")
+    monkeypatch.setattr(quantiles.F, "percentile_approx", lambda *a: F.transform(sketch(*a), lambda c: c + 20 * moved))
+    values = np.random.default_rng(3).normal(0, 900, (3, 2000))
+    df = spark.createDataFrame(pd.DataFrame({"k": np.repeat([0, 1, 2], 2000), "v": values.reshape(-1)}))
+    probs = [0.05, 0.2, 0.4, 0.5, 0.6, 0.8, 0.95]
+    got = {(x["k"], x["prob"]): x["q"] for x in quantiles.exact_quantiles(df, ["k"], "v", probs).collect()}
+    assert set(got) == {(k, p) for k in range(3) for p in probs}
+    assert all(q == pytest.approx(np.quantile(values[k], p), rel=1e-9) for (k, p), q in got.items())
+
 
 def test_bins_collapse_repeated_edges(spark):
     df = spark.createDataFrame([(float(v),) for v in (1, 1, 1, 2, 3)], "v double")
