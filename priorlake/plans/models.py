@@ -405,18 +405,22 @@ def sided(names):
     return [f"{s}_{n}" for s in ("home", "away") for n in names]
 
 
+def arm_rows(spark, folder, table, arms):
+    """The arms' shared table, written once: numbering, training and scoring all read it, and what it was joined from is not run again."""
+    columns = [*KEEP, "went_to_ot", *gram.used_features(arms)]
+    return base.keep(spark, folder, "arms:" + ",".join(columns), lambda: written(table.select(*columns), "arms"))
+
+
 def compare(spark, folder, table, arms, control="control", weights=None):
-    """One training pass and one scoring pass over the arms' shared table, which is kept between them."""
+    """One training pass and one scoring pass over the arms' shared table."""
     if table is not None:
-        columns = [*KEEP, "went_to_ot", *gram.used_features(arms)]
-        wide = table.select(*columns)
-        table = base.keep(spark, folder, "arms:" + ",".join(columns), lambda: wide)
+        table = arm_rows(spark, folder, table, arms)
     return arm_table(ridge(spark, folder, arms, table, weights), control)
 
 
 def compare_poisson(spark, folder, table, arms, control="control", weights=None):
     """The same comparison under the Poisson estimator: all arms share every Newton round."""
-    return arm_table(glm_forecasts(spark, folder, arms, table, weights), control)
+    return arm_table(glm_forecasts(spark, folder, arms, arm_rows(spark, folder, table, arms), weights), control)
 
 
 def without(*parts):
@@ -442,8 +446,10 @@ CONTINUITY = ["roster_carryover", "lineup_stability", "snap_weighted_tenure"]
 
 def relational_setup(spark, folder):
     table = assemble.interactions(base.model_table(spark, folder), MATCHUPS)
-    table = assemble.attach_sided(table, unit_ratings(spark, folder), ["season", "week"], ADJUSTED)
-    table = assemble.attach_sided(table, roster.continuity(base.lineups(spark, folder)), ["season", "t"], CONTINUITY)
+    rated = base.keep(spark, folder, "unit_ratings", lambda: written(unit_ratings(spark, folder), "unit_ratings"))
+    squads = base.keep(spark, folder, "continuity", lambda: written(roster.continuity(base.lineups(spark, folder)), "continuity"))
+    table = assemble.attach_sided(table, rated, ["season", "week"], ADJUSTED)
+    table = assemble.attach_sided(table, squads, ["season", "t"], CONTINUITY)
     match, adjusted, kept = [m[0] for m in MATCHUPS], sided(ADJUSTED), sided(CONTINUITY)
     arms = {"control": [], "matchup": match, "adjusted": adjusted, "continuity": kept, "all": match + adjusted + kept}
     return table, {n: Arm(FEATURES + x) for n, x in arms.items()}
