@@ -262,7 +262,7 @@ def outcome_model(spark, folder):
 
 def chain_segments(spark, folder):
     seg = base.chain(spark, folder)
-    first = seg.groupBy("game_id").agg(F.min(F.struct("first_day", "drive", "posteam")).alias("_first"))
+    first = base.drives(spark, folder).groupBy("game_id").agg(F.min(F.struct("first_day", "drive", "posteam")).alias("_first"))
     at = F.struct("first_day", "drive", "posteam")
     return seg.join(first, "game_id").withColumn("nth", F.when(at == F.col("_first"), 0).otherwise(1)).withColumn("t", temporal.epoch_day(F.col("gameday")))
 

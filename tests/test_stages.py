@@ -29,3 +29,11 @@ def test_poisson_arms_read_one_written_table(spark, monkeypatch):
     wide = table.join(table.groupBy("season").count(), "season")
     models.compare_poisson(spark, FOLDER, wide, {"control": models.Arm(models.FEATURES)})
     assert "Join" not in plan_of(seen[0]) and seen[0].count() == wide.count()
+
+
+def test_segments_and_line_ups_are_folded_once(spark):
+    for frame, built in ((base.drives, base.build_drives), (base.lineups, lambda s, f: base.build_lineups(s, f, 0.03))):
+        kept, fresh = frame(spark, FOLDER), built(spark, FOLDER)
+        assert "Join" not in plan_of(kept) and "Join" in plan_of(fresh)
+        assert kept.schema.simpleString() == fresh.schema.simpleString()
+        assert kept.exceptAll(fresh).isEmpty() and fresh.exceptAll(kept).isEmpty()
