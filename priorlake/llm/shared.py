@@ -36,6 +36,28 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored_alone(df: DataFrame, name: str) -> DataFrame:
+    """As stored, and Spark removes the shuffle files of the write when it ends, not when the driver happens to collect its garbage."""
+    spark = df.sparkSession
+    before = spark.conf.get(FREED, None)
+    spark.conf.set(FREED, "true")
+    try:
+        return stored(df, name)
+    finally:
+        spark.conf.unset(FREED) if before is None else spark.conf.set(FREED, before)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete stage tables that nothing reads any more."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def numbered(rows: DataFrame, group: list[str], order: list, name: str, number: str) -> DataFrame:
     """rows with their place (long, from 0) inside their group in the given order, which must tell all rows apart.
 

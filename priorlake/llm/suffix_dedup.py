@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from priorlake.llm.anchors import window_runs
 from priorlake.llm.groups import per_group
 from priorlake.llm.ngram_join import _powers, digest_of, mixed, slices
-from priorlake.llm.shared import small_batches, stored, text_bytes
+from priorlake.llm.shared import dropped, small_batches, text_bytes
+from priorlake.llm.shared import stored_alone as stored
 from priorlake.llm.suffix_merge import longest_matches
 
 LENGTH, HOT_STRINGS = 200, 4096
@@ -201,7 +202,9 @@ def repeated_windows(runs: DataFrame, length: int) -> DataFrame:
     found = ranges.select("digest", "first", "last", F.unhex(F.md5("string")).alias("part")).join(parts, "part")
     found = found.select("digest", "first", F.least(F.col("last"), F.col("first") + F.col("match") - length).alias("last"))
     decided = strings.where(F.col("match") >= length).select("digest", F.lit(0).alias("first"), (F.col("match") - length).alias("last"))
-    return decided.unionByName(found)
+    windows = stored(decided.unionByName(found), "windows")
+    dropped(strings, open_, ranges)
+    return windows
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -214,12 +217,15 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     local = anchors.where("again and not first").select("key", "doc")
     crowded = per_group(anchors.where("first").select("key", "doc", "again"), ["key"], _crowded, "key long, doc long")
     keys = stored(local.unionByName(crowded).groupBy("doc").agg(F.collect_set("key").alias("keys")), "keys")
+    dropped(anchors)
     runs = stored(candidate_runs(long_, keys, length), "runs")
-    windows = stored(repeated_windows(runs, length), "windows")
+    dropped(keys)
+    windows = repeated_windows(runs, length)
     spots = runs.where("string is null").select("doc", "start", "digest").join(windows, "digest")
     spans = spots.select("doc", (F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("last") + length).alias("b")).distinct()
     spans = spans.groupBy(F.col("doc").alias("digest")).agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     spans = stored(spans, "spans")
+    dropped(runs, windows)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from priorlake.llm.groups import per_group
-from priorlake.llm.shared import stored
+from priorlake.llm.shared import stored_alone as stored
 
 RUN_STRINGS, SAMPLES, RANGE_STRINGS = 20_000, 2_000, 20_000
 
