@@ -250,6 +250,33 @@ def attempts(plays: DataFrame, result: str, made: str, distance: str) -> DataFra
     return out.withColumn("fg_pct", safe_div(F.col("fg_made"), F.col("fg_attempts")))
 
 
+def families(plays: DataFrame, result: str, made: str, distance: str, low: float = 0.20, high: float = 0.80) -> DataFrame:
+    """Columns of competitive, turnover_luck and attempts that arms compare, from one pass over the events.
+
+    Events fold to sums per (contest, side with the ball, other side); both sides' rates come from those few rows.
+    """
+    c = F.col
+    doubt, tried = c("wp").between(low, high), c(result).isNotNull()
+    pairs = plays.groupBy("game_id", "posteam", "defteam").agg(
+        F.sum(F.when(doubt, c("epa"))).alias("_epa"), F.count(F.when(doubt, c("epa"))).alias("_epa_n"),
+        F.coalesce(F.sum("fumble"), F.lit(0)).alias("_fumbles"), F.coalesce(F.sum("fumble_lost"), F.lit(0)).alias("_lost"),
+        F.coalesce(F.sum("interception"), F.lit(0)).alias("_caught"), F.count(F.when(tried, F.lit(1))).alias("_tries"),
+        F.count_if(c(result) == made).alias("_made"), F.sum(F.when(tried, c(distance))).alias("_far"), F.count(F.when(tried, c(distance))).alias("_far_n"),
+    )
+
+    def of(side: str) -> DataFrame:
+        return pairs.filter(c(side).isNotNull()).groupBy("game_id", c(side).alias("team")).agg(*[F.sum(n).alias(n) for n in pairs.columns[3:]])
+
+    mean = safe_div(c("_epa"), c("_epa_n"))
+    off = of("posteam").select(
+        "game_id", "team", mean.alias("off_epa_competitive"), c("_caught").alias("off_interceptions"),
+        F.when(c("_fumbles") > 0, 1 - safe_div(c("_lost"), c("_fumbles"))).alias("off_fumble_retain_rate"),
+        safe_div(c("_made"), c("_tries")).alias("fg_pct"), safe_div(c("_far"), c("_far_n")).alias("fg_avg_distance"),
+    )
+    faced = of("defteam").select("game_id", "team", mean.alias("def_epa_competitive"), c("_caught").alias("def_interceptions"))
+    return off.join(faced, ["game_id", "team"], "full_outer")
+
+
 def within_group_slope(df: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
     """OLS slope after removing group means: sums of within-group moments, no second pass over rows."""
     n = F.count(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), F.lit(1)))

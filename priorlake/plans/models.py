@@ -564,10 +564,9 @@ KICKS = ["fg_pct", "fg_avg_distance"]
 def family_arms(spark, folder):
     events = base.details(spark, folder)
     on = ["game_id", "team"]
-    wide = rollup.pace(events).join(rollup.competitive(events), on, "full_outer").join(rollup.turnover_luck(events), on, "full_outer")
-    wide = dated(spark, folder, wide.join(rollup.attempts(events, "fg_result", "made", "qty"), on, "full_outer"))
+    wide = dated(spark, folder, rollup.pace(events).join(rollup.families(events, "fg_result", "made", "qty"), on, "full_outer"))
     names = PACE + DOUBT + LUCK + KICKS
-    hist = entity_history(spark, folder, wide, names)
+    hist = entity_history(spark, folder, written(wide, "families"), names)
     table = assemble.attach_sided(base.model_table(spark, folder), hist, ["t"], [f"pregame_{m}" for m in names])
     pre = lambda x: sided([f"pregame_{m}" for m in x])
     arms = {"control": [], "pace": pre(PACE), "competitive": pre(DOUBT), "turnover": pre(LUCK), "special": pre(KICKS), "all": pre(names)}

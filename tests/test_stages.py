@@ -2,7 +2,9 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
+from priorlake.operators import rollup
 from priorlake.plans import base, catalog, models
 
 FOLDER = "/root/testdata/sf0.001"
@@ -37,3 +39,17 @@ def test_segments_and_line_ups_are_folded_once(spark):
         assert "Join" not in plan_of(kept) and "Join" in plan_of(fresh)
         assert kept.schema.simpleString() == fresh.schema.simpleString()
         assert kept.exceptAll(fresh).isEmpty() and fresh.exceptAll(kept).isEmpty()
+
+
+def test_families_in_one_pass_equal_the_single_rollups(spark):
+    """The same rates as from three roll-ups, unknown sides and measures included, with one scan of the events."""
+    rows = [
+        ("g", "A", "B", 0.5, 0.1, 1, 1, 0, "made", 30.0), ("g", "A", "B", 0.9, 0.3, 1, 0, 1, "missed", None), ("g", "B", "A", 0.2, None, 0, 0, 1, None, 9.0),
+        ("g", "B", None, 0.8, 0.7, 0, 0, 0, "made", 12.0), ("g", None, "A", 0.4, -0.5, 1, 1, 1, "made", 5.0), ("h", "A", "C", None, 0.2, None, None, None, None, None),
+    ]
+    names = "game_id string, posteam string, defteam string, wp double, epa double, fumble int, fumble_lost int, interception int, fg string, qty double"
+    df = spark.createDataFrame(rows, names).withColumn("success", F.lit(1))
+    on, cols = ["game_id", "team"], models.DOUBT + models.LUCK + models.KICKS
+    apart = rollup.competitive(df).join(rollup.turnover_luck(df), on, "full_outer").join(rollup.attempts(df, "fg", "made", "qty"), on, "full_outer")
+    shown = lambda x: sorted(x.select(*on, *[F.round(F.col(c).cast("double"), 9).alias(c) for c in cols]).collect(), key=lambda r: r[:2])
+    assert shown(rollup.families(df, "fg", "made", "qty")) == shown(apart)
