@@ -24,26 +24,28 @@ from pyspark.sql import functions as F
 
 from priorlake.llm.shared import Recent, remembered, small_batches
 
-REMEMBERED, SLICE_CHARS = 100_000, 4_000_000
+REMEMBERED, SLICE_CHARS = 300_000, 4_000_000
 MOST_IDS = 1 << 27
+# The same alternatives with the apostrophe looked at once.
+ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d|", "'(?:[stmd]|re|ve|ll)|"
 WORDS_AT_ONCE, LONG_WORD, ROUNDS = 20_000, 256, 24
 
-# Every round: the minimum of (rank, position, next position, length) per word is its leftmost pair of minimum rank.
-# 12 bits hold a position or length in a short word, 27 a token. A word without a pair is done and leaves.
+# k holds word and position, x token and length (12 bits each for position and length in a short word, 27 for a token), so
+# that neighbours meet by one number. Every round: the minimum of (rank, position, next position, length) per word is its
+# leftmost pair of minimum rank. A word without a pair is done and leaves.
 SHORT_SQL = """
-with recursive step(done, w, p, t, l) as (
-    select false, w, p, t, l from start
+with recursive step(done, k, x) as (
+    select false, (w::bigint << 12) | p, (t::bigint << 12) | l from start
     union all (
         with best as (
-            select s.w, min((m.m::bigint << 36) | (s.p::bigint << 24) | (n.p::bigint << 12) | (s.l + n.l)) as b
-            from step s join step n on n.w = s.w and n.p = s.p + s.l join merges m on m.ab = (s.t::bigint << 27) | n.t
-            where not s.done and not n.done
+            select s.k >> 12 as w, min((m.m::bigint << 36) | ((s.k & 4095) << 24) | ((n.k & 4095) << 12) | ((s.x & 4095) + (n.x & 4095))) as b
+            from (select k, x from step where not done) s join (select k, x from step where not done) n on n.k = s.k + (s.x & 4095)
+                 join merges m on m.ab = ((s.x >> 12) << 27) | (n.x >> 12)
             group by 1)
-        select b is null, s.w, s.p, case when s.p = ((b >> 24) & 4095) then (b >> 36)::int else s.t end,
-               case when s.p = ((b >> 24) & 4095) then (b & 4095)::int else s.l end
-        from step s left join best using (w)
-        where not s.done and s.p is distinct from ((b >> 12) & 4095)))
-select w, p, t from step where done order by 1, 2
+        select b is null, s.k, case when (s.k & 4095) = ((b >> 24) & 4095) then ((b >> 36) << 12) | (b & 4095) else s.x end
+        from step s left join best on best.w = s.k >> 12
+        where not s.done and (s.k & 4095) is distinct from ((b >> 12) & 4095)))
+select (k >> 12)::int as w, (k & 4095)::int as p, (x >> 12)::int as t from step where done order by k
 """
 # As above; where it is safe, all disjoint occurrences of the minimum pair at once, at most ROUNDS rounds.
 LONG_SQL = """
@@ -70,6 +72,8 @@ with recursive step(i, w, p, t, l) as (
 select w, p, t, l, i from step qualify i = max(i) over (partition by w) order by w, p
 """
 DECODE_SQL = "select w, unhex(string_agg(h, '' order by p)) as b from ids join vocabulary using (t) group by w order by w"
+# One sort for all words, not one each. Aggregates keep the order of their input in one thread; what comes out is compared with the words.
+SORTED_DECODE_SQL = "select w, unhex(string_agg(h, '')) as b from (select w, h from ids join vocabulary using (t) order by w, p) group by w order by w"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -83,7 +87,7 @@ class ByteBPE:
         import duckdb
         import regex
 
-        self.words_of = regex.compile(pattern).findall
+        self.words_of = regex.compile(pattern.replace(*ENDINGS)).findall
         ranks = read_ranks(ranks_path)
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         if max(ranks.values()) >= MOST_IDS:
@@ -144,7 +148,7 @@ class ByteBPE:
         for k, i in enumerate(which):
             out[i] = data[cuts[k] : cuts[k + 1]]
 
-    def decode(self, encoded: list[bytes]) -> list[bytes]:
+    def decode(self, encoded: list[bytes], sql: str = DECODE_SQL) -> list[bytes]:
         """Bytes of each list of ids."""
         lengths = np.array([len(x) // 4 for x in encoded], dtype=np.int64)
         out = [b""] * len(encoded)
@@ -154,20 +158,25 @@ class ByteBPE:
             n = lengths[at:upto]
             place = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
             ids = np.frombuffer(b"".join(encoded[at:upto]), "<u4").astype(np.int32)
-            rows = self._ask(DECODE_SQL, "ids", pa.table({"w": np.repeat(np.arange(len(n), dtype=np.int32), n), "p": place, "t": ids}))
+            rows = self._ask(sql, "ids", pa.table({"w": np.repeat(np.arange(len(n), dtype=np.int32), n), "p": place, "t": ids}))
             for w, b in zip(rows["w"].to_pylist(), rows["b"].to_pylist(), strict=True):
                 out[at + w] = b
             at = upto
         return out
 
+    def _both(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Ids of each word and the bytes they decode to."""
+        ids = self.encode_words(words)
+        decoded = self.decode(ids, SORTED_DECODE_SQL)
+        return zip(ids, decoded if decoded == words else self.decode(ids), strict=True)
+
     def _slice(self, texts: list[str]) -> list[pa.Array]:
         words = [self.words_of(t) for t in texts]
         ends = np.cumsum([0, *map(len, words)])
         dealt = pa.array([w for some in words for w in some], pa.large_string()).dictionary_encode()
         distinct = dealt.dictionary.to_pylist()
         fresh = self.words.missing(distinct)
-        ids = self.encode_words([w.encode() for w in fresh])
-        known = self.words.learn(zip(fresh, zip(ids, self.decode(ids), strict=True), strict=True))
+        known = self.words.learn(zip(fresh, self._both([w.encode() for w in fresh]), strict=True))
         own = [known[w] for w in distinct]
         return [gathered(pa.array([pair[k] for pair in own], pa.large_binary()), dealt.indices, ends) for k in (0, 1)]
 
