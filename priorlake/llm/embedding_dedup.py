@@ -34,6 +34,8 @@ from priorlake.llm.shared import components, local_components, stored
 COSINE, BLOCK_DIMENSIONS = 0.9, 8
 CELL_ROWS, CHUNK = 20_000, 16_384
 SLACK = 1e-9
+# Distances in single precision choose the candidates, those up to ROUGH too far among them; double precision decides.
+TILE, ROUGH = 4096, 1e-5
 
 
 @functools.lru_cache
@@ -87,6 +89,13 @@ def gridded(classes: DataFrame, budget: float, axes: int) -> DataFrame:
     return classes.select("rid", "size", "vector").mapInArrow(batches, "rid long, size long, vector array<double>, d int, block int, code long, guest boolean")
 
 
+def sides_of_distance(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two matrices whose product holds all squared distances of the rows of x and y (of length 1 at most), to ROUGH."""
+    nx, ny = (x**2).sum(1), (y**2).sum(1)
+    one = np.ones(max(len(x), len(y)))
+    return np.column_stack([-2 * x, nx, one[: len(x)]]).astype(np.float32), np.column_stack([y, one[: len(y)], ny]).astype(np.float32)
+
+
 def _linked(cosine: float):
     def join(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
         lengths = table["d"].to_numpy()[starts[:-1]]
@@ -124,16 +133,19 @@ def _linked_of(dimensions: int, cosine: float):
                 other = other[np.argsort(turned[other, axis], kind="stable")]
                 home = home[np.argsort(turned[home, axis], kind="stable")]
                 along = turned[other, axis]
-                norms = (turned[other, low:high] ** 2).sum(1)
+                x, y = sides_of_distance(turned[home, low:high], turned[other, low:high])
                 for at in range(0, len(home), 256):
                     some = home[at : at + 256]
                     p0, p1 = np.searchsorted(along, [turned[some[0], axis] - radius - SLACK, turned[some[-1], axis] + radius + SLACK])
                     if p0 >= p1:
                         continue
-                    x, y = turned[some, low:high], turned[other[p0:p1], low:high]
-                    apart = (x**2).sum(1)[:, None] + norms[p0:p1][None, :] - 2 * x @ y.T
-                    p, q = np.nonzero(apart <= shares[k] + SLACK)
-                    p, q = some[p], other[p0 + q]
+                    hits = [np.zeros((2, 0), np.int64)]
+                    for q0 in range(p0, p1, TILE):
+                        q1 = min(p1, q0 + TILE)
+                        near = np.flatnonzero(x[at : at + 256] @ y[q0:q1].T <= shares[k] + ROUGH)
+                        hits.append(np.stack(np.divmod(near, q1 - q0)) + [[0], [q0]])
+                    p, q = np.concatenate(hits, axis=1)
+                    p, q = some[p], other[q]
                     if i[a] == j[a]:
                         fine = guest[q] | (ids[p] < ids[q])
                         p, q = p[fine], q[fine]

@@ -150,6 +150,15 @@ def test_embedding_join_equals_all_pairs(spark, monkeypatch, chunk):
         assert rows[i]["n_links"] == close[i].sum() and rows[i]["component_id"] == tops[i]
 
 
+def test_rough_distances_miss_no_pair():
+    rng = np.random.default_rng(4)
+    x, y = (embedding_dedup.unit(rng.normal(size=(n, 8))) for n in (300, 500))
+    y[:300] = x + rng.normal(size=x.shape) * 1e-4
+    a, b = embedding_dedup.sides_of_distance(x, y)
+    assert a.dtype == b.dtype == np.float32
+    assert np.abs(a @ b.T - ((x[:, None] - y[None]) ** 2).sum(2)).max() < embedding_dedup.ROUGH / 2
+
+
 def test_embedding_rows_that_link_with_nothing(spark):
     a = [1.0, 0.0, 2.0]
     rows = [(1, a, 1), (2, a, 2), (3, [2.0, 0.0, 4.0], 1), (4, None, 1), (5, [0.0, 0.0, 0.0], 1), (6, [1.0, None, 2.0], 1), (7, [float("nan"), 0.0, 2.0], 1), (8, [float("inf"), 0.0, 1.0], 1), (9, [], 1), (10, [1.0], 1), (None, a, 1)]
