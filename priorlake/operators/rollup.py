@@ -198,15 +198,21 @@ def shrinkage_constant(events: DataFrame, group: list[str], value: str, min_rows
 # Families of side facts. Each is one conditional aggregate per (contest, side).
 
 
-def pace(plays: DataFrame) -> DataFrame:
-    """Volume of the side with the ball: events, segments and their ratio."""
+def pace(plays: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Volume of the side with the ball: events, segments and their ratio.
+
+    Events are dealt by segment, fold to one row per segment where they lie, then to sides: no list of segments per side
+    is kept or sent. `tasks` is in how many parts they are dealt, so that a part's size need not grow with the table.
+    """
     real = F.col("kind").isNotNull() & F.col("posteam").isNotNull()
-    out = plays.filter(real).groupBy("game_id", F.col("posteam").alias("team")).agg(
-        F.count("*").alias("off_plays"),
-        F.count_distinct("drive").alias("off_drives"),
-        F.avg(F.col("no_huddle")).alias("off_no_huddle_rate"),
-        F.avg(F.col("dropback")).alias("off_dropback_rate"),
-        F.avg("pass_oe").alias("off_pass_oe"),
+    means = {"off_no_huddle_rate": "no_huddle", "off_dropback_rate": "dropback", "off_pass_oe": "pass_oe"}
+    slim = plays.filter(real).select("game_id", F.col("posteam").alias("team"), "drive", *means.values())
+    dealt = slim.repartition(tasks, "drive") if tasks else slim.repartition("drive")
+    sums = [f(c).alias(f"{n}_{c}") for c in means.values() for n, f in (("_s", F.sum), ("_n", F.count))]
+    per = dealt.groupBy("drive", "game_id", "team").agg(F.count("*").alias("_n"), *sums)
+    mean = lambda c: F.try_divide(F.sum(f"_s_{c}"), F.sum(f"_n_{c}"))
+    out = per.groupBy("game_id", "team").agg(
+        F.sum("_n").alias("off_plays"), F.count("drive").alias("off_drives"), *[mean(c).alias(n) for n, c in means.items()]
     )
     return out.withColumn("off_plays_per_drive", safe_div(F.col("off_plays"), F.col("off_drives")))
 

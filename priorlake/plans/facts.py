@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from priorlake.functions import scalars as sc
 from priorlake.operators import assemble, folds, prefix, quantiles, roster, rollup, rules
 from priorlake.plans import base
-from priorlake.plans.base import MEASURES, OUTCOMES, OUTCOME_NAMES, contests, query, r, rs, view, with_views
+from priorlake.plans.base import MEASURES, OUTCOME_NAMES, contests, query, r, rs, view, with_views
 from priorlake.sources import contracts
-from priorlake.sources.tables import read_table
+from priorlake.sources.tables import parts_of, read_table
 from priorlake.sources.views import event_log, lines, plays
 
 # ------------------------------------------------------------------ A. contracts
@@ -456,7 +456,7 @@ SELECT game_id, posteam AS team, count(*) AS off_plays, count(DISTINCT drive) AS
        round(avg(dropback), 9) AS off_dropback_rate, round(avg(pass_oe), 9) AS off_pass_oe, round(count(*) / count(DISTINCT drive), 9) AS off_plays_per_drive
 FROM details GROUP BY ALL"""))
 def pace(spark, folder):
-    return rollup.pace(base.details(spark, folder)).select(
+    return rollup.pace(base.details(spark, folder), parts_of(spark, folder, "lineitem")).select(
         "game_id", "team", "off_plays", "off_drives",
         *rs("off_no_huddle_rate", "off_dropback_rate", "off_pass_oe", "off_plays_per_drive", digits=9),
     )

@@ -14,6 +14,7 @@ from priorlake.plans.evaluation import REPS
 from priorlake.plans.facts import filter_predicates, starts
 from priorlake.plans.temporal import SPLITS, split_features
 from priorlake.sources.stages import written
+from priorlake.sources.tables import parts_of
 from priorlake.sources.views import plays
 
 FEATURES = [f"{s}_pregame_{m}" for s in ("home", "away") for m in MEASURES] + ["is_neutral_site", "is_playoff"]
@@ -564,7 +565,7 @@ KICKS = ["fg_pct", "fg_avg_distance"]
 def family_arms(spark, folder):
     events = base.details(spark, folder)
     on = ["game_id", "team"]
-    wide = dated(spark, folder, rollup.pace(events).join(rollup.families(events, "fg_result", "made", "qty"), on, "full_outer"))
+    wide = dated(spark, folder, rollup.pace(events, parts_of(spark, folder, "lineitem")).join(rollup.families(events, "fg_result", "made", "qty"), on, "full_outer"))
     names = PACE + DOUBT + LUCK + KICKS
     hist = entity_history(spark, folder, written(wide, "families"), names)
     table = assemble.attach_sided(base.model_table(spark, folder), hist, ["t"], [f"pregame_{m}" for m in names])

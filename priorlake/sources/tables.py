@@ -14,6 +14,13 @@ def read_table(spark: SparkSession, folder: str, name: str, columns: list[str] |
     return df.select(*columns) if columns else df
 
 
+def parts_of(spark: SparkSession, folder: str, name: str, bytes_each: int = 4 << 20) -> int:
+    """In how many parts a table's rows are dealt so that a part doesn't grow with the table; never fewer than the session's."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(os.path.join(folder, f"{name}.parquet"))
+    size = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // bytes_each))
+
+
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     """Replace a Parquet table; only partitions present in `df` when partitioned."""
     writer = df.write.mode("overwrite")
