@@ -114,11 +114,12 @@ def first_by(value: str, order: list[str], condition: Column | None = None) -> C
     return F.min_by(value, key if condition is None else F.when(condition, key))
 
 
-def dominant_actor(events: DataFrame, keys: list[str], actor: str) -> DataFrame:
-    """The actor with most events per key; ties go to the smaller id."""
-    counts = events.filter(F.col(actor).isNotNull()).groupBy(*keys, actor).agg(F.count("*").alias("n"))
-    best = F.min_by(F.struct(actor, "n"), F.struct((-F.col("n")).alias("rank"), F.col(actor)))
-    return counts.groupBy(*keys).agg(best.alias("_b")).select(*keys, f"_b.{actor}", F.col("_b.n").alias("attempts"))
+def dominant_actor(events: DataFrame, keys: list[str], actor: str, stats: dict[str, Column] | None = None) -> DataFrame:
+    """The actor with most events per key; ties go to the smaller id. `stats` are that actor's aggregates, from the same pass."""
+    stats = stats or {}
+    counts = events.filter(F.col(actor).isNotNull()).groupBy(*keys, actor).agg(F.count("*").alias("n"), *[c.alias(n) for n, c in stats.items()])
+    best = F.min_by(F.struct(actor, "n", *stats), F.struct((-F.col("n")).alias("rank"), F.col(actor)))
+    return counts.groupBy(*keys).agg(best.alias("_b")).select(*keys, f"_b.{actor}", F.col("_b.n").alias("attempts"), *[f"_b.{n}" for n in stats])
 
 
 def arm_rates(events: DataFrame, keys: list[str], arms: dict[str, Column], measures: dict[str, str]) -> DataFrame:

@@ -545,9 +545,8 @@ def shrunk_split_arms(spark, folder):
 def starter_history(spark, folder):
     """History of the side's dominant actor: its own decayed rate and earlier starts."""
     counted = plays(spark, folder).filter("kind = 'A'").withColumn("actor", F.col("l_suppkey"))
-    chosen = rollup.dominant_actor(counted, ["game_id", "posteam"], "actor").withColumnRenamed("posteam", "team")
-    stats = counted.groupBy("game_id", F.col("posteam").alias("team"), "actor").agg(F.avg("epa").alias("actor_epa"))
-    started = dated(spark, folder, chosen.select("game_id", "team", "actor").join(stats, ["game_id", "team", "actor"]))
+    chosen = rollup.dominant_actor(counted, ["game_id", "posteam"], "actor", {"actor_epa": F.avg("epa")}).withColumnRenamed("posteam", "team")
+    started = written(dated(spark, folder, chosen.select("game_id", "team", "actor", "actor_epa")), "starters")
     hist = temporal.prior_mean(started, ["actor"], "t", {"pregame_actor_epa": "actor_epa"}, temporal.Exponential(HALFLIFE))
     counts = prefix.prior_sums(started, ["actor"], "t", {"prior_starts": F.lit(1)})
     cols = ["pregame_actor_epa", "prior_starts"]
