@@ -575,8 +575,8 @@ FROM details WHERE kind IN ('A', 'R') GROUP BY ALL)""")
 
 def starts(spark, folder):
     """Segments from their first counted event."""
-    rows = base.details(spark, folder).filter(rollup.counted()).withColumn("season", F.year("month"))
-    return rollup.segments(rows, base.PLAY_ORDER, OUTCOMES, start="start", result="result", keys=["game_id", "season", "posteam", "defteam", "drive"])
+    found = base.contest_segments(base.details(spark, folder).filter(rollup.counted()))
+    return found.select("game_id", F.year("month").alias("season"), "posteam", "defteam", "drive", "start", "result", "points", "def_points")
 
 
 @query("d15_segment_starts", with_views("starts", "SELECT game_id, posteam, drive, start, points FROM starts"))
