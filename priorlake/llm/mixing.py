@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from priorlake.llm.shared import stored
+from priorlake.llm.shared import dropped, stored
 
 DIMENSIONS = ("source", "lang", "topic")
 TEMPERATURE, SHARE, SWEEPS, CAPS, SEED = 0.7, 0.5, 8, 6, "mix"
@@ -57,18 +57,21 @@ def tempered(cells: DataFrame, dimension: str, temperature: float = TEMPERATURE)
 def raked(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS) -> DataFrame:
     """cells (dimensions, tokens) with weight: each sweep scales the weights to every dimension's targets in turn.
 
-    A value without a target gets weight 0. A sweep is one written table of cells.
+    A value without a target gets weight 0. Targets are joined once; then every scaling is a written table of cells, so that a
+    plan holds one sum and one join: a whole sweep in one plan reads its cells eight times, and its broadcasts fill the driver.
     """
-    cells = cells.withColumn("weight", F.col("tokens").cast("double"))
+    for dimension, goal in targets.items():
+        cells = cells.join(goal.select(dimension, F.col("target").alias(f"_goal_{dimension}")), dimension, "left")
+    goals = [f"_goal_{dimension}" for dimension in targets]
+    cells = stored(cells.select(*DIMENSIONS, "tokens", *goals, F.col("tokens").cast("double").alias("weight")).coalesce(4), "raked")
     for _ in range(sweeps):
         for dimension in targets:
             sums = cells.groupBy(dimension).agg(F.sum("weight").alias("_s"))
-            factor = sums.join(targets[dimension], dimension, "left").select(
-                dimension, F.when(F.col("_s") > 0, F.coalesce("target", F.lit(0.0)) / F.col("_s")).otherwise(0.0).alias("_f")
-            )
-            cells = cells.join(factor, dimension).select(*DIMENSIONS, "tokens", (F.col("weight") * F.col("_f")).alias("weight"))
-        cells = stored(cells.coalesce(4), "raked")
-    return cells
+            factor = F.when(F.col("_s") > 0, F.coalesce(f"_goal_{dimension}", F.lit(0.0)) / F.col("_s")).otherwise(0.0)
+            scaled = cells.join(sums, dimension).select(*DIMENSIONS, "tokens", *goals, (F.col("weight") * factor).alias("weight"))
+            before, cells = cells, stored(scaled.coalesce(4), "raked")
+            dropped(before)
+    return cells.drop(*goals)
 
 
 def calibrated(cells: DataFrame, share: float = SHARE, rounds: int = CAPS) -> DataFrame:

@@ -269,6 +269,23 @@ def test_mixing_meets_its_targets(spark):
     assert rates.where("probability > 1 or probability < 0").isEmpty()
 
 
+def test_raking_writes_plans_of_one_sum_and_one_join(spark, monkeypatch):
+    """A sweep in one plan read its cells eight times, and its broadcasts filled the driver; weights are those of plain raking."""
+    rows = [(s, l, t, (i * 37 + j * 11 + k * 5) % 23) for i, s in enumerate("abc") for j, l in enumerate("xy") for k, t in enumerate("pqr")]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    goals = {d: spark.createDataFrame(list(zip(names, shares)), f"{d} string, target double") for d, names, shares in (("source", "ab", (0.7, 0.3)), ("lang", "xy", (0.4, 0.6)), ("topic", "pqr", (0.2, 0.3, 0.5)))}
+    plans, write = [], mixing.stored
+    monkeypatch.setattr(mixing, "stored", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df, name))
+    got = {(r["source"], r["lang"], r["topic"]): r["weight"] for r in mixing.raked(cells, goals, 3).collect()}
+    assert max(p.count("Aggregate") for p in plans) == 1 and max(p.count("Join") for p in plans[1:]) == 1
+    weight, targets = {r[:3]: float(r[3]) for r in rows}, [dict(r[:2] for r in goals[d].collect()) for d in mixing.DIMENSIONS]
+    for _ in range(3):
+        for at, goal in enumerate(targets):
+            sums = {v: sum(w for key, w in weight.items() if key[at] == v) for v in {key[at] for key in weight}}
+            weight = {key: w * (goal.get(key[at], 0.0) / sums[key[at]] if sums[key[at]] > 0 else 0.0) for key, w in weight.items()}
+    assert got.keys() == weight.keys() and all(got[k] == pytest.approx(w, rel=1e-9, abs=1e-12) for k, w in weight.items())
+
+
 def test_mixing_draws_rows_without_an_id_one_by_one(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").withColumn("doc_id", F.when(F.col("doc_id") % 3 > 0, F.col("doc_id")))
     out = mixing.mixing(docs).where("doc_id is null").collect()
