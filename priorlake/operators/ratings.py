@@ -86,7 +86,8 @@ def two_way_ratings(
 
     games  team, opponent, is_home, t and the rate. Teams without a row before a cutoff are rated 0 there.
     """
-    pairs = pair_history(games, cuts, rate, volume, halflife)
+    # Written once: the sums, the cutoffs with enough rows and every solve read it.
+    pairs = written(pair_history(games, cuts, rate, volume, halflife), "pair_history")
     counted = "games" if volume is None else "rows"
     enough = pairs.groupBy("season", "week").agg(F.sum(counted).alias("_n")).filter(F.col("_n") >= min_rows).select("season", "week")
     used = pairs.filter("w > 0").join(enough, ["season", "week"]).select("season", "week", "team", "opponent", "is_home", "w", "wy")

@@ -201,8 +201,12 @@ def two_way_ratings(spark, folder):
 
 
 def two_way(spark, folder):
-    df = base.facts(spark, folder)
-    return ratings.two_way_ratings(df, folds.cutoffs(df), "off_epa_per_play")
+    """Ratings of every cutoff, solved once and written: both sides of a contest and several arm sets read them."""
+    def build():
+        df = base.facts(spark, folder)
+        return written(ratings.two_way_ratings(df, folds.cutoffs(df), "off_epa_per_play"), "two_way_ratings")
+
+    return base.keep(spark, folder, "two_way_ratings", build)
 
 
 UNITS = {"pass": ("off_pass_epa_per_play", "off_pass_plays"), "rush": ("off_rush_epa_per_play", "off_rush_plays")}

@@ -4,7 +4,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from priorlake.operators import rollup
+from priorlake.operators import folds, ratings, rollup
 from priorlake.plans import base, catalog, models
 
 FOLDER = "/root/testdata/sf0.001"
@@ -53,3 +53,12 @@ def test_families_in_one_pass_equal_the_single_rollups(spark):
     apart = rollup.competitive(df).join(rollup.turnover_luck(df), on, "full_outer").join(rollup.attempts(df, "fg", "made", "qty"), on, "full_outer")
     shown = lambda x: sorted(x.select(*on, *[F.round(F.col(c).cast("double"), 9).alias(c) for c in cols]).collect(), key=lambda r: r[:2])
     assert shown(rollup.families(df, "fg", "made", "qty")) == shown(apart)
+
+
+def test_ratings_are_solved_once_for_both_sides(spark):
+    """The arms' table reads written ratings twice; the pair sums and the solves behind them must not run again for each side."""
+    plan = plan_of(models.rated_table(spark, FOLDER))
+    assert "FlatMapGroupsInPandas" not in plan
+    fresh = ratings.two_way_ratings(base.facts(spark, FOLDER), folds.cutoffs(base.facts(spark, FOLDER)), "off_epa_per_play")
+    shown = lambda df: sorted(tuple(r) for r in df.select("season", "week", "team", F.round("off", 9), F.round("def", 9)).collect())
+    assert shown(models.two_way(spark, FOLDER)) == shown(fresh)
