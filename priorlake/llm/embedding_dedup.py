@@ -1,15 +1,18 @@
-"""Embedding near-duplicates by a subspace pigeonhole join.
+"""Embedding near-duplicates by a join in a subspace of rotated coordinates.
 
-Unit vectors at cosine >= t lie within squared distance 2 - 2t. After one random rotation the coordinates are split into
-blocks of low dimension; two close vectors must be within the block's proportional share of the budget in at least one
-block. Each block is range-joined on a grid of its leading coordinates, and every candidate is verified by its cosine in
-double precision. A pair is counted in the first block that finds it, so the union needs no pair table.
+Unit vectors at cosine >= t lie within squared distance 2 - 2t, and so do their images in any subspace. After one random
+rotation the leading coordinates and the length of the rest make such an image of few numbers (`fronts`): tiles of images are
+multiplied in single precision, and every candidate is verified by its cosine in double precision. Blocks with a proportional
+share of the distance each would let through more pairs for more products: of random vectors of 64 components 8 blocks on a grid
+leave a fifth of all pairs to compare, and each row is then needed in dozens of cells.
 
-Equal vectors fold to one class first. A grid cell holds its own rows and those of higher neighbour cells; a cell of any size
-is cut into chunks that meet in pairs. The number of gridded coordinates grows with the number of vectors. Tasks send
-link counts and spanning links, never pairs.
+Equal vectors fold to one class first. Classes are cut into chunks that meet in pairs, each pair of rows in one task, so the
+work is the square of the number of classes (of one length). It is done in rounds, in each of which a chunk meets one other: no
+more than two copies of the vectors are shuffled at a time, and Spark removes them when the round is written. A chunk's
+size is bounded by rows and by components. Tasks send link counts and spanning links, never pairs; when these pile up,
+they are folded to one link a vector.
 
-Vectors of different lengths never link; those of one length are joined among themselves, all lengths in the same pass.
+Vectors of different lengths never link; those of one length are joined among themselves, all lengths in the same rounds.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing; ids may be null
 or repeated (rows of one id are vectors of their own, a null id is never a component's id unless all are); other columns are
@@ -18,24 +21,27 @@ not read; an empty table gives no rows.
 from __future__ import annotations
 
 import functools
-import itertools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from priorlake.llm.groups import chunk_pairs, per_group
-from priorlake.llm.shared import components, local_components, stored
+from priorlake.llm.groups import per_group
+from priorlake.llm.shared import components, dropped, local_components
+from priorlake.llm.shared import stored_alone as stored
 
-COSINE, BLOCK_DIMENSIONS = 0.9, 8
-CELL_ROWS, CHUNK = 20_000, 16_384
-SLACK = 1e-9
+COSINE = 0.9
+# A chunk holds at most so many vectors and so many components.
+CHUNK, CHUNK_NUMBERS = 32_768, 1 << 23
 # Distances in single precision choose the candidates, those up to ROUGH too far among them; double precision decides.
-TILE, ROUGH = 4096, 1e-5
+TILE, ROUGH = 512, 1e-5
+# Of the pairs of a tile: if more are candidates, all cosines of the tile are computed at once.
+DENSE = 1 / 32
+# Spanning links are folded when there are more than so many a class, or so many tables of them.
+PILE, PILED_TABLES = 4, 16
 
 
 @functools.lru_cache
@@ -44,51 +50,30 @@ def rotation(dimensions: int, seed: int = 3) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def block_bounds(dimensions: int, width: int = BLOCK_DIMENSIONS) -> list[tuple[int, int]]:
-    return [(a, min(a + width, dimensions)) for a in range(0, dimensions, width)]
+def leading(dimensions: int, cosine: float) -> int:
+    """How many coordinates tell random vectors from near ones but for a few in ten thousand.
+
+    Of the cosine, k leading coordinates and the lengths of the rest allow 1 - k / d more than the k give, which spread by sqrt(k) / d.
+    """
+    return min(dimensions, math.ceil((1.8 + math.sqrt(3.24 + max(0.0, 1 - cosine) * dimensions)) ** 2))
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.sqrt((vectors**2).sum(1))[:, None]
 
 
+def fronts(units: np.ndarray, cosine: float) -> np.ndarray:
+    """Images that are no farther apart than the unit vectors: leading rotated coordinates and the length of the others."""
+    k = leading(units.shape[1], cosine)
+    lead = units @ rotation(units.shape[1])[:, :k]
+    return np.column_stack([lead, np.sqrt(np.maximum(0, 1 - (lead**2).sum(1)))])
+
+
 def _matrix(column: pa.ChunkedArray | pa.Array, dimensions: int) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=float).reshape(-1, dimensions)
 
 
-def gridded(classes: DataFrame, budget: float, axes: int) -> DataFrame:
-    """Each vector once per block and cell it must be seen in: its own, and the cells it is a higher neighbour of."""
-
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            lengths = pc.list_value_length(batch.column("vector"))
-            for dimensions in pc.unique(lengths).to_pylist():
-                yield from of_length(batch.filter(pc.equal(lengths, dimensions)), dimensions)
-
-    def of_length(batch: pa.RecordBatch, dimensions: int) -> Iterator[pa.RecordBatch]:
-        x = unit(_matrix(batch.column("vector"), dimensions)) @ rotation(dimensions)
-        length = pa.array(np.full(len(x), dimensions, np.int32))
-        for b, (low, high) in enumerate(block_bounds(dimensions)):
-            used = min(axes, high - low)
-            radius = math.sqrt(budget * (high - low) / dimensions + SLACK)
-            cell = np.floor(x[:, low : low + used] / radius).astype(np.int64)
-            for shift in itertools.product((0, -1, 1), repeat=used):
-                lead = next((s for s in shift if s), 0)
-                if lead > 0:
-                    continue  # rows are guests only in lower cells
-                near = cell + np.array(shift)
-                code = np.full(len(x), b, np.int64)
-                for k in range(used):
-                    code = code * 4096 + near[:, k] + 2048
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("rid"), batch.column("size"), batch.column("vector"), length, pa.array(np.full(len(x), b, np.int32)), pa.array(code), pa.array(np.full(len(x), any(shift)))],
-                    ["rid", "size", "vector", "d", "block", "code", "guest"],
-                )
-
-    return classes.select("rid", "size", "vector").mapInArrow(batches, "rid long, size long, vector array<double>, d int, block int, code long, guest boolean")
-
-
 def sides_of_distance(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two matrices whose product holds all squared distances of the rows of x and y (of length 1 at most), to ROUGH."""
     nx, ny = (x**2).sum(1), (y**2).sum(1)
@@ -96,96 +81,137 @@ def sides_of_distance(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.column_stack([-2 * x, nx, one[: len(x)]]).astype(np.float32), np.column_stack([y, one[: len(y)], ny]).astype(np.float32)
 
 
-def _linked(cosine: float):
+def near_pairs(units: np.ndarray, images: np.ndarray, own: range, other: range, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of own and other at the cosine or above, tile by tile; where own is other, each pair once."""
+    x, y = sides_of_distance(images[own.start : own.stop], images[other.start : other.stop])
+    most = 2 - 2 * cosine + ROUGH
+    for a in range(0, len(x), TILE):
+        for b in range(a if own == other else 0, len(y), TILE):
+            some = x[a : a + TILE] @ y[b : b + TILE].T
+            rows = np.flatnonzero(some.min(axis=1) <= most)
+            if not len(rows):
+                continue
+            p, q = np.nonzero(some[rows] <= most)
+            p, u, v = rows[p], own.start + a, other.start + b
+            if len(p) > DENSE * some.size:
+                p, q = np.nonzero(units[u : u + some.shape[0]] @ units[v : v + some.shape[1]].T >= cosine)
+                p, q = p + u, q + v
+            else:
+                p, q = p + u, q + v
+                close = np.einsum("nd,nd->n", units[p], units[q]) >= cosine
+                p, q = p[close], q[close]
+            if own == other and a == b:
+                p, q = p[p < q], q[p < q]
+            if len(p):
+                yield p, q
+
+
+def _linked(cosine: float, alone: bool):
+    """Of every group, the links of its home rows with its other ones and, where asked, among the home rows alone."""
+
+    def of_group(group: pa.Table) -> pa.RecordBatch | None:
+        home = group["home"].combine_chunks().to_numpy(zero_copy_only=False)
+        order = np.argsort(~home, kind="stable")
+        ids, size = group["rid"].to_numpy()[order], group["size"].to_numpy()[order]
+        units = unit(_matrix(group["vector"], group["d"][0].as_py()))[order]
+        images, cut = fronts(units, cosine), int(home.sum())
+        own, other = range(cut), range(cut, len(ids))
+        links, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        left, right, held = [], [], 0
+        for side in ([own] if alone else []) + [other]:
+            for p, q in near_pairs(units, images, own, side, cosine):
+                np.add.at(links, p, size[q])
+                np.add.at(links, q, size[p])
+                p, q = label[p], label[q]
+                new = p != q
+                if new.any():
+                    left.append(p[new])
+                    right.append(q[new])
+                    held += len(left[-1])
+                if held > 1 << 20:
+                    label = local_components(len(ids), np.concatenate(left), np.concatenate(right))[label]
+                    left, right, held = [], [], 0
+        some = np.flatnonzero(links)
+        if not len(some):
+            return None
+        if held:
+            label = local_components(len(ids), np.concatenate(left), np.concatenate(right))[label]
+        return pa.RecordBatch.from_arrays([pa.array(ids[label[some]]), pa.array(ids[some]), pa.array(links[some])], ["a", "b", "links"])
+
     def join(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        lengths = table["d"].to_numpy()[starts[:-1]]
-        cuts = [0, *(np.flatnonzero(lengths[1:] != lengths[:-1]) + 1), len(lengths)]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if a < b:
-                yield from _linked_of(int(lengths[a]), cosine)(table.slice(starts[a], starts[b] - starts[a]), starts[a : b + 1] - starts[a])
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            if found := of_group(table.slice(a, b - a)):
+                yield found
 
     return join
 
 
-def _linked_of(dimensions: int, cosine: float):
-    budget, turn, bounds = 2 - 2 * cosine, rotation(dimensions), block_bounds(dimensions)
-    starts_of = [low for low, _ in bounds]
-    shares = np.array([budget * (high - low) / dimensions + SLACK for low, high in bounds])
+def met(classes: DataFrame, lengths: DataFrame, shift: int, parts: int) -> DataFrame:
+    """Rows at home in their chunk's task, and as guests in that of the chunk `shift` before; dealt to parts by task.
 
-    def join(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        ids, size, block, chunk, i, j = (table[c].to_numpy() for c in ("rid", "size", "block", "_chunk", "_i", "_j"))
-        guest = table["guest"].combine_chunks().to_numpy(zero_copy_only=False)
-        units = unit(_matrix(table["vector"], dimensions))
-        turned = units @ turn
-        links = np.zeros(len(ids), np.int64)
-        left, right = [], []
-        for a, b in zip(starts[:-1], starts[1:], strict=True):
-            own = np.arange(a, b)
-            k = block[a]
-            low, high = bounds[k]
-            axis = min(low + 1, high - 1)
-            radius = math.sqrt(shares[k])
-            sides = [(own[(chunk[own] == i[a]) & ~guest[own]], own[chunk[own] == j[a]], False)]
-            if i[a] != j[a]:
-                # Rows of the later chunk at home, against guests of the earlier one.
-                sides.append((own[(chunk[own] == j[a]) & ~guest[own]], own[(chunk[own] == i[a]) & guest[own]], False))
-            for home, other, _ in sides:
-                other = other[np.argsort(turned[other, axis], kind="stable")]
-                home = home[np.argsort(turned[home, axis], kind="stable")]
-                along = turned[other, axis]
-                x, y = sides_of_distance(turned[home, low:high], turned[other, low:high])
-                for at in range(0, len(home), 256):
-                    some = home[at : at + 256]
-                    p0, p1 = np.searchsorted(along, [turned[some[0], axis] - radius - SLACK, turned[some[-1], axis] + radius + SLACK])
-                    if p0 >= p1:
-                        continue
-                    hits = [np.zeros((2, 0), np.int64)]
-                    for q0 in range(p0, p1, TILE):
-                        q1 = min(p1, q0 + TILE)
-                        near = np.flatnonzero(x[at : at + 256] @ y[q0:q1].T <= shares[k] + ROUGH)
-                        hits.append(np.stack(np.divmod(near, q1 - q0)) + [[0], [q0]])
-                    p, q = np.concatenate(hits, axis=1)
-                    p, q = some[p], other[q]
-                    if i[a] == j[a]:
-                        fine = guest[q] | (ids[p] < ids[q])
-                        p, q = p[fine], q[fine]
-                    for cut in range(0, len(p), 50_000):
-                        u, v = p[cut : cut + 50_000], q[cut : cut + 50_000]
-                        near = np.einsum("nd,nd->n", units[u], units[v]) >= cosine
-                        u, v = u[near], v[near]
-                        gaps = np.add.reduceat((turned[u] - turned[v]) ** 2, starts_of, axis=1) <= shares
-                        first = np.argmax(gaps, axis=1) == k
-                        u, v = u[first], v[first]
-                        np.add.at(links, u, size[v])
-                        np.add.at(links, v, size[u])
-                        left.append(u)
-                        right.append(v)
-        some = np.flatnonzero(links)
-        if len(some):
-            label = local_components(len(ids), np.concatenate(left), np.concatenate(right))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[label[some]]), pa.array(ids[some]), pa.array(links[some])], ["a", "b", "links"])
+    Of k chunks, shifts 1 to k / 2 bring every two together once; in the first one a chunk also stays alone with itself.
+    """
 
-    return join
+    def meets(task: Column) -> Column:
+        return (2 * shift < F.col("_k")) | ((2 * shift == F.col("_k")) & (task < shift))
 
+    def place(task: Column, home: bool, where: Column) -> Column:
+        return F.when(where, F.struct(task.alias("task"), F.lit(home).alias("home")))
 
-def embedding_dedup(vectors: DataFrame, cosine: float = COSINE, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """One row per vector: vec_id, n_links (others at the cosine or above), component_id (smallest id it reaches), kept."""
-    plain = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
+    own = F.pmod(F.xxhash64("rid", F.lit(11)), F.col("_k")).cast("int")
+    before = F.pmod(F.col("_chunk") - shift, F.col("_k"))
+    places = F.array_compact(F.array(place(F.col("_chunk"), True, F.lit(shift == 1) | meets(F.col("_chunk"))), place(before, False, meets(before))))
+    rows = classes.select("rid", "size", "vector", F.size("vector").alias("d")).join(lengths, "d").withColumn("_chunk", own)
+    rows = rows.select("rid", "size", "vector", "d", F.explode(places).alias("_at")).select("rid", "size", "vector", "d", "_at.task", "_at.home")
+    return rows.repartitionById(parts, (F.pmod(F.xxhash64("d"), F.lit(parts)) + F.col("task")).cast("int"))
+
+
+def folded(found: DataFrame, name: str) -> DataFrame:
+    """Link counts by vector, and one link to the smallest vector reached."""
+    counts = found.groupBy(F.col("b").alias("node")).agg(F.sum("links").alias("links"))
+    tops = components(found.select("a", "b"), "tops")
+    return stored(counts.join(tops, "node").select(F.col("component").alias("a"), F.col("node").alias("b"), "links"), name)
+
+
+def links_of(classes: DataFrame, total: int, cosine: float, most: int) -> DataFrame:
+    """For every class that links: a (the smallest rid it reaches), b (its rid), links (the rows it links with)."""
+    spark = classes.sparkSession
+    chunk = F.greatest(F.lit(1), F.least(F.lit(most), F.floor(F.lit(CHUNK_NUMBERS) / F.col("d"))))
+    lengths = classes.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("_n")).where("_n > 1")
+    lengths = stored(lengths.select("d", F.ceil(F.col("_n") / chunk).cast("int").alias("_k")), "lengths")
+    chunks, tasks = lengths.agg(F.max("_k"), F.sum("_k")).first()
+    piled, held = [], 0
+    parts = min(tasks or 1, max(chunks or 1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    for shift in range(1, max(1, (chunks or 1) // 2) + 1):
+        dealt = met(classes, lengths, shift, parts)
+        piled.append(stored(per_group(dealt, ["d", "task"], _linked(cosine, shift == 1), "a long, b long, links long", 8192, dealt=True), "links"))
+        held += piled[-1].count()
+        if held > PILE * total or len(piled) > PILED_TABLES:
+            found = folded(functools.reduce(DataFrame.unionByName, piled), "links")
+            dropped(*piled)
+            piled, held = [found], 0
+    return folded(functools.reduce(DataFrame.unionByName, piled), "links")
+
+
+def embedding_dedup(vectors: DataFrame, cosine: float = COSINE, cell_rows: int = CHUNK) -> DataFrame:
+    """One row per vector: vec_id, n_links (others at the cosine or above), component_id (smallest id it reaches), kept.
+
+    cell_rows: vectors of a chunk at most (and never more than CHUNK).
+    """
+    single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
+    plain = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>" if single else "array<double>").alias("vector"))
     finite = F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     usable = (F.size("vector") > 0) & finite & F.exists("vector", lambda v: v != 0)
     key = F.when(F.coalesce(usable, F.lit(False)), F.unhex(F.md5(F.to_csv(F.struct(F.array_join(F.col("vector").cast("array<string>"), " ").alias("v"))))))
-    rows = stored(plain.select("vec_id", "vector", key.alias("key")), "vectors")
-    classes = rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("least"), F.count("*").alias("size"), F.first("vector").alias("vector"))
+    whole = stored(plain.select("vec_id", "vector", key.alias("key")), "vectors")
+    classes = whole.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("least"), F.count("*").alias("size"), F.first("vector").alias("vector"))
     classes = stored(classes.withColumn("rid", F.monotonically_increasing_id()), "classes")
-    total = classes.count()
-    axes = max(1, min(4, math.ceil(math.log(max(total / cell_rows, 1), 5)) or 1))
-    cells = stored(gridded(classes, 2 - 2 * cosine, axes).withColumn("cell", F.xxhash64("d", "code")), "cells")
-    dealt = chunk_pairs(cells, "cell", "rid", CHUNK)
-    found = stored(per_group(dealt, ["d", "code", "_i", "_j"], _linked(cosine), "a long, b long, links long", 8192), "links")
-    tops = components(found.select("a", "b"), "tops")
-    counts = found.groupBy(F.col("b").alias("rid")).agg(F.sum("links").alias("links"))
-    known = classes.select("key", "rid", "least", "size").join(counts, "rid", "left").join(tops.withColumnRenamed("node", "rid"), "rid", "left")
+    rows = stored(whole.select("vec_id", "key"), "rows")
+    dropped(whole)
+    found = links_of(classes, classes.count(), cosine, min(CHUNK, cell_rows))
+    known = classes.select("key", "rid", "least", "size").join(found.select(F.col("b").alias("rid"), F.col("a").alias("component"), "links"), "rid", "left")
     known = stored(known.withColumn("component", F.coalesce("component", "rid")), "known")
+    dropped(classes)
     heads = known.groupBy("component").agg(F.min("least").alias("component_id"))
     known = known.join(heads, "component").select("key", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), "component_id")
     linked = rows.where("key is not null").select("vec_id", "key").join(known, "key").select("vec_id", "n_links", "component_id")

@@ -26,8 +26,8 @@ def chunk_pairs(rows: DataFrame, group: str, by: str, most: int) -> DataFrame:
     return dealt.select(*rows.columns, "_chunk", F.least("_chunk", "_other").alias("_i"), F.greatest("_chunk", "_other").alias("_j"))
 
 
-def per_group(df: DataFrame, keys: list[str], fn: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]], schema: str, batch_rows: int = 50_000) -> DataFrame:
-    """fn over tables of whole groups: rows are dealt and sorted by keys, fn gets many groups and their start offsets at once."""
+def per_group(df: DataFrame, keys: list[str], fn: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]], schema: str, batch_rows: int = 50_000, dealt: bool = False) -> DataFrame:
+    """fn over tables of whole groups: rows are dealt (unless they are) and sorted by keys, fn gets many groups and their start offsets at once."""
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         held: list[pa.RecordBatch] = []
@@ -58,4 +58,4 @@ def per_group(df: DataFrame, keys: list[str], fn: Callable[[pa.Table, np.ndarray
             table = pa.Table.from_batches(held).combine_chunks()
             yield from fn(table, np.append(starts_of(table), table.num_rows))
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(batches, schema)
+    return (df if dealt else df.repartition(*keys)).sortWithinPartitions(*keys).mapInArrow(batches, schema)

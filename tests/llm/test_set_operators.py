@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from samples import documents, nothing, prose
 
 import corpus_pipeline
-from priorlake.llm import chat_quotes, embedding_dedup, mixing, ngram_join, queries, stages, suffix_dedup, suffix_merge
+from priorlake.llm import chat_quotes, embedding_dedup, mixing, ngram_join, queries, shared, stages, suffix_dedup, suffix_merge
 from priorlake.llm.shared import components, local_components
 
 FOLDER = "/root/testdata/sf0.001"
@@ -187,6 +187,78 @@ def test_embeddings_of_each_length_link_among_themselves(spark):
         assert got[i]["n_links"] == sum(a == i for a, _ in close) and got[i]["component_id"] == tops[i]
 
 
+def test_near_pairs_of_sparse_and_dense_tiles(monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "TILE", 64)
+    rng = np.random.default_rng(11)
+    heart = rng.normal(size=24)
+    x = np.concatenate([rng.normal(size=(300, 24)), heart + 0.3 * rng.normal(size=(200, 24))])
+    units = embedding_dedup.unit(x[rng.permutation(len(x))])
+    units = np.concatenate([units, units[:150]])  # tiles of other shapes
+    images, close = embedding_dedup.fronts(units, 0.9), units @ units.T >= 0.9
+    for own, other in ((range(450), range(450, 650)), (range(650), range(650))):
+        got = [(int(a), int(b)) for p, q in embedding_dedup.near_pairs(units, images, own, other, 0.9) for a, b in zip(p, q, strict=True)]
+        want = {(a, b) for a, b in zip(*np.nonzero(close), strict=True) if a in own and b in other and (own != other or a < b)}
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 1000
+
+
+def test_chunks_meet_once_and_few_at_a_time(spark):
+    # Vectors of k components are cut into k chunks.
+    rows = [(100 * k + n, 1, [1.0 + n] * k) for k in range(1, 8) for n in range(25)]
+    classes = spark.createDataFrame(rows, "rid long, size long, vector array<float>")
+    lengths = spark.createDataFrame([(k, k) for k in range(1, 8)], "d int, _k int")
+    met = {}
+    for shift in (1, 2, 3):
+        dealt = embedding_dedup.met(classes, lengths, shift, 5).withColumn("part", F.spark_partition_id()).collect()
+        assert len(dealt) <= 2 * len(rows)
+        tasks = {}
+        for r in dealt:
+            tasks.setdefault((r["d"], r["task"]), []).append(r)
+        for members in tasks.values():
+            assert len({r["part"] for r in members}) == 1
+            home, guests = ([r["rid"] for r in members if r["home"] == side] for side in (True, False))
+            for a in home:
+                for b in guests + [c for c in home if shift == 1 and a < c]:
+                    met[min(a, b), max(a, b)] = met.get((min(a, b), max(a, b)), 0) + 1
+    assert met == {(100 * k + a, 100 * k + b): 1 for k in range(1, 8) for a in range(25) for b in range(a + 1, 25)}
+
+
+def test_embedding_join_keeps_few_copies_on_disk(spark, monkeypatch, tmp_path):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(2000, 64)).astype(np.float32)
+    x[1000:1400] = x[:400] + 0.2 * rng.normal(size=(400, 64))
+    x[1990:] = x[0]
+    frame = spark.createDataFrame([(i, [float(c) for c in v], 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").localCheckpoint()
+    sizes = []
+
+    def watched(df, name, write=embedding_dedup.stored):
+        out = write(df, name)
+        sizes.append(sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")))
+        return out
+
+    monkeypatch.setattr(embedding_dedup, "stored", watched)
+    monkeypatch.setattr(embedding_dedup, "CHUNK", 300)
+    monkeypatch.setattr(shared, "shared_dir", lambda spark: str(tmp_path))
+    got = {r["vec_id"]: r for r in embedding_dedup.embedding_dedup(frame, cell_rows=300).collect()}
+    assert max(sizes) < 3 * x.nbytes
+    u = embedding_dedup.unit(x.astype(float))
+    close = (u @ u.T >= 0.9) & ~np.eye(len(x), dtype=bool)
+    tops = reach(range(len(x)), list(zip(*np.nonzero(close), strict=True)))
+    assert close.sum() > 800 and all(got[i]["n_links"] == close[i].sum() and got[i]["component_id"] == tops[i] for i in range(len(x)))
+
+
+@pytest.mark.parametrize("pile", [0, 4])
+def test_piled_links_fold(spark, monkeypatch, pile):
+    monkeypatch.setattr(embedding_dedup, "CHUNK", 12)
+    monkeypatch.setattr(embedding_dedup, "PILE", pile)
+    monkeypatch.setattr(embedding_dedup, "PILED_TABLES", 2)
+    x = make_vectors(seed=6, n=40)
+    rows = {r["vec_id"]: r for r in embedding_dedup.embedding_dedup(vectors_frame(spark, [(i, [float(c) for c in v], 0) for i, v in enumerate(x)])).collect()}
+    u = embedding_dedup.unit(x.astype(float))
+    close = (u @ u.T >= 0.9) & ~np.eye(len(x), dtype=bool)
+    tops = reach(range(len(x)), list(zip(*np.nonzero(close), strict=True)))
+    assert close.any() and all(rows[i]["n_links"] == close[i].sum() and rows[i]["component_id"] == tops[i] for i in range(len(x)))
+
+
 def covered(texts: list[bytes], length: int) -> list[np.ndarray]:
     seen: dict[bytes, int] = {}
     for t in texts:
