@@ -22,9 +22,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from priorlake.llm.shared import Recent, remembered, small_batches
+from priorlake.llm.shared import Recent, remembered, small_batches, trim
 
-REMEMBERED, SLICE_CHARS = 300_000, 4_000_000
+REMEMBERED, SLICE_CHARS = 200_000, 1_500_000
 MOST_IDS = 1 << 27
 # The same alternatives with the apostrophe looked at once.
 ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d|", "'(?:[stmd]|re|ve|ll)|"
@@ -176,9 +176,14 @@ class ByteBPE:
         dealt = pa.array([w for some in words for w in some], pa.large_string()).dictionary_encode()
         distinct = dealt.dictionary.to_pylist()
         fresh = self.words.missing(distinct)
-        known = self.words.learn(zip(fresh, self._both([w.encode() for w in fresh]), strict=True))
-        own = [known[w] for w in distinct]
-        return [gathered(pa.array([pair[k] for pair in own], pa.large_binary()), dealt.indices, ends) for k in (0, 1)]
+        raw = [w.encode() for w in fresh]
+        # Bytes are remembered only where they are not the word's own, so that no word is held twice.
+        known = self.words.learn((w, ids if b == r else (ids, b)) for w, r, (ids, b) in zip(fresh, raw, self._both(raw), strict=True))
+        ids, decoded = [known[w] for w in distinct], dealt.dictionary.cast(pa.large_binary())
+        if any(type(i) is tuple for i in ids):
+            decoded = pa.array([i[1] if type(i) is tuple else w.encode() for i, w in zip(ids, distinct, strict=True)], pa.large_binary())
+            ids = [i[0] if type(i) is tuple else i for i in ids]
+        return [gathered(values, dealt.indices, ends) for values in (pa.array(ids, pa.large_binary()), decoded)]
 
     def round_trip(self, texts: list[str]) -> tuple[pa.Array, pa.Array]:
         """Ids of every text and the bytes these ids decode to, as binary columns."""
@@ -213,6 +218,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, carry: list[str] | No
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = opened(ranks_path, pattern)
         for batch in it:
+            trim()
             ids, decoded = model.round_trip(batch.column(0).to_pylist())
             n = pc.divide(pc.binary_length(ids), 4)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], ids.cast(pa.binary()), n, decoded.cast(pa.binary())], [*batch.schema.names[1:], "ids", "n_tokens", "decoded"])

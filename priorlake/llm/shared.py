@@ -94,6 +94,11 @@ def release() -> None:
     if _REMEMBERED:
         _REMEMBERED.clear()
         gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """Give back what this worker process has freed; what is remembered stays."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
